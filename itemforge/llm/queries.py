@@ -29,6 +29,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import detect_toxicity
+
+    return detect_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shard import shard_stratified
 
@@ -38,6 +50,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_language_id": op4_language_id,
+    "op10_toxicity": op10_toxicity,
     "op8_sharding": op8_sharding,
 }
 
