@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_file import token_digest
 
@@ -48,6 +54,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_file": op2_token_file,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
@@ -55,4 +62,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _op1_sql() -> str:
+    from .decontaminate import AFTER, BEFORE, MASKS, MIN_ITEM, SUBSTITUTIONS, WINDOW
+
+    seeds = " UNION ALL ".join(f"SELECT key, i, n, t, concat_ws(' ', '{j}', {', '.join(f't[i + {k + 1}]' for k in m)}) AS seed FROM {{0}} WHERE i + {m[-1]} < n" for j, m in enumerate(MASKS))
+    return rf"""
+WITH d AS (SELECT doc_id AS key, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS t FROM documents),
+b AS (SELECT item_id AS key, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS t FROM benchmark),
+dp AS (SELECT key, t, len(t) AS n, unnest(range(len(t))) AS i FROM d WHERE len(t) >= {MIN_ITEM}),
+bp AS (SELECT key, t, len(t) AS n, unnest(range(len(t))) AS i FROM b WHERE len(t) >= {MIN_ITEM}),
+ds AS ({seeds.format("dp")}),
+bs AS ({seeds.format("bp")}),
+h AS (SELECT ds.key AS doc_id, bs.key AS item_id, ds.i AS doc_token, bs.i AS item_token, least(bs.n, {WINDOW}) AS window_tokens,
+  list_max(list_transform(range({BEFORE + AFTER - WINDOW + 1}), lambda s: list_sum(list_transform(range({WINDOW}), lambda k:
+    CASE WHEN ds.i - {BEFORE} + s + k >= 0 AND bs.i - {BEFORE} + s + k >= 0 AND ds.t[ds.i - {BEFORE} + s + k + 1] = bs.t[bs.i - {BEFORE} + s + k + 1] THEN 1 ELSE 0 END)))) AS n_match
+  FROM ds JOIN bs USING (seed)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_match DESC, doc_token, item_token, window_tokens) AS rn
+  FROM h WHERE n_match >= window_tokens - ({SUBSTITUTIONS} * window_tokens) // {WINDOW})
+SELECT doc_id, item_id, CAST(n_match AS INTEGER) AS n_match, CAST(window_tokens AS INTEGER) AS window_tokens, CAST(doc_token AS INTEGER) AS doc_token, CAST(item_token AS INTEGER) AS item_token FROM r WHERE rn = 1"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": _op1_sql()}
