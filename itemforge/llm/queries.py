@@ -41,6 +41,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import detect_toxicity
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
     "op8_sharding": op8_sharding,
 }
@@ -82,4 +89,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_match
 SELECT doc_id, item_id, CAST(n_match AS INTEGER) AS n_match, CAST(window_tokens AS INTEGER) AS window_tokens, CAST(doc_token AS INTEGER) AS doc_token, CAST(item_token AS INTEGER) AS item_token FROM r WHERE rn = 1"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": _op1_sql()}
+_OP9_SQL = r"""
+WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM x),
+w AS (SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(lower(line), '\s+'), lambda s: s <> '') AS w FROM l),
+f AS (SELECT w, len(w) AS n, min({'d': doc_id, 'l': line_no}) AS first FROM w WHERE len(w) >= 3 GROUP BY w),
+h AS (SELECT w, n, first, unnest([{'s': 0, 'c': n, 'h': w[1:n // 2]}, {'s': 1, 'c': n, 'h': w[n // 2 + 1:]},
+  {'s': 0, 'c': n - 1, 'h': w[1:(n - 1) // 2]}, {'s': 1, 'c': n - 1, 'h': w[(n - 1) // 2 + 2:]}]) AS half FROM f WHERE n >= 8),
+near AS (SELECT DISTINCT a.w FROM h a JOIN h b ON a.half = b.half AND b.first < a.first WHERE
+  CASE WHEN a.n = b.n THEN list_sum(list_transform(list_zip(a.w, b.w), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) <= 1
+    WHEN a.n > b.n THEN len(list_filter(range(a.n), lambda i: list_concat(a.w[1:i], a.w[i + 2:]) = b.w)) > 0
+    ELSE len(list_filter(range(b.n), lambda i: list_concat(b.w[1:i], b.w[i + 2:]) = a.w)) > 0 END),
+kept AS (SELECT w.doc_id, w.line_no, w.line, NOT coalesce(near.w IS NOT NULL OR {'d': w.doc_id, 'l': w.line_no} > f.first, false) AS keep
+  FROM w LEFT JOIN f ON w.w = f.w LEFT JOIN near ON w.w = near.w)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE keep), '') END AS text,
+  count(line_no) AS n_lines, count(line_no) FILTER (WHERE NOT keep) AS n_removed
+FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id, d.text"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": _op1_sql(), "op9_line_dedup": _OP9_SQL}
