@@ -53,6 +53,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"), n=5, similarity=0.8)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shard import shard_stratified
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_sharding": op8_sharding,
 }
 
