@@ -65,6 +65,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), n=5, similarity=0.8)
 
 
+def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shard import shard_stratified
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op5_pii": op5_pii,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_embedding_neardup": op7_embedding_neardup,
     "op8_sharding": op8_sharding,
 }
 
@@ -120,4 +127,12 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(lin
   count(line_no) AS n_lines, count(line_no) FILTER (WHERE NOT keep) AS n_removed
 FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id, d.text"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": _op1_sql(), "op9_line_dedup": _OP9_SQL}
+_OP7_SQL = """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT x.vec_id, coalesce(n.n, 0) AS n_links, least(x.vec_id, coalesce(r.least, x.vec_id)) AS component_id, x.vec_id = least(x.vec_id, coalesce(r.least, x.vec_id)) AS kept
+FROM embeddings x LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) n ON n.a = x.vec_id LEFT JOIN r ON r.a = x.vec_id"""
+
+ORACLE_SQL: dict[str, str] = {"op7_embedding_neardup": _OP7_SQL, "op1_decontamination": _op1_sql(), "op9_line_dedup": _OP9_SQL}
