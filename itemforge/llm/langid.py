@@ -178,3 +178,14 @@ def identify_languages(docs: DataFrame, sample_rows: int = 2400) -> DataFrame:
     (doc_id, held_out, lang_pred, score, lang_second, ambiguous)."""
     out = predict_languages(docs, fit_languages(docs, sample_rows))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "lang_second", "ambiguous")
+
+
+def keep_known_languages(docs: DataFrame, sample_rows: int = 2400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are in a learned language, unchanged: texts that are null
+    or have no letter go. Without labelled rows to learn from all texts with a letter stay."""
+    model = fit_languages(docs, sample_rows, id_col, text_col, lang_col)
+    found = predict_languages(docs, model, id_col, text_col, keep=tuple(docs.columns))
+    kept = found if not model.languages else found.where(F.col("lang_pred") != UNKNOWN)
+    if not model.languages:
+        kept = kept.where(F.col(f"kept_{text_col}").rlike(r"(?U)\p{IsAlphabetic}"))
+    return kept.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])

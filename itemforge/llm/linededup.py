@@ -155,12 +155,12 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """docs with text_col cut to the lines that stay, and the columns n_lines and
-    n_removed (longs; they replace columns of these names). All rows stay; a null
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with text_col cut to the lines that stay, and two columns named by counts,
+    the lines of the text and those cut (longs; they replace columns of these names). All rows stay; a null
     text stays null with 0 lines. An empty table gives no rows."""
     gone = find_duplicate_lines(docs, id_col, text_col, min_words, fuzzy_words).select(F.col("doc_id").alias("_gone"), F.col("dropped").alias("_dropped"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [c for c in docs.columns if c not in counts]
     kinds = dict(docs.dtypes)
     rows = docs.select(*[F.col(c) for c in columns]).join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left").drop("_gone")
     k = columns.index(text_col)
@@ -181,7 +181,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 removed.append(took)
             out = [batch.column(c) for c in range(len(columns))]
             out[k] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*out, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, *counts])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_lines long, n_removed long"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + "".join(f", `{c}` long" for c in counts)
     return rows.mapInArrow(cut, schema)
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """dedup_lines() with the columns of docs: rows that lost lines and have no word
+    left go, and size_col, if there is one, follows the text."""
+    out = dedup_lines(docs, id_col, text_col, counts=("_lines", "_cut"))
+    out = out.where((F.col("_cut") == 0) | F.col(text_col).rlike(r"(?U)\w"))
+    if size_col in docs.columns:
+        kind = dict(docs.dtypes)[size_col]
+        out = out.withColumn(size_col, F.when(F.col("_cut") > 0, F.char_length(text_col)).otherwise(F.col(size_col)).cast(kind))
+    return out.select(*[c for c in docs.columns])
