@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Symbols that belong in formulas, commands that the display lacks.
 MATH_SYMBOLS = "²³¹⁰⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉√≤≥≠±×÷∞∫∑πΔ≈"
@@ -39,7 +40,7 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), MARKED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decompose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Lower case, compatibility decomposition, combining marks dropped."""
     import unicodedata

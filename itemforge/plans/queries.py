@@ -151,12 +151,12 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_N}, k AS (SELECT * FROM n WHERE year(l_shipdate) >= 1994)
+WITH {_N}, k AS (SELECT * FROM n WHERE l_quantity >= 10)
 SELECT l_orderkey AS hash, string_agg(number::VARCHAR, ',' ORDER BY number) AS numbers FROM n
 WHERE l_orderkey IN (SELECT l_orderkey FROM k) AND NOT EXISTS (SELECT 1 FROM k WHERE k.l_orderkey = n.l_orderkey AND k.number = n.number) GROUP BY l_orderkey""")
 def import_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("hash"), "number", "l_shipdate")
-    lost = bank.dropped_by_import(n, n.where(F.year("l_shipdate") >= 1994))
+    n = numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("hash"), "number", "l_quantity")
+    lost = bank.dropped_by_import(n, n.where("l_quantity >= 10"))
     return lost.select("hash", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
 
 
