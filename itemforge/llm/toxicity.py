@@ -274,7 +274,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = 400
         units = words.distinct().select("toxic", "before", F.explode(stems).alias("u")).where("u is not null").distinct()
         seen = units.groupBy("u").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
         a, b = F.col("a") / float(totals[1]), (F.col("b") + 0.5) / float(totals[0])
-        least = max(2, min(8, totals[1] // 60))
+        least = max(5, min(8, totals[1] // 12))
         signs = seen.where((F.col("a") >= least) & (a > 12 * b)).orderBy(F.desc("a"), "u").limit(5000)
         signs = {r["u"] for r in signs.select("u").collect()}
 
