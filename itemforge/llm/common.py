@@ -6,8 +6,9 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +52,34 @@ def text_crc32(col):
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
 
 
+def _filter_bits(h: Column, bits: int) -> list[Column]:
+    """The two bits of a filter that stand for a 64-bit hash."""
+    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 31), F.lit(bits))]
+
+
+def hash_filter(hashes: DataFrame, bits: int) -> Callable[[Column], Column]:
+    """A test whether a 64-bit hash may be among hashes (one long column): never wrong
+    about those that are, and rarely about others. bits, a power of two, is its size,
+    which doesn't grow with the data; what passes still goes through an exact join."""
+    name = hashes.columns[0]
+    marks = hashes.select(F.explode(F.array(*_filter_bits(F.col(name), bits))).alias("b")).distinct()
+    words = marks.groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
+    every = hashes.sparkSession.range(bits // 64).select(F.col("id").alias("w"))
+    every = every.join(words, "w", "left").select(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")).alias("x"))
+    dense = every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("words")).scalar()
+
+    def maybe(h: Column) -> Column:
+        a, b = [F.getbit(F.get(dense, (i / 64).cast("int")), (i % 64).cast("int")) == 1 for i in _filter_bits(h, bits)]
+        return a & b
+
+    return maybe
+
+
+def filter_size(n: int, least: int = 1 << 16, most: int = 1 << 25) -> int:
+    """Bits of a filter for n hashes, at most `most` (4 MB): a fuller one only lets more pass."""
+    return min(most, max(least, 1 << (16 * max(1, n) - 1).bit_length()))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of edges(a, b); comp is the least node it is
     connected with. Alternates large-star and small-star steps, which need

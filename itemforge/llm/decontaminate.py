@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_filter
+
 #: Tokens of a window that must agree, but for SUBSTITUTIONS of them.
 WINDOW = 13
 SUBSTITUTIONS = 3
@@ -52,20 +54,6 @@ def _places(df: DataFrame) -> DataFrame:
     return df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - min(m[-1] + 1 for m in MASKS))))
 
 
-def _bits(seed: Column) -> list[Column]:
-    """The two bits of the filter that stand for a seed."""
-    return [F.pmod(seed, F.lit(FILTER_BITS)), F.pmod(F.shiftright(seed, 23), F.lit(FILTER_BITS))]
-
-
-def _filter_words(seeds: DataFrame) -> DataFrame:
-    """One row with the filter as FILTER_BITS / 64 longs."""
-    bits = seeds.select(F.explode(F.array(*_bits(F.col("seed")))).alias("b")).distinct()
-    words = bits.groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-    every = seeds.sparkSession.range(FILTER_BITS // 64).select(F.col("id").alias("w"))
-    every = every.join(words, "w", "left").select(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")).alias("x"))
-    return every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("words"))
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """(doc_id, item_id, n_match, window_tokens, doc_token, item_token): one row per
     document and benchmark item that overlap, with the best aligned window.
@@ -87,12 +75,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     items = benchmark.select(F.col(item_id_col).alias("item_id"), tokens(F.col(item_text_col)).alias("t"))
     items = _places(items).withColumn("seed", F.explode(F.array(*_seeds()))).where("seed is not null")
     items = items.select("seed", "item_id", F.col("i").alias("item_token"), F.least("n", F.lit(window)).alias("window_tokens"), _around().alias("theirs"))
-    words = _filter_words(items.select("seed")).scalar()
-
-    def maybe(seed: Column) -> Column:
-        one = [F.getbit(F.get(words, (b / 64).cast("int")), (b % 64).cast("int")) == 1 for b in _bits(seed)]
-        return one[0] & one[1]
-
+    maybe = hash_filter(items.select("seed"), FILTER_BITS)
     found = _places(docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("t")))
     # explode() evaluates each seed once; what stands behind the filter runs for hits only.
     found = found.withColumn("seed", F.explode(F.array(*_seeds()))).where(maybe(F.col("seed")))

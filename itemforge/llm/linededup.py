@@ -12,13 +12,15 @@ So no pairs of a group are made. Pairs (line, earliest) are then verified.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import filter_size, hash_filter, materialize
 
 #: Shorter lines are never touched.
 MIN_WORDS = 3
@@ -91,26 +93,28 @@ def _emit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _near_lines(docs: DataFrame, distinct: DataFrame, fuzzy_words: int) -> DataFrame:
     """(place, pivot): distinct lines, by their first place, that have an earlier line
     one word apart, with the earliest such."""
-    halves = distinct.where(F.col("n") >= fuzzy_words).select("place", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("half")
+    # Lines that agree with no other in a half can have no line one word apart. Which
+    # halves are shared is kept in a filter, so that only sums over halves are shuffled.
+    halves = distinct.where(F.col("n") >= fuzzy_words).select("k1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
     shared = materialize(shared, "halves")
-    # Other lines agree with no line in a half, so no variant of theirs can meet one.
-    ours = halves.join(shared, "half").select("place").distinct()
-    ours = ours.join(distinct.select("place", "doc_id", "line_no"), "place")
+    is_shared = hash_filter(shared, filter_size(shared.count()))
+    ours = distinct.where(F.col("n") >= fuzzy_words).select("place", "halves").where(reduce(or_, [is_shared(F.get("halves", F.lit(i))) for i in range(4)])).select("place")
     ours = materialize(ours, "lines-near")
-    texts = docs.select(F.col("_id").alias("_i"), F.col("_text").alias("_t"))
-    ids = ours.select("doc_id").distinct()
-    texts = texts.join(ids, F.col("_i").eqNullSafe(F.col("doc_id")), "left_semi")
-    lines = texts.select("_i", F.posexplode(F.split("_t", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("p", _place(F.col("_i"), F.col("line_no"))).join(ours.select("place"), F.col("p") == F.col("place"))
-    lines = lines.select("place", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
+    # The words of these lines are read from the documents again; the filter keeps other lines out of the join.
+    is_ours = hash_filter(ours.select(F.xxhash64("place").alias("h")), filter_size(ours.count()))
+    lines = docs.select("_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("p", _place(F.col("_id"), F.col("line_no"))).where(is_ours(F.xxhash64("p")))
+    lines = lines.select("p", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
+    lines = lines.join(ours, F.col("p") == F.col("place")).select("place", "w")
     lines = materialize(lines.where(F.size("w") >= fuzzy_words), "lines-words")
     variants = lines.mapInArrow(_emit_variants, "place decimal(38,0), role byte, key long")
     first = [F.min(F.when(F.col("role") == r, F.col("place"))).alias(f"m{r}") for r in (HOLE, WHOLE, SHORT)]
     met = variants.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), *first).where("lo <> hi").drop("lo", "hi")
     met = materialize(met, "lines-met")
+    has_met = hash_filter(met.select("key"), filter_size(met.count()))
     pivot = F.when(F.col("role") == HOLE, F.col(f"m{HOLE}")).when(F.col("role") == WHOLE, F.col(f"m{SHORT}")).otherwise(F.col(f"m{WHOLE}"))
-    pairs = variants.join(met, "key").select("place", pivot.alias("pivot")).where("pivot < place").distinct()
+    pairs = variants.where(has_met(F.col("key"))).join(met, "key").select("place", pivot.alias("pivot")).where("pivot < place").distinct()
     # The edit distance: behind their common beginning one word is skipped in the longer line, or in both.
     x = lines.select("place", F.col("w").alias("x"))
     y = lines.select(F.col("place").alias("pivot"), F.col("w").alias("y"))
@@ -141,17 +145,14 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     halves = F.when(F.col("n") >= fuzzy_words, F.array(*_halves()))
     lines = lines.select(F.col("_id").alias("doc_id"), "line_no", place.alias("place"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"), "n", halves.alias("halves"))
     lines = materialize(lines, "lines")
-    seen = lines.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct("place", "n", "halves")).alias("first")
+    seen = lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("times")).select("k1", "k2", "first.*", "times")
     seen = materialize(seen, "lines-seen")
-    firsts = seen.select(F.col("k1").alias("a"), F.col("k2").alias("b"), "first")
-    # Of the rows of a line the one at its first place has the halves.
-    distinct = lines.join(firsts, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")) & (F.col("place") == F.col("first")))
-    distinct = materialize(distinct.select("place", "doc_id", "line_no", "k1", "k2", "n", "halves"), "lines-distinct")
-    near = _near_lines(rows, distinct, fuzzy_words)
-    near = near.join(distinct, "place").select("k1", "k2", F.lit(True).alias("near"))
-    keys = seen.join(near, ["k1", "k2"], "left").where("times > 1 or near").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    keys = materialize(keys, "lines-keys")
-    gone = lines.drop("halves", "n").join(keys, ["k1", "k2"]).where("near or place > first")
+    near = _near_lines(rows, seen, fuzzy_words).select("place", F.lit(True).alias("near"))
+    keys = seen.select("k1", "k2", "place", "times").join(near, "place", "left").where("times > 1 or near")
+    keys = materialize(keys.select("k1", "k2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "lines-keys")
+    is_key = hash_filter(keys.select("k1"), filter_size(keys.count()))
+    gone = lines.where(is_key(F.col("k1"))).select("doc_id", "line_no", "place", "k1", "k2").join(keys, ["k1", "k2"]).where("near or place > first")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
@@ -162,7 +163,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = find_duplicate_lines(docs, id_col, text_col, min_words, fuzzy_words).select(F.col("doc_id").alias("_gone"), F.col("dropped").alias("_dropped"))
     columns = [c for c in docs.columns if c not in counts]
     kinds = dict(docs.dtypes)
-    rows = docs.select(*[F.col(c) for c in columns]).join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left").drop("_gone")
+    # What is dropped grows with the documents, so it is never broadcast.
+    rows = docs.select(*[F.col(c) for c in columns]).join(gone.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left").drop("_gone")
     k = columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
