@@ -176,6 +176,50 @@ def replace_figures(text: Column, figures: Column) -> Column:
     return F.aggregate(figures, text, lambda t, f: F.regexp_replace(t, F.concat(F.lit("figura:"), f["name"], F.lit("(?![A-Za-z0-9_])")), f["url"]))
 
 
+# How reference paragraphs begin, what else marks one, and their markup.
+REFERENCE_HEAD = r"(?iu)^\(?\s*(?:fontes?\s*(?:\([^)]*\)\s*)?:|dispon[ií]vel em|adaptad[oa] de|texto adaptado|extra[ií]d[oa] d[eo]|retirad[oa] d[eo]|imagem dispon[ií]vel|foto:|ilustra[cç][aã]o:|cr[eé]dito)"
+REFERENCE_MARK = r"(?iu)acesso em\s*:|dispon[ií]vel em\s*:"
+REFERENCE_OPEN, REFERENCE_CLOSE = '<p style="text-align: right;"><sub>', "</sub></p>"
+
+
+def is_reference(paragraph: Column) -> Column:
+    """Whether a paragraph is a source or a picture credit."""
+    bare = strip(F.regexp_replace(strip(paragraph), r"^[*_]+|[*_]+$", ""))
+    other = bare.startswith("<p") | bare.startswith("!") | bare.startswith("|") | bare.contains("$") | bare.contains("\n\n")
+    return (bare != "") & ~other & (bare.rlike(REFERENCE_HEAD) | ((F.length(bare) < 500) & bare.rlike(REFERENCE_MARK)))
+
+
+def reference_html(paragraph: Column) -> Column:
+    """A reference without emphasis around it and link markup, in its standard markup."""
+    bare = strip(paragraph)
+    for _ in range(3):  # emphasis is at most three deep
+        bare = strip(F.regexp_replace(bare, r"(?s)^(\*{1,3}|_{1,3})(.+?)\1$", "$2"))
+    bare = F.regexp_replace(bare, r"<(https?://[^>\s]+)>", "$1")
+    bare = F.regexp_replace(bare, r"\[([^\]]+)\]\((https?://[^)]+)\)", "$1")
+    bare = F.replace(F.replace(bare, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.concat(F.regexp_extract(paragraph, r"(?U)^(\s*)", 1), F.lit(REFERENCE_OPEN), bare, F.lit(REFERENCE_CLOSE))
+
+
+def format_references(text: Column) -> Column:
+    """Each reference paragraph in its standard markup; what parts paragraphs stays."""
+    gap = r"\n\s*\n"
+    parts, gaps = F.split(text, gap), F.regexp_extract_all(text, F.lit(gap), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(i > 0, F.get(gaps, i - 1)).otherwise(""), F.when(is_reference(p), reference_html(p)).otherwise(p))), "")
+
+
+def separate_tables(text: Column) -> Column:
+    """An empty line between a pipe table and the text it touches."""
+    rows = F.split(text, "\n")
+    row = lambda x: strip(x).startswith("|")
+
+    def with_gap(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(rows, i - 1), F.lit(""))
+        touches = (strip(before) != "") & (strip(x) != "") & (row(x) != row(before))
+        return F.concat(F.when((i > 0) & touches, "\n").otherwise(""), x)
+
+    return F.array_join(F.transform(rows, with_gap), "\n")
+
+
 # Numbers, titles and headers
 
 

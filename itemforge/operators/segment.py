@@ -204,3 +204,44 @@ def answer_page(pages: DataFrame, segments_: DataFrame) -> DataFrame:
     last = segments_.groupBy("doc").agg(F.max("page").alias("_last"))
     empty = pages.join(segments_.select(*ON).distinct(), ON, "left_anti").join(last, "doc")
     return empty.where("page > _last").groupBy("doc").agg(F.min("page").alias("page"))
+
+
+def smooth_bold(words: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """words (keys, ord, text, bold) with short words between two bold ones made bold. The
+    left one may itself have been made so, hence a fold over each line's words."""
+    rows = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "text", "bold"))).alias("_w"))
+    start = F.array().cast("array<boolean>")
+
+    def step(acc: Column, x: Column) -> Column:
+        i = F.size(acc)
+        short = F.length(F.regexp_replace(x["text"], "[^A-Za-zÀ-ú0-9]", "")) <= 3
+        between = F.coalesce(F.get(acc, i - 1), F.lit(False)) & F.coalesce(F.get("_w", i + 1)["bold"], F.lit(False))
+        return F.concat(acc, F.array(x["bold"] | (short & between)))
+
+    rows = rows.withColumn("_b", F.aggregate("_w", start, step))
+    return rows.select(*keys, F.inline(F.zip_with("_w", "_b", lambda w, b: F.struct(w[order].alias(order), w["text"].alias("text"), b.alias("bold")))))
+
+
+def merge_tiles(images: DataFrame, gap: float = 1.5, off: float = 2.0) -> DataFrame:
+    """Pictures cut in tiles, as one box each: tiles touch when one continues the other's
+    column or row. Merged boxes can touch again, so each page repeats until none does."""
+    import pandas as pd
+
+    def page(rows: pd.DataFrame) -> pd.DataFrame:
+        boxes = rows[["x0", "y0", "x1", "y1"]].to_numpy().tolist()
+
+        def touch(a: list[float], b: list[float]) -> bool:
+            apart_x, apart_y = max(a[0], b[0]) - min(a[2], b[2]), max(a[1], b[1]) - min(a[3], b[3])
+            same_x, same_y = abs(a[0] - b[0]) < off and abs(a[2] - b[2]) < off, abs(a[1] - b[1]) < off and abs(a[3] - b[3]) < off
+            return (same_x and apart_y <= gap) or (same_y and apart_x <= gap)
+
+        merged: list[list[float]] = []
+        for box in boxes:
+            while (k := next((k for k, m in enumerate(merged) if touch(m, box)), None)) is not None:
+                m = merged.pop(k)
+                box = [min(m[0], box[0]), min(m[1], box[1]), max(m[2], box[2]), max(m[3], box[3])]
+            merged.append(box)
+        out = pd.DataFrame(sorted(merged, key=lambda m: (m[1], m[0])), columns=["x0", "y0", "x1", "y1"])
+        return out.assign(doc=rows["doc"].iloc[0], page=rows["page"].iloc[0], ord=range(len(out)))[["doc", "page", "ord", "x0", "y0", "x1", "y1"]]
+
+    return images.select("doc", "page", "ord", "x0", "y0", "x1", "y1").groupBy("doc", "page").applyInPandas(page, "doc string, page int, ord int, x0 double, y0 double, x1 double, y1 double")

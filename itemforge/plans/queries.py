@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import numeric
 from ..functions import text as t
 from ..operators import assemble, bank, export, ordered, segment, spatial, validate, views
 
@@ -360,13 +361,9 @@ z AS (SELECT vec_id, label, list_transform(e, lambda x: x - list_avg(e)) AS c FR
 SELECT u.vec_id, round(list_inner_product(u.c, m.c), 4) AS score FROM u JOIN (SELECT label, arg_min(c, vec_id) AS c FROM u GROUP BY label) m USING (label)""")
 def grid_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zero-mean, unit-norm product of each grid with its letter's template."""
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", e.alias("e"))
-    rows = rows.withColumn("m", total(F.col("e")) / F.size("e")).withColumn("c", F.transform("e", lambda x: x - F.col("m")))
-    rows = rows.withColumn("s", F.sqrt(total(F.transform("c", lambda x: x * x)))).select("vec_id", "label", F.transform("c", lambda x: x / F.col("s")).alias("c"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", numeric.standardised(F.col("embedding")).alias("c"))
     template = rows.groupBy("label").agg(F.min_by("c", "vec_id").alias("t"))
-    return rows.join(template, "label").select("vec_id", F.round(total(F.zip_with("c", "t", lambda a, b: a * b)), 4).alias("score"))
+    return rows.join(template, "label").select("vec_id", F.round(numeric.product(F.col("c"), F.col("t")), 4).alias("score"))
 
 
 # Text
@@ -515,6 +512,25 @@ def content_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", hash_.alias("hash"), export.figure_path(hash_, name).alias("path"), F.size(export.in_pieces(F.col("text"), 500)).alias("pieces"))
 
 
+_PARA = r"CASE WHEN doc_id % 3 = 0 THEN concat(text, chr(10), chr(10), '**Fonte: livro ', doc_id, ' <a>**', chr(10), ' ', chr(10), 'end') ELSE text END"
+
+
+@query(rf"""
+SELECT doc_id, md5(replace(x, concat('**Fonte: livro ', doc_id, ' <a>**'), concat('{t.REFERENCE_OPEN}Fonte: livro ', doc_id, ' &lt;a&gt;{t.REFERENCE_CLOSE}'))) AS digest FROM (SELECT doc_id, {_PARA} AS x FROM documents)""")
+def reference_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n\n**Fonte: livro "), i, F.lit(" <a>**\n \nend"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("x")).select("doc_id", F.md5(t.format_references(F.col("x"))).alias("digest"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+p AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY i), '') AS b FROM l)
+SELECT doc_id, md5(string_agg(CASE WHEN i > 0 AND trim(b) <> '' AND trim(x) <> '' AND starts_with(trim(x), '|') <> starts_with(trim(b), '|') THEN chr(10) || x ELSE x END, chr(10) ORDER BY i)) AS digest FROM p GROUP BY doc_id""")
+def tables_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.separate_tables(F.col("text"))).alias("digest"))
+
+
 @query()
 def nfkd_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.key(F.col("text"), exact=True)).alias("digest"))

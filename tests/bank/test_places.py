@@ -67,3 +67,18 @@ def test_questions_run_over_columns_and_pages(spark):
     assert segment.stray_content(lines, images, parts, bottoms).count() == 0
     assert [r.page for r in segment.answer_page(pages, parts).collect()] == [3]
     assert segment.missing_numbers(parts.where("kind = 'new' and number <> 2")).first().missing == [2]
+
+
+def test_short_words_between_bold_ones(spark):
+    words = [("l", i, w, b) for i, (w, b) in enumerate([("Tranças", True), ("e", False), ("de", False), ("resistência", True), ("a", False), ("longer", False), ("x", True)])]
+    got = segment.smooth_bold(spark.createDataFrame(words, "line string, ord int, text string, bold boolean"), ["line"]).orderBy("ord").collect()
+    assert [r.bold for r in got] == [True, False, False, True, False, False, True]
+    words[2] = ("l", 2, "fim", True)
+    got = segment.smooth_bold(spark.createDataFrame(words, "line string, ord int, text string, bold boolean"), ["line"]).orderBy("ord").collect()
+    assert [r.bold for r in got][:4] == [True] * 4
+
+
+def test_tiles_become_one_picture(spark):
+    tiles = [("d", 1, 0, 0.0, 0.0, 50.0, 20.0), ("d", 1, 1, 0.0, 40.0, 50.0, 60.0), ("d", 1, 2, 0.0, 21.0, 50.0, 40.0), ("d", 1, 3, 90.0, 0.0, 120.0, 20.0)]
+    got = segment.merge_tiles(spark.createDataFrame(tiles, schema.IMAGE)).collect()
+    assert sorted((r.x0, r.y0, r.x1, r.y1) for r in got) == [(0, 0, 50, 60), (90, 0, 120, 20)]

@@ -72,3 +72,22 @@ def test_source_against_transcription(spark):
     for letters, bad in ((list("ABCDE"), False), (list("CAB"), False), (list("ABCAB"), True), (["C", "B"], True), (["A"], False), ([], False)):
         assert value(spark, t.letters_out_of_order(F.col("x")), x=letters) is bad
     assert value(spark, t.answer_pairs(F.col("x")), x="1\nA\n 12 \n C\n") == {"01": "A", "12": "C"}
+
+
+def test_references_and_tables(spark):
+    text = "intro\n\n*Fonte: UNICAMP, 2014.*\n \n|a|\nnext"
+    assert value(spark, t.format_references(F.col("x")), x=text) == 'intro\n\n<p style="text-align: right;"><sub>Fonte: UNICAMP, 2014.</sub></p>\n \n|a|\nnext'
+    again = value(spark, t.format_references(t.format_references(F.col("x"))), x=text)
+    assert again == value(spark, t.format_references(F.col("x")), x=text)
+    assert value(spark, t.reference_html(F.col("x")), x=" **_Disponível em: <https://a.b> [c](http://d) x<y_**") == ' <p style="text-align: right;"><sub>Disponível em: https://a.b c x&lt;y</sub></p>'
+    for p, yes in (("Fonte (adaptada): x", True), ("O livro. Acesso em: 2 jan.", True), ("Texto sobre a fonte", False), ("Fonte: $x$", False), ("", False)):
+        assert value(spark, t.is_reference(F.col("x")), x=p) is yes
+    assert value(spark, t.separate_tables(F.col("x")), x="a\n|b|\n|c|\nd\n\n|e|") == "a\n\n|b|\n|c|\n\nd\n\n|e|"
+
+
+def test_numbers(spark):
+    from itemforge.functions import numeric as n
+
+    row = spark.createDataFrame([([3.0, 1.0, 3.0, 2.0],)], "a array<double>").select(n.argmax(F.col("a")).alias("i"), n.middle(F.col("a")).alias("m"), n.chosen_probability(F.col("a")).alias("p"), n.confidence(F.array(F.lit(0.5), F.lit(0.125))).alias("c"), n.standardised(F.array(F.lit(2.0), F.lit(2.0))).alias("s"), n.shrink_to(F.lit(2000), F.lit(1150), 1_150_000).alias("k")).first()
+    assert (row.i, row.m, row.s) == (0, 3.0, [0.0, 0.0]) and abs(row.p - 1 / (2 + 2.718281828 ** -2 + 2.718281828 ** -1)) < 1e-9
+    assert (row.c.least, round(row.c.mean, 9)) == (0.125, 0.25) and abs(row.k - 0.5**0.5) < 1e-12
