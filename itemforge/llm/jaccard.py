@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, filter_size, hash_filter, materialize
 
 #: Tokens that a run chooses from a set, on average, at each level of a path.
 CHOSEN = 3
@@ -234,7 +234,10 @@ def _bucket_rows(sets: DataFrame, runs: int, levels: int) -> DataFrame:
         count = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         count = materialize(count, f"buckets{k}")
         final = k == levels
-        ready = level.join(count if final else count.where(F.col("n") <= BUCKET), "bucket")
+        wanted = count if final else count.where(F.col("n") <= BUCKET)
+        shared = hash_filter(count.select("bucket"), filter_size(count.count()))
+        level = level.where(shared(F.col("bucket")))  # most tokens are in one set only
+        ready = level.join(wanted.hint("merge"), "bucket")
         ready = ready.select("bucket", "node", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks"))
         done = ready if done is None else done.unionByName(ready)
         if final:
@@ -246,7 +249,7 @@ def _bucket_rows(sets: DataFrame, runs: int, levels: int) -> DataFrame:
         deeper = deeper.select("node", "run", "bucket", F.explode(F.get("chosen", F.col("run") * levels + k)).alias("t"))
         level = deeper.select("node", "run", F.xxhash64("bucket", "t").alias("bucket"))
     done = done.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    return _in_blocks(done.join(sets.select("node", "size", "sketch"), "node"), "bucket", "block", "blocks").select("bucket", "b1", "b2", "node", "size", "sketch")
+    return _in_blocks(done.join(sets.select("node", "size", "sketch").hint("merge"), "node"), "bucket", "block", "blocks").select("bucket", "b1", "b2", "node", "size", "sketch")
 
 
 def exact_links(n: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -333,17 +336,21 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
     sketched = rows.mapInArrow(sketch_partition(n, runs, LEVELS), "doc_id long, node binary, size long, sketch binary, chosen array<array<long>>")
     sketched = materialize(sketched, "sketches")
     members = sketched.select("doc_id", "node")
-    # Equal sets have equal sketches and tokens, so one row of them stands for all.
     alone = members.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     alone = materialize(alone, "set-counts")
-    rep = alone.select(F.col("node").alias("_n"), "least")
-    sets = sketched.join(rep, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = sets.dropDuplicates(["node", "doc_id"]).drop("_n", "least", "doc_id")
+    # Equal sets have equal sketches and tokens, so one row of them stands for all. Only
+    # what may have copies goes through the join that finds it.
+    copied = alone.where("copies > 1").select(F.xxhash64("node").alias("h"))
+    may_be_copied = hash_filter(copied, filter_size(copied.count()))
+    known = sketched.where("node is not null")
+    maybe = known.where(may_be_copied(F.xxhash64("node"))).join(alone.select(F.col("node").alias("_n"), "least").hint("merge"), F.col("node") == F.col("_n"))
+    maybe = maybe.where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"]).drop("_n", "least")
+    sets = known.where(~may_be_copied(F.xxhash64("node"))).unionByName(maybe).drop("doc_id")
     sets = materialize(sets, "sets")
     dealt = _bucket_rows(sets, runs, LEVELS)
     dealt = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2", "node")
     links = materialize(dealt.mapInArrow(bucket_links(similarity), "a binary, b binary").distinct(), "bucket-links")
-    counted = _count_links(rows, links, alone, n, similarity)
+    counted = _count_links(rows, links, alone, sets.select("node", "size"), n, similarity)
     forest = counted.where("b is not null").select("a", "b")
     groups = connected_components(forest)
     totals = counted.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
@@ -353,23 +360,25 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
     named = named.join(least, "comp", "left").select("node", (F.col("links") + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"), F.coalesce("class_id", "least").alias("class_id"))
     named = materialize(named, "set-results")
     zero = F.lit(0).cast("long")
-    out = members.join(named, "node", "left")
+    out = members.join(named.hint("merge"), "node", "left")
     out = out.select("doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _count_links(rows: DataFrame, links: DataFrame, alone: DataFrame, n: int, similarity: float) -> DataFrame:
-    """exact_links() over the components that the links of the buckets make."""
-    comp = materialize(connected_components(links).join(alone, "node"), "candidates")
-    texts = rows.join(comp.select("node", "comp", "least", "copies"), F.col("doc_id").eqNullSafe(F.col("least")))
-    texts = texts.select("node", "text", "comp", "copies")
-    sets = texts.mapInArrow(_set_partition(n), "node binary, tokens binary, comp binary, copies long")
-    sets = materialize(sets.where("tokens is not null"), "candidate-sets")
-    per = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("tokens") / 8).alias("tokens_in"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("tokens_in") / BLOCK_TOKENS)).cast("int")
-    per = materialize(per.select("comp", blocks.alias("blocks")), "components")
-    dealt = sets.join(per, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = _in_blocks(dealt, "comp", "block", "blocks").select("comp", "b1", "b2", "block", "node", "copies", "tokens")
+def _count_links(rows: DataFrame, links: DataFrame, alone: DataFrame, sizes: DataFrame, n: int, similarity: float) -> DataFrame:
+    """exact_links() over the components that the links of the buckets make. Texts of
+    sets in no component stay where they are; whole sets are shuffled once."""
+    comp = connected_components(links).join(alone, "node").join(sizes, "node")
+    comp = materialize(comp, "candidates")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_TOKENS)).cast("int")
+    per = materialize(comp.groupBy("comp").agg(blocks.alias("blocks")), "components")
+    comp = comp.join(per, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    comp = materialize(comp.select("node", "comp", "least", "copies", "block", "blocks"), "candidate-blocks")
+    wanted = hash_filter(comp.select(F.xxhash64("least").alias("h")), filter_size(comp.count()))
+    texts = rows.where(wanted(F.xxhash64("doc_id"))).join(comp.hint("merge"), F.col("doc_id").eqNullSafe(F.col("least")))
+    texts = texts.select("node", "text", "comp", "copies", "block", "blocks")
+    sets = texts.mapInArrow(_set_partition(n), "node binary, tokens binary, comp binary, copies long, block int, blocks int")
+    dealt = _in_blocks(sets.where("tokens is not null"), "comp", "block", "blocks").select("comp", "b1", "b2", "block", "node", "copies", "tokens")
     dealt = dealt.repartition("comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "node")
     return materialize(dealt.mapInArrow(exact_links(n, similarity), "a binary, b binary, links long"), "links")
 
