@@ -115,7 +115,7 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
                 words = t.split()
             split.append(words)
             fresh.update(words)
-        fresh.difference_update(memo)
+        fresh = {c for c in fresh if c not in memo}  # a set difference would walk the whole memo
         if fresh:
             ends = [c for c in fresh if c[-1] in ".," and c[:-1].isalpha()]
             base = {c for c in fresh if not (c[-1] in ".," and c[:-1].isalpha())}
