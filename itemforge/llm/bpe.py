@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import worker_store
 
 #: Entries after which a worker's memo is emptied.
-MEMO_MAX = 1_500_000
+MEMO_MAX = 600_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -160,7 +160,7 @@ class Codec:
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         split = [self.split(p) for p in pieces]
-        new = list({w for s in split for w in s} - self.words.keys())
+        new = [w for w in {w for s in split for w in s} if w not in self.words]  # a set difference would walk the whole memo
         if new:
             self._learn_words(new)
         for p, s in zip(pieces, split):
@@ -181,7 +181,7 @@ class Codec:
             else:
                 parts = t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t]
             split.append(parts)
-        new = list({p for s in split for p in s} - self.pieces.keys() - {""})
+        new = [p for p in {p for s in split for p in s} if p and p not in self.pieces]
         if new:
             self._learn_pieces(new)
         self.pieces[""] = b""
