@@ -3,9 +3,12 @@
 Every vector has a list of near neighbours. A round lets the neighbours of each vector
 meet: neighbours of neighbours are compared, and better ones enter the lists. A list
 that neighbours above the threshold fill is enlarged. Edges above the threshold tie
-vectors into components; the exact step compares all vectors of a component, block
-against block inside tasks, so no list length limits the links. An audit compares a
-bounded sample with all vectors, and more rounds follow while too many links are missed.
+vectors into components. Then every vector has a second list, of its nearest vectors in
+other components. What is above the threshold in it merges components and leaves the
+list, so it never closes, however many near copies a vector has. Such rounds go on while
+they merge anything. The exact step compares all vectors of a component, block against
+block inside tasks. An audit compares a bounded sample with all vectors, and more rounds
+follow while the vectors of any number of links miss too many of them.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ LIST, LIST_MAX = 8, 32
 #: Orders by random hyperplanes and places looked at in each, for the first lists.
 ORDERS, REACH = 3, 6
 BLOCK = 512
-#: Vectors of each kind (any, linked) that the audit compares with all.
-AUDIT = 200
+#: Vectors of any kind, and of components of each size (by powers of two), that the
+#: audit compares with all.
+AUDIT, AUDIT_SIZE = 200, 40
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +73,8 @@ def _codes(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             if d not in planes:
                 planes[d] = np.random.default_rng([seed, d]).standard_normal((d, 30))
             code = ((x @ planes[d]) > 0) @ (1 << np.arange(30, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([group.column("part"), pa.array(code), group.column("node"), group.column("x")], names=["part", "code", "node", "x"])
+            more = group.schema.names[3:]
+            yield pa.RecordBatch.from_arrays([group.column("part"), pa.array(code), group.column("node"), group.column("x"), *[group.column(c) for c in more]], names=["part", "code", "node", "x", *more])
 
     return run
 
@@ -108,9 +113,34 @@ def _look_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(s, pa.float64())], names=["u", "v", "sim"])
 
 
-def _meet(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _look_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates in other components: for each vector, the last two vectors of each of
+    the last REACH components before it in the order and, within a batch, behind it."""
+    part, seen = None, {}
+    for group in _runs_of_part(batches):
+        own, ids, comps, x = group.column("part")[0].as_py(), group.column("node").to_pylist(), group.column("comp").to_pylist(), _matrix(group.column("x"))
+        if own != part:
+            part, seen = own, {}
+        u, v, s = [], [], []
+        for way, recent in ((range(len(ids)), seen), (range(len(ids) - 1, -1, -1), {})):
+            for i in way:
+                others = [e for c, held in recent.items() if c != comps[i] for e in held]
+                if others:
+                    u += [ids[i]] * len(others)
+                    v += [name for name, _ in others]
+                    s += (np.stack([y for _, y in others]) @ x[i]).tolist()
+                held = recent.pop(comps[i], [])
+                recent[comps[i]] = [*held[-1:], (ids[i], x[i])]
+                if len(recent) > REACH:
+                    del recent[next(iter(recent))]
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(s, pa.float64())], names=["u", "v", "sim"])
+
+
+def _meet(threshold: float, across: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The local join: pairs of a vector's neighbours of which one is new. Each gets
-    its best few of them that beat its list, and a few others above the threshold."""
+    its best few of them that beat its list, and a few others above the threshold.
+    Across: only pairs of two components, given in comp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: list[bytes] = []
@@ -123,11 +153,18 @@ def _meet(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             new = np.array(group.column("new"))
             if not new.any():
                 continue
+            if across:
+                codes: dict[bytes, int] = {}
+                comp = np.array([codes.setdefault(c, len(codes)) for c in group.column("comp").to_pylist()])
+                if len(codes) < 2:
+                    continue
             x = _matrix(group.column("x"))
             bar = np.array(group.column("bar"), np.float64)
             sim = x @ x.T
             open_ = (new[:, None] | new[None]) & (sim > bar[:, None])
             np.fill_diagonal(open_, False)
+            if across:
+                open_ &= comp[:, None] != comp[None]
             score = np.where(open_, sim, -2.0)
             best = np.argsort(-score, 1)[:, :LIST]
             take = np.zeros_like(open_)
@@ -184,6 +221,44 @@ def _round(lists: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     return _lists(lists.select("u", "v", "sim", F.lit(False).alias("new")).unionByName(found), threshold)
 
 
+def _some(pairs: DataFrame, seed: int) -> DataFrame:
+    """(p, c), both ways, and of a vector that very many are paired with a sample of
+    them, another one for each seed."""
+    both = pairs.select(F.col("u").alias("p"), F.col("v").alias("c")).unionByName(pairs.select(F.col("v").alias("p"), F.col("u").alias("c"))).distinct()
+    degree = both.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * LIST).select(F.col("p").alias("_p"), "n")
+    share = F.lit(4.0 * LIST) / F.col("n")
+    both = both.join(degree, F.col("p") == F.col("_p"), "left")
+    return both.where(F.col("n").isNull() | (F.pmod(F.xxhash64(F.lit(seed), "p", "c"), F.lit(1 << 20)) < share * (1 << 20))).select("p", "c")
+
+
+def _foreign(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (u, v, sim) of two components."""
+    ends = [comps.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}")) for c in ("u", "v")]
+    pairs = pairs.join(ends[0], "u", "left").join(ends[1], "v", "left")
+    return pairs.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v", "sim")
+
+
+def _across(lists: DataFrame, foreign: DataFrame, vecs: DataFrame, comps: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """A round of the lists (u, v, sim) of the LIST nearest vectors in other components.
+    What is above the threshold always enters."""
+    named = vecs.join(comps, "node", "left").select("part", "node", "x", F.coalesce("comp", "node").alias("comp"))
+    named = materialize(named, "vectors-in-components")
+    order = named.mapInArrow(_codes(seed), "part string, code long, node binary, x binary, comp binary").repartitionByRange("part", "code").sortWithinPartitions("part", "code", "node")
+    found = order.mapInArrow(_look_across, "u binary, v binary, sim double")
+    full = F.min("sim").alias("last"), F.count(F.lit(1)).alias("n")
+    bars = foreign.groupBy(F.col("u").alias("c")).agg(*full).select("c", F.when(F.col("n") >= LIST, F.least("last", F.lit(threshold - 1e-9))).alias("bar"))
+    # Neighbours of either kind meet; the own component's don't crowd out the others.
+    # The nearest in other components are never sampled, only those that name a vector as such.
+    met = _some(lists, seed).unionByName(_some(foreign, seed)).unionByName(foreign.select(F.col("u").alias("p"), F.col("v").alias("c"))).distinct()
+    met = met.join(bars, "c", "left").join(named.select(F.col("node").alias("c"), "x", "comp"), "c")
+    met = met.select("p", "c", F.lit(True).alias("new"), F.coalesce("bar", F.lit(-2.0)).alias("bar"), "x", "comp")
+    met = met.repartition("p").sortWithinPartitions("p", "c")
+    found = found.unionByName(met.mapInArrow(_meet(threshold, True), "u binary, v binary, sim double")).unionByName(foreign)
+    found = found.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    near = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
+    return found.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= LIST).drop("_r")
+
+
 def _count(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -199,14 +274,19 @@ def _count(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def audit_recall(vecs: DataFrame, comps: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """The share of the links of a bounded sample of vectors that lie inside their
-    components: `sample` of all and `sample` of those in components, against all vectors."""
-    named = vecs.join(comps.select("node", "comp"), "node", "left")
+    """The mean share of a vector's links that lie inside its component, over a bounded
+    sample of vectors with links: `sample` of all and AUDIT_SIZE of the components of each
+    size, against all vectors. Vectors are grouped by their number of links (by powers of
+    two) and the least mean counts, so that large groups don't hide what others miss."""
+    sizes = comps.groupBy("comp").agg(F.floor(F.log2(F.count(F.lit(1)))).alias("kind"))
+    named = vecs.join(comps.select("node", "comp"), "node", "left").join(sizes, "comp", "left")
     h = F.xxhash64("node")
-    some = named.orderBy(h).limit(sample).collect() + named.where("comp is not null").orderBy(h).limit(sample).collect()
+    each = Window.partitionBy("kind").orderBy(h, "node")
+    drawn = named.where("kind is not null").withColumn("_r", F.row_number().over(each)).where(F.col("_r") <= AUDIT_SIZE).drop("_r")
+    some = {r["node"]: r for r in named.orderBy(h, "node").limit(sample).collect() + drawn.select(named.columns).collect()}
     if not some:
         return 1.0
-    shared = vecs.sparkSession.sparkContext.broadcast([(r["part"], r["node"], r["comp"], np.frombuffer(r["x"], np.float64)) for r in some])  # 2 * sample vectors
+    shared = vecs.sparkSession.sparkContext.broadcast([(r["part"], r["node"], r["comp"], np.frombuffer(r["x"], np.float64)) for r in some.values()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs_of_part(batches):
@@ -214,16 +294,23 @@ def audit_recall(vecs: DataFrame, comps: DataFrame, threshold: float, sample: in
             if own:
                 i, j = np.nonzero(_matrix(group.column("x")) @ np.stack([q[3] for q in own]).T >= threshold)
                 node, comp = group.column("node").to_pylist(), group.column("comp").to_pylist()
-                pairs = [(a, b) for a, b in zip(i.tolist(), j.tolist()) if node[a] != own[b][1]]
-                good = sum(comp[a] is not None and comp[a] == own[b][2] for a, b in pairs)
-                yield pa.RecordBatch.from_arrays([pa.array([len(pairs)], pa.int64()), pa.array([good], pa.int64())], names=["n", "good"])
+                n, good = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+                for a, b in zip(i.tolist(), j.tolist()):
+                    if node[a] != own[b][1]:
+                        n[b] += 1
+                        good[b] += comp[a] is not None and comp[a] == own[b][2]
+                yield pa.RecordBatch.from_arrays([pa.array([q[1] for q in own], pa.binary()), pa.array(n), pa.array(good)], names=["node", "n", "good"])
 
-    r = named.select("part", "node", "comp", "x").mapInArrow(run, "n long, good long").agg(F.sum("n"), F.sum("good")).first()
-    return r[1] / r[0] if r[0] else 1.0
+    counts = named.select("part", "node", "comp", "x").mapInArrow(run, "node binary, n long, good long").groupBy("node").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).where("n > 0")
+    means = counts.groupBy(F.floor(F.log2("n")).alias("links")).agg(F.avg(F.col("good") / F.col("n")).alias("share"))
+    least = means.agg(F.min("share")).first()[0]
+    return 1.0 if least is None else least
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, rounds: int = 2, max_rounds: int = 8, recall: float = 0.999, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per row of vectors.
+    """(vec_id, n_links, component_id, kept), one row per row of vectors. `rounds` of the
+    lists are made, and across components until two merge nothing and the audit finds
+    `recall`, or max_rounds merge nothing.
 
     Vectors with equal labels (and lengths) whose cosine in double precision is at
     least threshold are linked. n_links counts the other vectors linked directly,
@@ -244,13 +331,24 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, rounds:
         found = order.mapInArrow(_look_around, "u binary, v binary, sim double")
         edges = found if edges is None else edges.unionByName(found)
     lists = materialize(_lists(edges.withColumn("new", F.lit(True)), threshold), "neighbours")
-    for k in range(1, max_rounds + 1):
+    for _ in range(rounds):
         lists = materialize(_round(lists, vecs, threshold), "neighbours")
-        if k < rounds:
+    comps = connected_components(lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    comps = materialize(comps, "components")
+    foreign = materialize(_foreign(lists.select("u", "v", "sim"), comps), "foreign")
+    # Rounds that merge components don't count, as there are fewer components after each.
+    quiet, k = 0, ORDERS
+    while quiet < max_rounds:
+        foreign = materialize(_across(lists, foreign, vecs, comps, threshold, k), "foreign")
+        k += 1
+        bridges = foreign.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        if not bridges.isEmpty():
+            known = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+            comps = materialize(connected_components(known.unionByName(bridges)), "components")
+            foreign = materialize(_foreign(foreign, comps), "foreign")
             continue
-        comps = connected_components(lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
-        comps = materialize(comps, "components")
-        if audit_recall(vecs, comps, threshold) >= recall or lists.where("new").isEmpty():
+        quiet += 1
+        if quiet >= 2 and audit_recall(vecs, comps, threshold) >= recall:
             break
     inside = materialize(comps.join(alone, "node"), "linked")
     per = materialize(inside.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("least").alias("component_id")), "component-sizes")
