@@ -3,8 +3,9 @@
 Texts are sets of word n-grams. Each run deals sets into buckets: a set goes into a
 bucket for each of its few tokens that a hash shared by all sets chooses, so two sets
 meet in a run with a chance that rises with what they share. Buckets that are too large
-are split again by further chosen tokens; small ones are compared by brute force. As
-many runs are made as the target recall needs.
+are split again by further tokens, which a hash of each bucket's own chooses, so paths of
+one run don't fail together; small ones are compared by brute force. As many runs are made
+as the target recall needs.
 
 In a bucket, sketches tell which sets may be similar; the links found tie sets into
 components. The exact step then lays whole sets of a component side by side, block
@@ -35,6 +36,7 @@ SKETCH = 32
 #: Share of equal sketch places from which sets may be similar; for sets of similarity
 #: 0.8 a smaller share is five standard deviations away.
 SKETCH_CUT = 0.45
+_DEEPER = 0xA0761D6478BD642F
 _ODD = re.compile(r"(?:(?![\x00-\x7f])\W)+")
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True
@@ -42,9 +44,12 @@ _WORD_BYTE[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True
 
 def runs_for(recall: float, similarity: float, levels: int = LEVELS) -> int:
     """Runs after which two sets of this similarity have met with this chance, even
-    if their buckets are split at every level and one set holds the other."""
-    shared = CHOSEN * similarity * (1 - math.exp(-CHOSEN * similarity)) ** (levels - 1)
-    return max(1, math.ceil(-math.log(1 - recall) / shared))
+    if their buckets are split at every level and one set holds the other. Each bucket
+    chooses anew, so a run misses if all its shared tokens lead to buckets that miss."""
+    missed = 0.0
+    for _ in range(levels):
+        missed = math.exp(-CHOSEN * similarity * (1 - missed))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(missed)))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -112,10 +117,10 @@ def _pieces(batch: pa.RecordBatch, column: int, rows: int = 200, letters: int =
         yield batch.slice(at)
 
 
-def sketch_partition(n: int, runs: int, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def sketch_partition(n: int, runs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per row: a 128-bit name of its set, the set's size, sketch and chosen tokens
-    (runs x levels lists). The name is null where there are no words."""
-    lists = runs * levels
+    of the first level (a list a run). The name is null where there are no words."""
+    lists = runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,12 +228,33 @@ def _in_blocks(rows: DataFrame, key: str, block: str, blocks: str) -> DataFrame:
     return rows.withColumn("b1", F.least(block, "_o")).withColumn("b2", F.greatest(block, "_o")).drop("_o")
 
 
-def _bucket_rows(sets: DataFrame, runs: int, levels: int) -> DataFrame:
-    """(bucket, b1, b2, node, size, sketch): the buckets to compare."""
-    tokens = sets.select("node", "chosen")
-    level = tokens.select("node", F.posexplode(F.expr(f"filter(chosen, (x, i) -> i % {levels} = 0)")).alias("run", "t")).select("node", "run", F.explode("t").alias("t"))
-    level = level.select("node", "run", F.xxhash64("run", "t").alias("bucket"))
-    done = None
+def choose_deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, bucket) of the next level, for rows (node, tokens, buckets): the tokens of
+    the set that each bucket's own hash chooses."""
+    for batch in batches:
+        node, child = [], []
+        for x, data, buckets in zip(*[batch.column(c).to_pylist() for c in range(3)]):
+            tokens = np.frombuffer(data, np.uint64)
+            bar = np.uint64(min(1.0, CHOSEN / len(tokens)) * (2.0**64 - 2049))
+            with np.errstate(over="ignore"):
+                for salt in _mix(np.array(buckets, np.int64).view(np.uint64) + np.uint64(_DEEPER)):
+                    r = _mix(tokens ^ salt)
+                    r = _mix(r[r <= bar] + salt)
+                    node += [x] * len(r)
+                    child.append(r.view(np.int64))
+            if len(node) > 100000:
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(np.concatenate(child))], names=["node", "bucket"])
+                node, child = [], []
+        if node:
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(np.concatenate(child))], names=["node", "bucket"])
+
+
+def _bucket_rows(sets: DataFrame, levels: int, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(bucket, b1, b2, node, size, sketch): the buckets to compare. whole gives the
+    (node, tokens) of given nodes; it is asked for those in buckets that are split."""
+    level = sets.select("node", F.posexplode("chosen").alias("run", "t")).select("node", "run", F.explode("t").alias("t"))
+    level = level.select("node", F.xxhash64("run", "t").alias("bucket"))
+    done = tokens = None
     for k in range(1, levels + 1):
         level = materialize(level, f"paths{k}")
         count = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -245,9 +271,11 @@ def _bucket_rows(sets: DataFrame, runs: int, levels: int) -> DataFrame:
         large = count.where(F.col("n") > BUCKET).select("bucket")
         if large.isEmpty():
             break
-        deeper = level.join(large, "bucket").join(tokens, "node")
-        deeper = deeper.select("node", "run", "bucket", F.explode(F.get("chosen", F.col("run") * levels + k)).alias("t"))
-        level = deeper.select("node", "run", F.xxhash64("bucket", "t").alias("bucket"))
+        deeper = level.join(large, "bucket").groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+        deeper = materialize(deeper, f"split{k}")
+        if tokens is None:
+            tokens = materialize(whole(deeper.select("node")), "split-sets")
+        level = deeper.join(tokens.hint("merge"), "node").select("node", "tokens", "buckets").mapInArrow(choose_deeper, "node binary, bucket long")
     done = done.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     return _in_blocks(done.join(sets.select("node", "size", "sketch").hint("merge"), "node"), "bucket", "block", "blocks").select("bucket", "b1", "b2", "node", "size", "sketch")
 
@@ -317,6 +345,16 @@ def _set_partition(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def _whole_sets(rows: DataFrame, wanted: DataFrame, n: int, more: str = "") -> DataFrame:
+    """(node, tokens and the columns more) of the nodes of wanted, from the texts of their
+    least documents. Texts of other sets stay where they are."""
+    kept = [c.split()[0] for c in more.split(",") if c]
+    ours = hash_filter(wanted.select(F.xxhash64("least").alias("h")), filter_size(wanted.count()))
+    texts = rows.where(ours(F.xxhash64("doc_id"))).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("least")))
+    schema = "node binary, tokens binary" + (f", {more}" if more else "")
+    return texts.select("node", "text", *kept).mapInArrow(_set_partition(n), schema).where("tokens is not null")
+
+
 def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links, n_copies, kept), one row per row of docs.
 
@@ -333,7 +371,7 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
     """
     runs = runs_for(recall, similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = rows.mapInArrow(sketch_partition(n, runs, LEVELS), "doc_id long, node binary, size long, sketch binary, chosen array<array<long>>")
+    sketched = rows.mapInArrow(sketch_partition(n, runs), "doc_id long, node binary, size long, sketch binary, chosen array<array<long>>")
     sketched = materialize(sketched, "sketches")
     members = sketched.select("doc_id", "node")
     alone = members.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
@@ -347,7 +385,7 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
     maybe = maybe.where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"]).drop("_n", "least")
     sets = known.where(~may_be_copied(F.xxhash64("node"))).unionByName(maybe).drop("doc_id")
     sets = materialize(sets, "sets")
-    dealt = _bucket_rows(sets, runs, LEVELS)
+    dealt = _bucket_rows(sets, LEVELS, lambda nodes: _whole_sets(rows, nodes.join(alone, "node").select("node", "least"), n).dropDuplicates(["node"]))
     dealt = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2", "node")
     links = materialize(dealt.mapInArrow(bucket_links(similarity), "a binary, b binary").distinct(), "bucket-links")
     counted = _count_links(rows, links, alone, sets.select("node", "size"), n, similarity)
@@ -374,11 +412,8 @@ def _count_links(rows: DataFrame, links: DataFrame, alone: DataFrame, sizes: Dat
     per = materialize(comp.groupBy("comp").agg(blocks.alias("blocks")), "components")
     comp = comp.join(per, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     comp = materialize(comp.select("node", "comp", "least", "copies", "block", "blocks"), "candidate-blocks")
-    wanted = hash_filter(comp.select(F.xxhash64("least").alias("h")), filter_size(comp.count()))
-    texts = rows.where(wanted(F.xxhash64("doc_id"))).join(comp.hint("merge"), F.col("doc_id").eqNullSafe(F.col("least")))
-    texts = texts.select("node", "text", "comp", "copies", "block", "blocks")
-    sets = texts.mapInArrow(_set_partition(n), "node binary, tokens binary, comp binary, copies long, block int, blocks int")
-    dealt = _in_blocks(sets.where("tokens is not null"), "comp", "block", "blocks").select("comp", "b1", "b2", "block", "node", "copies", "tokens")
+    sets = _whole_sets(rows, comp, n, "comp binary, copies long, block int, blocks int")
+    dealt = _in_blocks(sets, "comp", "block", "blocks").select("comp", "b1", "b2", "block", "node", "copies", "tokens")
     dealt = dealt.repartition("comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "node")
     return materialize(dealt.mapInArrow(exact_links(n, similarity), "a binary, b binary, links long"), "links")
 

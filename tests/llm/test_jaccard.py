@@ -75,3 +75,24 @@ def test_runs_reach_the_recall():
     assert runs_for(0.9, 0.8) < runs_for(0.9999, 0.8) <= 6
     sets, offsets = shingle_sets(["a b c d e f", "", None, "a"], 5)
     assert offsets.tolist() == [0, 2, 2, 2, 3] and len(sets) == 3
+
+
+def test_paths_of_a_run_miss_apart(spark, monkeypatch):
+    """One run with every bucket split: a pair is missed with 0.12, not with 0.25."""
+    monkeypatch.setattr(J, "BUCKET", 1)
+    monkeypatch.setattr(J, "runs_for", lambda *_: 1)
+    rng = random.Random(4)
+    docs = []
+    for i in range(600):
+        w = [f"v{rng.randrange(10**6)}" for _ in range(104)]
+        docs += [(2 * i, " ".join(w), "x", "y"), (2 * i + 1, " ".join(w[:85]), "x", "y")]
+    found = similar_documents(spark.createDataFrame(docs, DOCS)).where("n_links = 1").count()
+    assert found >= 2 * 600 * 0.82
+
+
+def test_runs_hold_the_bound_when_all_levels_split():
+    for recall, similarity in ((0.9, 0.8), (0.9999, 0.8), (0.999, 0.5)):
+        missed = 0.0
+        for _ in range(J.LEVELS):
+            missed = 2.718281828 ** (-J.CHOSEN * similarity * (1 - missed))
+        assert missed ** runs_for(recall, similarity) <= 1 - recall
