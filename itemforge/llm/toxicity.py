@@ -238,11 +238,13 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = 4000, max_chains: int = 12000, seed: int = 0) -> ToxicModel | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = 4000, max_chains: int = 12000, seed: int = 0, chain_tokens: int = 200, max_signs: int | None = None) -> ToxicModel | None:
     """Fits on labelled documents that are not held out: at most sample_per_class
-    of either label, by a hash of the id, and at most max_chains of their lines of
-    up to 200 tokens. A document with several label rows has the larger label;
-    null labels count for nothing. None if there are no labels of both kinds.
+    of either label, by a hash of the id, and at most max_chains chains of their
+    lines. Longer lines are cut into consecutive chains of chain_tokens tokens. With
+    max_signs only so many signs of toxicity are used. A document with several label
+    rows has the larger label; null labels count for nothing. None if there are no
+    labelled texts of both kinds; texts of both kinds without any token are an error.
 
     Only ids of the bounded sample are broadcast; words are counted in Spark.
     """
@@ -275,22 +277,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = 400
         seen = units.groupBy("u").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
         a, b = F.col("a") / float(totals[1]), (F.col("b") + 0.5) / float(totals[0])
         least = max(5, min(8, totals[1] // 12))
-        signs = seen.where((F.col("a") >= least) & (a > 12 * b)).orderBy(F.desc("a"), "u").limit(5000)
+        signs = seen.where((F.col("a") >= least) & (a > 12 * b)).orderBy(F.desc("a"), "u")
+        signs = signs if max_signs is None else signs.limit(max_signs)
         signs = {r["u"] for r in signs.select("u").collect()}
 
         def toxic_word(w: str) -> bool:
             return w in signs or any(len(w) > n and f"{n}:{w[:n]}" in signs for n in STEMS)
 
-        lines = sample.select("doc_id", "toxic", F.posexplode(F.split("text", "\n")).alias("k", "line")).where("length(line) between 1 and 2000")
+        lines = sample.select("doc_id", "toxic", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+        lines = lines.select("doc_id", "toxic", "k", F.array_remove(F.split("line", r"(?U)\s+"), "").alias("w")).where(F.size("w") > 0)
+        firsts = F.sequence(F.lit(1), F.size("w"), F.lit(chain_tokens))
+        pieces = F.transform(firsts, lambda i: F.array_join(F.slice("w", i, chain_tokens), " "))
+        lines = lines.select("doc_id", "toxic", "k", F.posexplode(pieces).alias("piece", "line"))
         per = {1: 2 * max_chains // 3, 0: max_chains // 3}
         chains = []
         for c in (0, 1):
-            for r in lines.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", "k")).limit(per[c]).select("line").collect():
-                ws = [normal(x) for x in r["line"].split()][:200]
+            for r in lines.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", "k", "piece"), "doc_id", "k", "piece").limit(per[c]).select("line").collect():
+                ws = [normal(x) for x in r["line"].split()]
                 if ws:
                     chains.append((ws, [int(c == 1 and toxic_word(w)) for w in ws]))
         if not chains:
-            return None
+            raise ValueError("no token in the labelled texts to learn from")
         weights, bias, start, trans = _fit_field(chains)
         model = ToxicModel(weights, bias, start, trans, np.zeros(4))
         got = _aggregate_docs(sample.select("doc_id", "text"), model).join(F.broadcast(ids), "doc_id").collect()

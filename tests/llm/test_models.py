@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from itemforge.llm.langid import codewords, identify_languages, keep_known_languages
 from itemforge.llm.shard import shard_stratified
-from itemforge.llm.toxicity import detect_toxicity, marginals
+from itemforge.llm.toxicity import detect_toxicity, fit_toxicity, marginals, score_toxicity
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
 
@@ -75,6 +76,24 @@ def test_toxicity_edge_cases(spark):
     assert detect_toxicity(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_is_learned_from_long_lines(spark):
+    rng = np.random.default_rng(3)
+    docs, labels = [], []
+    for i in range(160):
+        w = [f"w{k}" for k in rng.integers(0, 400, 600)]
+        if i % 2:
+            for k in rng.integers(250, 600, 12):
+                w[k] = "vilest"
+        docs.append((i, " ".join(w), "", "", ""))
+        labels.append((i, 0, i % 2))
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert all(r.predicted == r.doc_id % 2 for r in detect_toxicity(docs, labels).collect())
+    blank = docs.withColumn("text", F.concat(F.lit(" "), F.repeat(F.lit("\n"), F.col("doc_id").cast("int"))))
+    with pytest.raises(ValueError, match="no token"):
+        fit_toxicity(blank, labels)
+    assert score_toxicity(docs, None).where("score <> 0").count() == 0
+
+
 @pytest.mark.parametrize("rows", [0, 1, 23, 24, 500])
 def test_shards(spark, rows):
     docs = [(i, f"t{i}" if i % 7 else None, "en", None if i % 11 == 0 else f"s{i % 3 if i % 2 else 0}", "x") for i in range(rows)]
