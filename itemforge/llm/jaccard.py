@@ -149,8 +149,8 @@ def sketch_partition(n: int, runs: int) -> Callable[[Iterator[pa.RecordBatch]],
                 node: list = [None] * part.num_rows
                 for i, x in zip(full.tolist(), name):
                     node[i] = x
-                columns = [part.column(0), pa.array(node, pa.binary()), pa.array(all_sizes), pa.array([x.tobytes() for x in sketch], pa.binary()), chosen]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "size", "sketch", "chosen"])
+                columns = [part.column(0), pa.array(node, pa.binary()), pa.array(all_sizes), pa.array([x.tobytes() for x in sketch], pa.binary()), chosen, part.column(2)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "size", "sketch", "chosen", "row"])
 
     return run
 
@@ -361,7 +361,7 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
     Two documents are linked if the sets of their word n-grams have a Jaccard
     similarity of at least `similarity`. n_links counts the other documents that
     one is linked with directly, n_copies those with an equal set. class_id is the
-    least doc_id that links reach; kept marks it. Pairs are missed with a chance of
+    least doc_id that links reach; kept marks one row of each class, with this id. Pairs are missed with a chance of
     at most 1 - recall; what is found is exact.
 
     Texts of fewer than n words have one gram, all their words. Texts without words
@@ -369,21 +369,30 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
     never a class_id unless its class has no other. Rows that repeat an id
     are documents of their own. An empty table gives no rows; other columns are ignored.
     """
+    # The keys are written with the sketches, once, and not computed again.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return _classes(rows, n, similarity, recall).drop("row")
+
+
+def _classes(rows: DataFrame, n: int, similarity: float, recall: float) -> DataFrame:
+    """similar_documents() of rows (doc_id, text, row), with the row's key."""
     runs = runs_for(recall, similarity)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = rows.mapInArrow(sketch_partition(n, runs), "doc_id long, node binary, size long, sketch binary, chosen array<array<long>>")
+    sketched = rows.mapInArrow(sketch_partition(n, runs), "doc_id long, node binary, size long, sketch binary, chosen array<array<long>>, row long")
     sketched = materialize(sketched, "sketches")
-    members = sketched.select("doc_id", "node")
-    alone = members.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
+    members = sketched.select("doc_id", "node", "row")
+    # The first row has the least id, null only if there is no other, and the least key.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
+    alone = members.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), first)
+    alone = alone.select("node", "copies", F.col("first.doc_id").alias("least"), "first")
     alone = materialize(alone, "set-counts")
     # Equal sets have equal sketches and tokens, so one row of them stands for all. Only
     # what may have copies goes through the join that finds it.
     copied = alone.where("copies > 1").select(F.xxhash64("node").alias("h"))
     may_be_copied = hash_filter(copied, filter_size(copied.count()))
     known = sketched.where("node is not null")
-    maybe = known.where(may_be_copied(F.xxhash64("node"))).join(alone.select(F.col("node").alias("_n"), "least").hint("merge"), F.col("node") == F.col("_n"))
-    maybe = maybe.where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"]).drop("_n", "least")
-    sets = known.where(~may_be_copied(F.xxhash64("node"))).unionByName(maybe).drop("doc_id")
+    maybe = known.where(may_be_copied(F.xxhash64("node"))).join(alone.select(F.col("node").alias("_n"), F.col("first.row").alias("_row")).hint("merge"), F.col("node") == F.col("_n"))
+    maybe = maybe.where("row = _row").drop("_n", "_row")
+    sets = known.where(~may_be_copied(F.xxhash64("node"))).unionByName(maybe).drop("doc_id", "row")
     sets = materialize(sets, "sets")
     dealt = _bucket_rows(sets, LEVELS, lambda nodes: _whole_sets(rows, nodes.join(alone, "node").select("node", "least"), n).dropDuplicates(["node"]))
     dealt = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2", "node")
@@ -392,15 +401,16 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
     forest = counted.where("b is not null").select("a", "b")
     groups = connected_components(forest)
     totals = counted.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = alone.join(groups, "node", "left").select("node", "copies", "least", F.coalesce("comp", "node").alias("comp"))
-    named = materialize(named.join(totals, "node", "left").select("node", "copies", "least", "comp", F.coalesce("links", F.lit(0)).alias("links")), "set-classes")
-    least = materialize(named.where("links > 0").groupBy("comp").agg(F.min("least").alias("class_id")), "class-ids")
-    named = named.join(least, "comp", "left").select("node", (F.col("links") + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"), F.coalesce("class_id", "least").alias("class_id"))
-    named = materialize(named, "set-results")
+    named = alone.join(groups, "node", "left").select("node", "copies", "first", F.coalesce("comp", "node").alias("comp"))
+    named = materialize(named.join(totals, "node", "left").select("node", "copies", "first", "comp", F.coalesce("links", F.lit(0)).alias("links")), "set-classes")
+    least = materialize(named.where("links > 0").groupBy("comp").agg(F.min("first").alias("class_first")), "class-ids")
+    named = named.join(least, "comp", "left").select("node", (F.col("links") + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"), F.coalesce("class_first", "first").alias("first"))
+    named = materialize(named.select("node", "n_links", "n_copies", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row")), "set-results")
     zero = F.lit(0).cast("long")
     out = members.join(named.hint("merge"), "node", "left")
-    out = out.select("doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    class_id = F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    kept = F.col("row") == F.coalesce("class_row", "row")
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"), kept.alias("kept"), "row")
 
 
 def _count_links(rows: DataFrame, links: DataFrame, alone: DataFrame, sizes: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -419,6 +429,9 @@ def _count_links(rows: DataFrame, links: DataFrame, alone: DataFrame, sizes: Dat
 
 
 def drop_similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their class, unchanged."""
-    found = similar_documents(docs, n, similarity, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs that are the first of their class, unchanged. Rows that share an
+    id, or have none, are told apart by a key that is written with them."""
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col("_row").alias("row"))
+    gone = _classes(rows, n, similarity, 0.9999).where("not kept").select(F.col("row").alias("_gone"))
+    return keyed.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

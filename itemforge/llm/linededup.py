@@ -41,6 +41,11 @@ def _place(doc_id: Column, line_no: Column) -> Column:
     return (doc * F.lit(10**10).cast("decimal(11,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
+def _text_hash(text: Column) -> Column:
+    """96 bits that tell the texts of rows with the same id apart."""
+    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
+
+
 def _halves() -> list[Column]:
     """Hashes of the first and the last half of a line's words, for lines of n words
     and of n - 1. Two lines one word apart agree in at least one of the four: the
@@ -91,22 +96,23 @@ def _emit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _near_lines(docs: DataFrame, distinct: DataFrame, fuzzy_words: int) -> DataFrame:
-    """(place, pivot): distinct lines, by their first place, that have an earlier line
-    one word apart, with the earliest such."""
+    """(place, k1, pivot): distinct lines, by their first place and their hash (rows that
+    share an id share places), that have an earlier line one word apart, with the
+    earliest such."""
     # Lines that agree with no other in a half can have no line one word apart. Which
     # halves are shared is kept in a filter, so that only sums over halves are shuffled.
     halves = distinct.where(F.col("n") >= fuzzy_words).select("k1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
     shared = materialize(shared, "halves")
     is_shared = hash_filter(shared, filter_size(shared.count()))
-    ours = distinct.where(F.col("n") >= fuzzy_words).select("place", "halves").where(reduce(or_, [is_shared(F.get("halves", F.lit(i))) for i in range(4)])).select("place")
+    ours = distinct.where(F.col("n") >= fuzzy_words).select("place", "k1", "halves").where(reduce(or_, [is_shared(F.get("halves", F.lit(i))) for i in range(4)])).select("place", "k1")
     ours = materialize(ours, "lines-near")
     # The words of these lines are read from the documents again; the filter keeps other lines out of the join.
     is_ours = hash_filter(ours.select(F.xxhash64("place").alias("h")), filter_size(ours.count()))
     lines = docs.select("_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("p", _place(F.col("_id"), F.col("line_no"))).where(is_ours(F.xxhash64("p")))
-    lines = lines.select("p", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
-    lines = lines.join(ours, F.col("p") == F.col("place")).select("place", "w")
+    lines = lines.select("p", words_of(F.col("line")).alias("w")).select("p", F.xxhash64("w").alias("k"), F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
+    lines = lines.join(ours, (F.col("p") == F.col("place")) & (F.col("k") == F.col("k1"))).select("place", "w", "k1").distinct()
     lines = materialize(lines.where(F.size("w") >= fuzzy_words), "lines-words")
     variants = lines.mapInArrow(_emit_variants, "place decimal(38,0), role byte, key long")
     first = [F.min(F.when(F.col("role") == r, F.col("place"))).alias(f"m{r}") for r in (HOLE, WHOLE, SHORT)]
@@ -116,7 +122,7 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, fuzzy_words: int) -> DataF
     pivot = F.when(F.col("role") == HOLE, F.col(f"m{HOLE}")).when(F.col("role") == WHOLE, F.col(f"m{SHORT}")).otherwise(F.col(f"m{WHOLE}"))
     pairs = variants.where(has_met(F.col("key"))).join(met, "key").select("place", pivot.alias("pivot")).where("pivot < place").distinct()
     # The edit distance: behind their common beginning one word is skipped in the longer line, or in both.
-    x = lines.select("place", F.col("w").alias("x"))
+    x = lines.select("place", "k1", F.col("w").alias("x"))
     y = lines.select(F.col("place").alias("pivot"), F.col("w").alias("y"))
     both = pairs.join(x, "place").join(y, "pivot")
     lead = F.coalesce(F.array_position(F.zip_with("x", "y", lambda a, b: ~a.eqNullSafe(b)), True) - 1, F.lit(0)).cast("int")
@@ -124,11 +130,13 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, fuzzy_words: int) -> DataF
     both = both.withColumn("lead", lead)
     rest = lambda c, skip: F.slice(c, F.col("lead") + 1 + skip, F.greatest(F.size(c), F.lit(1)))
     ok = F.when(gap == 0, rest("x", 1) == rest("y", 1)).when(gap == 1, rest("x", 1) == rest("y", 0)).when(gap == -1, rest("x", 0) == rest("y", 1)).otherwise(False)
-    return both.where(ok).groupBy("place").agg(F.min("pivot").alias("pivot"))
+    return both.where(ok).groupBy("place", "k1").agg(F.min("pivot").alias("pivot"))
 
 
 def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """(doc_id, dropped array<int>): documents with lines to drop, and their numbers.
+    """(doc_id, text_hash struct, dropped array<int>): documents with lines to drop, and
+    their numbers. Rows that share an id, or have none, are told apart by text_hash, that
+    of their text; rows with the same id and text lose the same lines.
 
     A line is dropped if an equal line stands earlier (a smaller doc_id, or the same
     and a smaller line number), or if the earliest line equal to it has an earlier
@@ -139,32 +147,32 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     place of rows that share an id are equally early and don't drop each other.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    lines = rows.select("_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    lines = lines.select("_id", "line_no", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
+    lines = rows.select("_id", _text_hash(F.col("_text")).alias("text_hash"), F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
+    lines = lines.select("_id", "text_hash", "line_no", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
     place = _place(F.col("_id"), F.col("line_no"))
     halves = F.when(F.col("n") >= fuzzy_words, F.array(*_halves()))
-    lines = lines.select(F.col("_id").alias("doc_id"), "line_no", place.alias("place"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"), "n", halves.alias("halves"))
+    lines = lines.select(F.col("_id").alias("doc_id"), "text_hash", "line_no", place.alias("place"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"), "n", halves.alias("halves"))
     lines = materialize(lines, "lines")
     first = F.min(F.struct("place", "n", "halves")).alias("first")
     seen = lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("times")).select("k1", "k2", "first.*", "times")
     seen = materialize(seen, "lines-seen")
-    near = _near_lines(rows, seen, fuzzy_words).select("place", F.lit(True).alias("near"))
-    keys = seen.select("k1", "k2", "place", "times").join(near, "place", "left").where("times > 1 or near")
+    near = _near_lines(rows, seen, fuzzy_words).select("place", "k1", F.lit(True).alias("near"))
+    keys = seen.select("k1", "k2", "place", "times").join(near, ["place", "k1"], "left").where("times > 1 or near")
     keys = materialize(keys.select("k1", "k2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "lines-keys")
     is_key = hash_filter(keys.select("k1"), filter_size(keys.count()))
-    gone = lines.where(is_key(F.col("k1"))).select("doc_id", "line_no", "place", "k1", "k2").join(keys, ["k1", "k2"]).where("near or place > first")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    gone = lines.where(is_key(F.col("k1"))).select("doc_id", "text_hash", "line_no", "place", "k1", "k2").join(keys, ["k1", "k2"]).where("near or place > first")
+    return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with text_col cut to the lines that stay, and two columns named by counts,
     the lines of the text and those cut (longs; they replace columns of these names). All rows stay; a null
     text stays null with 0 lines. An empty table gives no rows."""
-    gone = find_duplicate_lines(docs, id_col, text_col, min_words, fuzzy_words).select(F.col("doc_id").alias("_gone"), F.col("dropped").alias("_dropped"))
+    gone = find_duplicate_lines(docs, id_col, text_col, min_words, fuzzy_words).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_dropped"))
     columns = [c for c in docs.columns if c not in counts]
     kinds = dict(docs.dtypes)
     # What is dropped grows with the documents, so it is never broadcast.
-    rows = docs.select(*[F.col(c) for c in columns]).join(gone.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left").drop("_gone")
+    rows = docs.select(*[F.col(c) for c in columns]).join(gone.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("_gone")) & (_text_hash(docs[text_col]) == F.col("_hash")), "left").drop("_gone", "_hash")
     k = columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,3 +96,14 @@ def test_runs_hold_the_bound_when_all_levels_split():
         for _ in range(J.LEVELS):
             missed = 2.718281828 ** (-J.CHOSEN * similarity * (1 - missed))
         assert missed ** runs_for(recall, similarity) <= 1 - recall
+
+
+def test_rows_that_share_an_id_are_apart(spark):
+    first, near = "one two three four five six", [f"w{i}" for i in range(60)]
+    rows = [(1, first), (3, first), (3, "other words that are not the same"), (None, first), (None, "none of these has an id"), (None, "nor has this one, which differs")]
+    rows += [(7, " ".join(near))] * 2 + [(7, " ".join([*near[:-1], "x"])), (None, None), (None, None)]
+    rows = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS)
+    got = sorted((repr(r.doc_id), r.text or "") for r in drop_similar(rows).collect())
+    assert [g for g in got if g[0] != "7"] == sorted([("1", first), ("3", "other words that are not the same"), ("None", "none of these has an id"), ("None", "nor has this one, which differs"), ("None", ""), ("None", "")])
+    assert sum(g[0] == "7" for g in got) == 1
+    assert similar_documents(rows).where("kept and class_id = 7").count() == 1

@@ -81,3 +81,14 @@ def test_a_very_long_line(spark):
     long = " ".join(f"w{i}" for i in range(60000))
     rows = spark.createDataFrame([(1, long, 0, "", ""), (2, long.replace("w777 ", "x "), 0, "", ""), (3, "short line here", 0, "", "")], DOCS)
     assert sorted((r.doc_id, r.n_removed) for r in dedup_lines(rows).collect()) == [(1, 0), (2, 1), (3, 0)]
+
+
+def test_rows_that_share_an_id_are_apart(spark):
+    line = "a b c d e f g h i j"
+    rows = [(1, "alpha beta gamma"), (3, "alpha beta gamma"), (3, "unique other words"), (None, "first words here"), (None, "others stand here\nfirst words here")]
+    rows += [(0, line), (5, line.replace("c", "x")), (5, "k l m n o p q r s t")]
+    rows = spark.createDataFrame([(i, t, 0, "p", "q") for i, t in rows], DOCS)
+    got = sorted((repr(r.doc_id), r.text) for r in dedup_lines(rows).collect())
+    want = [("0", line), ("1", "alpha beta gamma"), ("3", ""), ("3", "unique other words"), ("5", ""), ("5", "k l m n o p q r s t"), ("None", "first words here"), ("None", "others stand here")]
+    assert got == sorted(want)
+    assert drop_repeated_lines(rows).count() == 6
