@@ -1,10 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from itemforge.llm.langid import codewords, identify_languages, keep_known_languages
 from itemforge.llm.shard import shard_stratified
-from itemforge.llm.toxicity import detect_toxicity, fit_toxicity, marginals, score_toxicity
+from itemforge.llm import toxicity
+from itemforge.llm.toxicity import ToxicModel, detect_toxicity, fit_toxicity, marginals, score_toxicity
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
@@ -58,6 +60,62 @@ def test_marginals_equal_enumeration():
         at += n
 
 
+def test_pair_marginals_equal_enumeration():
+    rng = np.random.default_rng(1)
+    lengths = np.array([2, 1, 5])
+    e, start, trans = rng.standard_normal(8), -0.4, rng.standard_normal((2, 2))
+    starts = np.cumsum(lengths) - lengths
+    at = np.array([k for k in range(8) if k not in starts])
+    got = toxicity._pairs(e, starts, lengths, start, trans, at)
+    for a, n in zip(starts, lengths):
+        states = [(s, np.exp(sum(e[a + k] * v for k, v in enumerate(s)) + start * s[0] + sum(trans[x, y] for x, y in zip(s, s[1:])))) for s in np.ndindex(*[2] * n)]
+        z = sum(w for _, w in states)
+        for k in range(1, n):
+            want = [sum(w for s, w in states if (s[k - 1], s[k]) == pair) / z for pair in ((0, 0), (0, 1), (1, 0), (1, 1))]
+            assert np.allclose(got[list(at).index(a + k)], want)
+
+
+def test_field_fits_its_chains():
+    """On separable chains the fitted field gives back the labels."""
+    chains = [(["good", "vile", "day"], [0, 1, 0]), (["vile"], [1]), (["good", "day"], [0, 0])]
+    weights, bias, start, trans = toxicity._fit_field(chains)
+    model = ToxicModel(weights, bias, start, trans, np.zeros(4))
+    p = toxicity.tag(toxicity.tokens(pa.array(["good vile day\nvile", "good day"])), model)
+    assert [(x > 0.5).tolist() for x in p] == [[False, True, False, True], [False, False]]
+
+
+def test_aggregates_equal_enumeration():
+    p = np.array([0.1, 0.7, 0.4])
+    none = sum(np.prod([(1 - q, q)[v] for q, v in zip(p, s)]) for s in np.ndindex(2, 2, 2) if not any(s))
+    assert np.allclose(toxicity.aggregates(p), [np.log(1 + 1.2), 0.7, 1 - none])
+    assert toxicity.aggregates(np.zeros(0)).tolist() == [0, 0, 0]
+
+
+def test_tokens_and_spans_equal_brute_force():
+    rng = np.random.default_rng(2)
+    marks = ["a", "é", "日本", " ", "  ", "\n", "\t", "\u00a0", "b", "😀", "\u2003"]
+    texts = ["".join(marks[k] for k in rng.integers(0, len(marks), rng.integers(0, 40))) for _ in range(300)] + ["", "\n\n", "x" * 50000]
+    got = toxicity.tokens(pa.array(texts))
+    assert [got.of(k) for k in range(len(texts))] == [t.split() for t in texts]
+    assert got.chains.tolist() == [len(ln.split()) for t in texts for ln in t.split("\n") if ln.split()]
+    assert [a for a, _ in toxicity.slices(pa.array(texts), 50)][0] == 0
+    assert [x for _, part in toxicity.slices(pa.array(texts), 50) for x in part.to_pylist()] == texts
+    for k, t in enumerate(texts):
+        words = t.split()
+        p = rng.random(len(words))
+        toxic = set()  # offsets of letters in toxic tokens, and of the blanks between two of one line
+        at, before = 0, None
+        for w, q in zip(words, p):
+            a = t.index(w, at)
+            at = a + len(w)
+            if q >= 0.5:
+                toxic |= set(range(a, at)) | (set(range(before, a)) if before is not None and "\n" not in t[before:a] else set())
+            before = at if q >= 0.5 else None
+        want = [i for i in sorted(toxic) if i - 1 not in toxic]
+        found = toxicity.spans(t, words, p)
+        assert [a for a, _ in found] == want and {i for a, b in found for i in range(a, b)} == toxic
+
+
 def test_toxicity_of_held_out_rows(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -76,6 +134,17 @@ def test_toxicity_edge_cases(spark):
     assert detect_toxicity(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_is_the_same_each_time(spark):
+    """Copies of a text with other ids and labels, and ids with two texts, don't let the sample change."""
+    docs = [(i, f"plain words number {i % 50} " + ("vilest thing" if i % 2 else "kind thing"), "", "", "") for i in range(200)]
+    docs += [(i + 1000, t, *rest) for i, t, *rest in docs] + [(3, "other text", "", "", ""), (3, None, "", "", "")]
+    labels = [(i, 0, i % 2) for i in range(200)] + [(i + 1000, 0, (i + 1) % 2) for i in range(200)] + [(3, 0, 0), (None, 0, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(docs, DOCS)
+    a, b = fit_toxicity(docs, labels), fit_toxicity(docs.repartition(7).orderBy(F.desc("text")), labels.repartition(3))
+    assert (a.weights == b.weights).all() and np.allclose(a.doc, b.doc)
+
+
 def test_toxicity_is_learned_from_long_lines(spark):
     rng = np.random.default_rng(3)
     docs, labels = [], []
