@@ -61,6 +61,8 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]):
         h = hash_all(keys)
         self.n = len(keys)
+        if len(np.unique(h)) < self.n:
+            raise ValueError("two keys have one hash, so no displacement parts them")
         self.buckets = max(1, self.n // 4)
         self.shift = np.zeros(self.buckets, np.int64)
         self.key_at = np.full(self.n, -1, np.int64)
@@ -131,9 +133,9 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 #: What \s matches in the tiktoken library (the White_Space property); the regex
 #: module also counts 0x1c to 0x1f.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ASCII_SPACES = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-_ODD_SPACES = _ASCII_SPACES + tuple("\x85\xa0     　") + tuple(map(chr, range(0x2000, 0x200B)))
+_ODD_SPACES = _ASCII_SPACES + tuple("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + tuple(map(chr, range(0x2000, 0x200B)))
 
 
 class Codec:

@@ -18,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of
-    the session. Only where it is unset (tests, local mode) one is made and set."""
+    the session. Where it is unset, local mode makes and sets one; on a cluster, whose
+    executors don't see the driver's folders, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        set_before = spark.sparkContext.getCheckpointDir()
-        found = set_before or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        found = spark.sparkContext.getCheckpointDir()
+        if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -85,7 +89,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     connected with. Alternates large-star and small-star steps, which need
     O(log n) rounds on chains and never gather a component in one task: each
     step is a min per node (combined before the shuffle) and a join on node,
-    where AQE splits hot nodes. Each round is written to the shared folder."""
+    where AQE splits hot nodes. Each round is written to the shared folder. If edges
+    still change after so many rounds, that is an error."""
     spark = edges.sparkSession
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     e = edges.where("a <> b").select(hi.alias("a"), lo.alias("b")).distinct()
@@ -112,5 +117,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)

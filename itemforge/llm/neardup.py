@@ -310,7 +310,7 @@ def audit_recall(vecs: DataFrame, comps: DataFrame, threshold: float, sample: in
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, rounds: int = 2, max_rounds: int = 8, recall: float = 0.999, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors. `rounds` of the
     lists are made, and across components until two merge nothing and the audit finds
-    `recall`, or max_rounds merge nothing.
+    `recall`; an audit that finds less after max_rounds (2 at least) that merge nothing is an error.
 
     Vectors with equal labels (and lengths) whose cosine in double precision is at
     least threshold are linked. n_links counts the other vectors linked directly,
@@ -338,7 +338,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, rounds:
     foreign = materialize(_foreign(lists.select("u", "v", "sim"), comps), "foreign")
     # Rounds that merge components don't count, as there are fewer components after each.
     quiet, k = 0, ORDERS
-    while quiet < max_rounds:
+    while quiet < max(2, max_rounds):
         foreign = materialize(_across(lists, foreign, vecs, comps, threshold, k), "foreign")
         k += 1
         bridges = foreign.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -348,8 +348,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, rounds:
             foreign = materialize(_foreign(foreign, comps), "foreign")
             continue
         quiet += 1
-        if quiet >= 2 and audit_recall(vecs, comps, threshold) >= recall:
+        if quiet >= 2 and (reached := audit_recall(vecs, comps, threshold)) >= recall:
             break
+    else:
+        raise RuntimeError(f"{reached:.4f} of the links of a sample found after {max_rounds} rounds without a merge, {recall} wanted")
     inside = materialize(comps.join(alone, "node"), "linked")
     per = materialize(inside.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("least").alias("component_id")), "component-sizes")
     dealt = inside.join(per, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -272,12 +272,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = 400
     counts = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
-    # The least hashes of either label: about 1.2 times as many rows as are wanted reach
-    # the sort, however many partitions there are.
+    # Of the least hashes of either label little more than is wanted (ten standard
+    # deviations) reaches the sort, however many partitions there are.
+    enough = sample_per_class + 10 * sample_per_class**0.5 + 50
     drawn = []
     for c, n in counts.items():
         h = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
-        few = own.where((F.col("toxic") == c) & (h <= int((1 << 40) * min(1.0, 1.2 * sample_per_class / n + 1e-3))))
+        few = own.where((F.col("toxic") == c) & (h <= int((1 << 40) * min(1.0, enough / n))))
         drawn += few.orderBy(h, "doc_id").limit(sample_per_class).collect()
     ids = spark.createDataFrame(drawn, "doc_id long, toxic int")  # at most 2 * sample_per_class rows
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
