@@ -26,6 +26,8 @@ from .common import filter_size, hash_filter, materialize
 MIN_WORDS = 3
 #: From so many words on a line has an edit bound of one word.
 FUZZY_WORDS = 8
+#: Variants that one task makes, about.
+VARIANTS_PER_TASK = 400_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 HOLE, WHOLE, SHORT = 0, 1, 2
@@ -114,7 +116,10 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, fuzzy_words: int) -> DataF
     lines = lines.select("p", words_of(F.col("line")).alias("w")).select("p", F.xxhash64("w").alias("k"), F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
     lines = lines.join(ours, (F.col("p") == F.col("place")) & (F.col("k") == F.col("k1"))).select("place", "w", "k1").distinct()
     lines = materialize(lines.where(F.size("w") >= fuzzy_words), "lines-words")
-    variants = lines.mapInArrow(_emit_variants, "place decimal(38,0), role byte, key long")
+    # A line becomes twice as many variants as it has words, so lines are dealt by what they become.
+    made = 2 * (lines.agg(F.sum(F.size("w"))).first()[0] or 0)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-made // VARIANTS_PER_TASK))
+    variants = lines.select("place", "w").repartition(tasks, "place").mapInArrow(_emit_variants, "place decimal(38,0), role byte, key long")
     first = [F.min(F.when(F.col("role") == r, F.col("place"))).alias(f"m{r}") for r in (HOLE, WHOLE, SHORT)]
     met = variants.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), *first).where("lo <> hi").drop("lo", "hi")
     met = materialize(met, "lines-met")
@@ -145,6 +150,7 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null texts have no lines. A null id counts as the earliest. Lines at the same
     place of rows that share an id are equally early and don't drop each other.
+    A line of any length is compared whole; its work is linear in its words.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
     lines = rows.select("_id", _text_hash(F.col("_text")).alias("text_hash"), F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
@@ -198,11 +204,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """dedup_lines() with the columns of docs: rows that lost lines and have no word
-    left go, and size_col, if there is one, follows the text."""
-    out = dedup_lines(docs, id_col, text_col, counts=("_lines", "_cut"))
-    out = out.where((F.col("_cut") == 0) | F.col(text_col).rlike(r"(?U)\w"))
+    """dedup_lines() with the columns of docs, whatever their names: rows that lost lines
+    and have no word left go, and size_col, if there is one, follows the text. Null and
+    empty texts lose nothing and stay; rows that share an id, or have none, are told apart
+    by their text; an empty table gives no rows."""
+    counts = [c + "_" * sum(d.startswith(c) for d in docs.columns) for c in ("_lines", "_cut")]  # of no column of docs
+    out = dedup_lines(docs, id_col, text_col, counts=counts)
+    cut = F.col(counts[1])
+    out = out.where((cut == 0) | F.col(text_col).rlike(r"(?U)\w"))
     if size_col in docs.columns:
         kind = dict(docs.dtypes)[size_col]
-        out = out.withColumn(size_col, F.when(F.col("_cut") > 0, F.char_length(text_col)).otherwise(F.col(size_col)).cast(kind))
+        out = out.withColumn(size_col, F.when(cut > 0, F.char_length(text_col)).otherwise(F.col(size_col)).cast(kind))
     return out.select(*[c for c in docs.columns])
