@@ -153,7 +153,8 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A line of any length is compared whole; its work is linear in its words.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    lines = rows.select("_id", _text_hash(F.col("_text")).alias("text_hash"), F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
+    rows = rows.withColumn("text_hash", _text_hash(F.col("_text")))  # below the explode: once a text, not once a line
+    lines = rows.select("_id", "text_hash", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
     lines = lines.select("_id", "text_hash", "line_no", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
     place = _place(F.col("_id"), F.col("line_no"))
     halves = F.when(F.col("n") >= fuzzy_words, F.array(*_halves()))
