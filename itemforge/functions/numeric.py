@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound, once
+
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
@@ -16,9 +18,9 @@ def mean(a: Column) -> Column:
 
 def standardised(a: Column) -> Column:
     """Zero mean, unit norm; all zero for a constant array."""
-    centred = F.transform(a, lambda x: x.cast("double") - mean(a))
-    norm = F.sqrt(total(F.transform(centred, lambda x: x * x)))
-    return F.transform(centred, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    centred = once(mean(a), lambda m: F.transform(a, lambda x: x.cast("double") - m))
+    scaled = lambda x: F.transform(x["c"], lambda v: F.when(x["norm"] > 0, v / x["norm"]).otherwise(0.0))
+    return once(centred, lambda c: bound(scaled, c=c, norm=F.sqrt(total(F.transform(c, lambda v: v * v)))))
 
 
 def product(a: Column, b: Column) -> Column:
@@ -32,8 +34,7 @@ def argmax(a: Column) -> Column:
 
 def chosen_probability(logits: Column) -> Column:
     """Softmax probability of the largest logit."""
-    top = F.array_max(logits)
-    return 1 / total(F.transform(logits, lambda x: F.exp(x.cast("double") - top)))
+    return once(F.array_max(logits), lambda top: 1 / total(F.transform(logits, lambda x: F.exp(x.cast("double") - top))))
 
 
 def confidence(probabilities: Column) -> Column:
@@ -50,3 +51,9 @@ def middle(a: Column) -> Column:
 def shrink_to(width: Column, height: Column, budget: int) -> Column:
     """The factor by which a picture of width x height fits a budget of pixels."""
     return F.least(F.lit(1.0), F.sqrt(budget / (width * height)))
+
+
+def trimmed_mean(a: Column, times: float = 2.5, least: int = 4) -> Column:
+    """The mean of the values up to `times` the middle one; null for fewer than `least`."""
+    kept = once(middle(a) * times, lambda top: F.filter(a, lambda x: x <= top))
+    return F.when(F.size(a) >= least, once(kept, mean))

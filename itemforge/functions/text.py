@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,12 +15,25 @@ UNSUPPORTED = ("\\ce{", "\\SI{", "\\usepackage", "\\begin{document}")
 # Letters with marks and the letters that they are compared as.
 MARKED, PLAIN = "áàâãäåéèêëíìîïóòôõöúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn"
 
+# What a formula is, how centred lines are marked, figures named and questions begun.
 MATH = r"(?s)\$\$.+?\$\$|\$.+?\$"
 CENTRED_MARK = "[centralizado] "
+CENTRED_HEAD = r"^\[centralizado\] "
 FIGURE_REF = r"(?:!\[[^\]]*\]\(|src=\")figura:([A-Za-z0-9_]+)"
 QUESTION_BAR = r"(?iu)^\s*quest[aã]o\s*(\d[\d ]*)"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once: what stands in the body of a lambda is
+    evaluated anew for each element, the variable of a lambda around it is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def bound(use: Callable[[Column], Column], **values: Column) -> Column:
+    """once() for several values, the fields of the variable."""
+    return once(F.struct(*[v.alias(k) for k, v in values.items()]), use)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -117,6 +130,25 @@ def cases_of(equations: Column) -> Column:
     return F.concat(F.lit("\\begin{cases} "), F.array_join(equations, " \\\\ "), F.lit(" \\end{cases}"))
 
 
+# Commands whose braces hold words, and what two readings of a formula may differ in.
+WORD_COMMAND = r"\\(?:operatorname|mathrm|text|mathbf)\s?\*? \{.*?\}"
+NO_MATTER = r"\\[,;:! ]|\s|[{}]|\\left|\\right"
+
+
+def tight_formula(latex: Column) -> Column:
+    """A read formula without the spaces that part nothing: they stay between letters,
+    behind a backslash and at the ends."""
+    parts, words = F.split(latex, WORD_COMMAND), F.regexp_extract_all(latex, F.lit(WORD_COMMAND), F.lit(0))
+    joined = lambda x: F.array_join(F.transform(x["parts"], lambda p, i: F.concat(p, F.replace(F.coalesce(F.get(x["words"], i), F.lit("")), F.lit(" "), F.lit("")))), "")
+    single = F.regexp_replace(bound(joined, parts=parts, words=words), r"\s*(\s)", "$1")
+    return F.regexp_replace(single, r"(?<=[^A-Za-z\\\s])\s(?=\S)|(?<=[A-Za-z])\s(?=[^A-Za-z\s])", "")
+
+
+def reading_key(latex: Column) -> Column:
+    """What two readings of a formula must share to agree."""
+    return F.regexp_replace(latex, NO_MATTER, "")
+
+
 # Markdown
 
 
@@ -127,8 +159,7 @@ def figure_refs(text: Column) -> Column:
 def table_heads(text: Column) -> Column:
     """First rows of pipe tables: lines that begin with a bar, after one that doesn't."""
     is_row = lambda x: strip(x).startswith("|")
-    rows = F.split(text, "\n")
-    return F.filter(rows, lambda x, i: is_row(x) & ((i == 0) | ~is_row(F.get(rows, i - 1))))
+    return once(F.split(text, "\n"), lambda rows: F.filter(rows, lambda x, i: is_row(x) & ((i == 0) | ~is_row(F.get(rows, i - 1)))))
 
 
 def bold_spans(text: Column) -> Column:
@@ -172,8 +203,9 @@ def script_safe(json: Column) -> Column:
 
 
 def replace_figures(text: Column, figures: Column) -> Column:
-    """Each figure's reference by its url; a name ends where its letters end."""
-    return F.aggregate(figures, text, lambda t, f: F.regexp_replace(t, F.concat(F.lit("figura:"), f["name"], F.lit("(?![A-Za-z0-9_])")), f["url"]))
+    """Each figure's reference by its url, as it stands; a name ends where its letters end."""
+    url = lambda f: F.regexp_replace(f["url"], r"([\\$])", r"\\$1")  # noqa: E731  no group references
+    return F.aggregate(figures, text, lambda t, f: F.regexp_replace(t, F.concat(F.lit("figura:"), f["name"], F.lit("(?![A-Za-z0-9_])")), url(f)))
 
 
 # How reference paragraphs begin, what else marks one, and their markup.
@@ -203,21 +235,21 @@ def reference_html(paragraph: Column) -> Column:
 def format_references(text: Column) -> Column:
     """Each reference paragraph in its standard markup; what parts paragraphs stays."""
     gap = r"\n\s*\n"
-    parts, gaps = F.split(text, gap), F.regexp_extract_all(text, F.lit(gap), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(i > 0, F.get(gaps, i - 1)).otherwise(""), F.when(is_reference(p), reference_html(p)).otherwise(p))), "")
+    shown = lambda p: F.when(is_reference(p), reference_html(p)).otherwise(p)
+    whole = lambda x: F.transform(x["parts"], lambda p, i: F.concat(F.when(i > 0, F.get(x["gaps"], i - 1)).otherwise(""), shown(p)))
+    return F.array_join(bound(whole, parts=F.split(text, gap), gaps=F.regexp_extract_all(text, F.lit(gap), F.lit(0))), "")
 
 
 def separate_tables(text: Column) -> Column:
     """An empty line between a pipe table and the text it touches."""
-    rows = F.split(text, "\n")
     row = lambda x: strip(x).startswith("|")
 
-    def with_gap(x: Column, i: Column) -> Column:
+    def with_gap(rows: Column, x: Column, i: Column) -> Column:
         before = F.coalesce(F.get(rows, i - 1), F.lit(""))
         touches = (strip(before) != "") & (strip(x) != "") & (row(x) != row(before))
         return F.concat(F.when((i > 0) & touches, "\n").otherwise(""), x)
 
-    return F.array_join(F.transform(rows, with_gap), "\n")
+    return F.array_join(once(F.split(text, "\n"), lambda rows: F.transform(rows, lambda x, i: with_gap(rows, x, i))), "\n")
 
 
 # Numbers, titles and headers
@@ -269,11 +301,14 @@ def bar_year(source: Column) -> Column:
 def bar_institution(source: Column) -> Column:
     """What stands before that year. split() scans from the left as well, so the pieces
     before the last year and the years between them give the text back."""
-    rest = bar_rest(source)
     pattern = r"(?:19|20)\d{2}"
-    years, pieces = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), F.split(rest, pattern)
-    n = F.size(years)
-    before = F.array_join(F.transform(F.slice(pieces, 1, F.greatest(n, F.lit(1))), lambda p, i: F.when(i < n - 1, F.concat(p, F.get(years, i))).otherwise(p)), "")
+
+    def before_last(rest: Column) -> Column:
+        years, pieces = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), F.split(rest, pattern)
+        n = F.size(years)
+        return F.array_join(F.transform(F.slice(pieces, 1, F.greatest(n, F.lit(1))), lambda p, i: F.when(i < n - 1, F.concat(p, F.get(years, i))).otherwise(p)), "")
+
+    before = once(bar_rest(source), before_last)
     return filled(strip(F.regexp_replace(before, r"[\s\-–—|,/]+$", "")))
 
 
@@ -282,10 +317,27 @@ def bar_number(source: Column) -> Column:
 
 
 def answer_pairs(text: Column) -> Column:
-    """(number, letter) of an answer table: a number line, then a letter line."""
+    """(number, letter) of an answer table: a number line, then a letter line. Of equal
+    numbers the first counts."""
     pattern = r"(?m)^\s*(\d{1,4})\s*\n\s*([A-E])\s*$"
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: two_digits(n.cast("int")))
-    return F.map_from_arrays(F.array_distinct(numbers), F.transform(F.array_distinct(numbers), lambda n: F.element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), F.array_position(numbers, n).cast("int"))))
+    return _first_pairs(text, pattern)
+
+
+def inline_answers(text: Column) -> Column:
+    """(number, letter) of lines of nothing but such pairs, one or several side by side. Of
+    equal numbers the last counts."""
+    only = F.array_join(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*(?:\d{1,4}\s+[A-E]\s*)+$")), "\n")
+    return _first_pairs(only, r"(\d{1,4})\s+([A-E])\b", F.reverse)
+
+
+def _first_pairs(text: Column, pattern: str, order: Callable[[Column], Column] = lambda x: x) -> Column:
+    found = [order(F.regexp_extract_all(text, F.lit(pattern), F.lit(k))) for k in (1, 2)]
+
+    def pairs(x: Column) -> Column:
+        first = lambda n: F.element_at(x["letters"], F.array_position(x["numbers"], n).cast("int"))
+        return once(F.array_distinct(x["numbers"]), lambda d: F.map_from_arrays(d, F.transform(d, first)))
+
+    return bound(pairs, numbers=F.transform(found[0], lambda n: two_digits(n.cast("int"))), letters=found[1])
 
 
 # Comparison of a source with its transcription
@@ -300,8 +352,9 @@ def source_body(source: Column) -> Column:
 
 def numbers_missing(body: Column, transcript: Column) -> Column:
     """Numbers of two digits or more whose digits are nowhere in the transcript's."""
-    digits = F.regexp_replace(transcript, "[^0-9]", "")
-    return F.filter(F.regexp_extract_all(F.replace(body, F.lit("."), F.lit("")), F.lit(r"\d+"), F.lit(0)), lambda n: (F.length(n) >= 2) & (F.instr(digits, n) == 0))
+    numbers = F.regexp_extract_all(F.replace(body, F.lit("."), F.lit("")), F.lit(r"\d+"), F.lit(0))
+    lost = lambda x: F.filter(x["numbers"], lambda n: (F.length(n) >= 2) & (F.instr(x["digits"], n) == 0))
+    return bound(lost, numbers=numbers, digits=F.regexp_replace(transcript, "[^0-9]", ""))
 
 
 def long_words(body: Column) -> Column:
@@ -310,16 +363,16 @@ def long_words(body: Column) -> Column:
 
 def word_coverage(body: Column, transcript: Column) -> Column:
     """The share of the body's distinct long words that the transcript holds; null without any."""
-    words, text = long_words(body), fold(transcript)
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.instr(text, w) > 0)) / F.size(words))
+    held = lambda x: F.size(F.filter(x["words"], lambda w: F.instr(x["text"], w) > 0)) / F.nullif(F.size(x["words"]), F.lit(0))
+    return bound(held, words=long_words(body), text=fold(transcript))
 
 
 def lines_repeated(source: Column, transcript: Column, least: int = 12) -> Column:
     """Keys of the source's lines that the transcript has more often than the source."""
-    rows = lines(source)
-    keys = F.transform(F.slice(rows, 2, F.size(rows)), lambda x: key(x))
-    whole, other = F.array_join(keys, ""), key(transcript)
-    return F.filter(F.array_distinct(keys), lambda k: (F.length(k) >= least) & (count_of(other, k) > count_of(whole, k)))
+    body = once(lines(source), lambda rows: F.slice(rows, 2, F.size(rows)))
+    keys = F.transform(body, lambda x: key(F.regexp_replace(x, CENTRED_HEAD, "")))
+    more = lambda x: F.filter(F.array_distinct(x["keys"]), lambda k: (F.length(k) >= least) & (count_of(x["other"], k) > count_of(x["whole"], k)))
+    return once(keys, lambda k: bound(more, keys=k, whole=F.array_join(k, ""), other=key(transcript)))
 
 
 def letters_out_of_order(letters: Column) -> Column:

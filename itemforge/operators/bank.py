@@ -44,11 +44,17 @@ def dropped_by_import(questions: DataFrame, payload: DataFrame) -> DataFrame:
 
 
 def guarded(payload: DataFrame, questions: DataFrame) -> DataFrame:
-    """payload; reading it fails if it would drop stored questions of a document."""
+    """payload; reading any of it, or counting it, fails if it would drop stored questions
+    of a document."""
     lost = dropped_by_import(questions, payload).select(F.col("hash").alias("_h"), "numbers")
     checked = payload.join(lost, payload["hash"] == lost["_h"], "left")
     stop = F.raise_error(F.concat(F.lit("the import would drop stored questions "), F.to_json("numbers"), F.lit(" of "), F.col("hash")))
-    return checked.withColumn("hash", F.when(F.col("numbers").isNotNull(), stop.cast("string")).otherwise(F.col("hash"))).drop("_h", "numbers")
+    return _unless(checked, F.col("numbers").isNotNull(), stop).drop("_h", "numbers")
+
+
+def _unless(df: DataFrame, bad: Column, stop: Column) -> DataFrame:
+    """df; a filter, which no projection prunes, raises where bad holds."""
+    return df.where(F.when(F.coalesce(bad, F.lit(False)), stop.cast("boolean")).otherwise(F.lit(True)))
 
 
 def import_questions(questions: DataFrame, payload: DataFrame) -> DataFrame:
@@ -79,11 +85,11 @@ def resolve_members(request: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def save_list(members: DataFrame, request: DataFrame, questions: DataFrame) -> DataFrame:
-    """members after lists are saved: those of a saved list are replaced. Reading it
-    fails if a list asks for questions that the bank lacks."""
+    """members after lists are saved: those of a saved list are replaced. Reading or
+    counting it fails if a list asks for questions that the bank lacks."""
     wanted = resolve_members(request, questions)
     stop = F.raise_error(F.concat(F.lit("not in the bank: "), F.col("hash"), F.lit("/"), F.col("number").cast("string")))
-    wanted = wanted.withColumn("position", F.when(F.col("found"), F.col("position")).otherwise(stop.cast("int"))).drop("found")
+    wanted = _unless(wanted, ~F.col("found"), stop).drop("found")
     others = members.join(request.select("list_id").distinct(), "list_id", "left_anti")
     return others.unionByName(wanted.select(*members.columns))
 
@@ -96,19 +102,60 @@ def removed_members(members: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def patch(lists: DataFrame, changes: DataFrame) -> DataFrame:
     """Partial update: changes (list_id, given map<string,string>) set the columns that
-    are keys of given; a key with a null value sets null, an absent one nothing."""
+    are keys of given (arrays as JSON); a key with a null value sets null, an absent one
+    nothing."""
     c = changes.select(F.col("list_id").alias("_id"), "given")
     both = lists.join(c, lists["list_id"] == c["_id"], "left")
     has = lambda k: F.coalesce(F.map_contains_key("given", k), F.lit(False))
     kinds = dict(lists.dtypes)
-    out = [F.when(has(k), F.try_element_at("given", F.lit(k)).cast(kinds[k])).otherwise(F.col(k)).alias(k) if kinds[k] == "string" and k != "list_id" else F.col(k) for k in lists.columns]
+    new = lambda k: F.from_json(F.try_element_at("given", F.lit(k)), kinds[k]) if kinds[k].startswith("array") else F.try_element_at("given", F.lit(k)).cast(kinds[k])
+    out = [F.col(k) if k == "list_id" else F.when(has(k), new(k)).otherwise(F.col(k)).alias(k) for k in lists.columns]
     return both.select(*out)
 
 
 def named(lists: DataFrame) -> DataFrame:
-    """lists; reading it fails where a name is blank."""
-    blank = F.coalesce(F.trim("name"), F.lit("")) == ""
-    return lists.withColumn("name", F.when(blank, F.raise_error(F.lit("a list needs a name")).cast("string")).otherwise(F.col("name")))
+    """lists; reading or counting it fails where a name is blank."""
+    return _unless(lists, F.coalesce(F.trim("name"), F.lit("")) == "", F.raise_error(F.lit("a list needs a name")))
+
+
+def asked_members(saved: DataFrame) -> DataFrame:
+    """(list_id, hash, number, ord from 1): what lists (with questions, an array of hash and
+    number in the wanted order) ask for."""
+    return saved.select("list_id", F.posexplode("questions").alias("ord", "q")).select("list_id", "q.hash", "q.number", (F.col("ord") + 1).alias("ord"))
+
+
+def save_lists(lists: DataFrame, members: DataFrame, saved: DataFrame, questions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(lists, members) after whole lists are saved: the row of a list is put in or over
+    the old one, whose origin and time of creation stay, and its members are replaced.
+    Reading the members fails if a list asks for questions that the bank lacks."""
+    filled = {"description": F.lit(""), "status": F.lit("rascunho"), "tags": F.array().cast("array<string>")}
+    new = saved.select(*[F.coalesce(F.col(c), filled[c]).alias(c) if c in filled else F.col(c) for c in saved.columns if c != "questions"])
+    new = new.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("discipline", "topic")}).withColumns({"created": now, "updated": now})
+    out = upsert(lists, named(new), ["list_id"], keep=("created", "hash")).drop("op")
+    # A saved list without questions has no row in what is asked for, but loses its members.
+    rest = members.join(saved.select("list_id"), "list_id", "left_anti")
+    return out, rest.unionByName(save_list(members.limit(0), asked_members(saved), questions))
+
+
+def create_lists(names: DataFrame, now: Column) -> DataFrame:
+    """New lists (list_id, name): empty drafts of their own, without an origin."""
+    text = F.lit(None).cast("string")
+    name = F.coalesce(F.col("name"), F.lit("Nova lista"))
+    return names.select("list_id", name.alias("name"), F.lit("").alias("description"), text.alias("discipline"), text.alias("topic"), F.array().cast("array<string>").alias("tags"), F.lit("rascunho").alias("status"), text.alias("hash"), now.alias("created"), now.alias("updated"))
+
+
+def first_list_of(lists: DataFrame) -> DataFrame:
+    """(hash, list_id): the list of each import, the earliest if there are several."""
+    return lists.where("hash is not null").groupBy("hash").agg(F.min_by("list_id", F.struct("created", "list_id")).alias("list_id"))
+
+
+def push_order(members: DataFrame, issues: DataFrame) -> DataFrame:
+    """(list_id, hashes): the imports to send, in order, before each list. Reading or
+    counting it fails if a question of a list has errors."""
+    wrong = issues.where("severity = 'E'").select(*QUESTION_KEY).distinct()
+    bad = members.join(wrong, QUESTION_KEY, "left_semi").groupBy("list_id").agg(F.count(F.lit(1)).alias("_bad"))
+    checked = origins_in_order(members).join(bad, "list_id", "left")
+    return _unless(checked, F.col("_bad") > 0, F.raise_error(F.concat(F.lit("questions with errors in the list "), F.col("list_id")))).drop("_bad")
 
 
 def publish(lists: DataFrame, ids: DataFrame) -> DataFrame:
@@ -147,36 +194,64 @@ def staged_text(staging: DataFrame) -> DataFrame:
 
 
 class BankStore:
-    """Parquet snapshots of the bank's tables: root/<table>/v=<n>, and root/_current/<n>
-    naming the version of all. Files are written by Spark only; a version is complete
-    before the pointer to it exists, and one that is read is never overwritten."""
+    """Parquet snapshots of the bank's tables: root/<table>/v=<n>, and root/_current/v=<n>,
+    which names the version of each table. Files are written by Spark only; a version is
+    complete before the pointer to it exists, and one that is read is never overwritten.
+
+    A version has one successor: a writer claims it by creating a file, which file systems
+    do atomically, so that of two writers who read the same version one fails."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def version(self) -> int:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_current")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path = self._path(f"{self.root}/_current")
+        fs = self._files(path)
         if not fs.exists(path):
             return 0
         return max((int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if fs.exists(self._path(f"{s.getPath()}/_SUCCESS"))), default=0)
 
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    def _tables(self, n: int) -> dict[str, int]:
+        return {r["name"]: r["version"] for r in self.spark.read.schema("name string, version int").parquet(f"{self.root}/_current/v={n}").collect()} if n else {}
 
     def read(self, table: str, schema: str) -> DataFrame:
-        n = self.version()
-        if not n:
+        at = self._tables(self.version()).get(table)
+        if at is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v={n}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes all tables of a new version, then the pointer. Any failure leaves the
-        old version current."""
-        n = self.version() + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={n}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/_current/v={n}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v={at}")
+
+    def claim(self, base: int) -> None:
+        path = self._path(f"{self.root}/_claims/after={base}")
+        if not self._files(path).createNewFile(path):
+            raise RuntimeError(f"another writer follows version {base}; release({base}) if it has died")
+
+    def release(self, base: int) -> None:
+        path = self._path(f"{self.root}/_claims/after={base}")
+        self._files(path).delete(path, False)
+
+    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
+        """Writes tables as the version after base (the one they were made from; the
+        current one if not given), then the pointer. Tables that aren't given stay as they
+        are. Any failure leaves the old version current."""
+        base = self.version() if base is None else base
+        self.claim(base)
+        n = base + 1
+        try:
+            if self.version() != base:
+                raise RuntimeError(f"version {base} is no longer current")
+            for name, df in tables.items():
+                df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={n}")
+            pointer = self._tables(base) | {name: n for name in tables}
+            self.spark.createDataFrame([*pointer.items()], "name string, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_current/v={n}")
+        except BaseException:
+            self.release(base)
+            raise
         return n
 
 
@@ -185,6 +260,7 @@ def import_documents(store: BankStore, documents: DataFrame, payload: DataFrame)
     as one new version: all or nothing, and the same again changes nothing."""
     from .. import schema as s
 
+    base = store.version()
     imports, questions = store.read("imports", s.IMPORT), store.read("questions", s.QUESTION)
     lists, members = store.read("lists", s.LIST), store.read("members", s.MEMBER)
     totals = payload.groupBy("hash").agg(F.count(F.lit(1)).cast("int").alias("total"))
@@ -197,7 +273,7 @@ def import_documents(store: BankStore, documents: DataFrame, payload: DataFrame)
         "questions": import_questions(questions, payload).drop("op"),
         "lists": own.drop("op"),
         "members": add_members(members, positions).drop("op"),
-    })
+    }, base)
 
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -33,9 +33,22 @@ def write_documents(nested: DataFrame, path: str) -> None:
 
 
 def payload(nested: DataFrame) -> DataFrame:
-    """What an import takes: without pictures of questions, figures by name and address."""
-    drop = F.transform("questions", lambda q: q.dropFields("image", "source_text", "outside"))
-    return nested.withColumn("questions", drop)
+    """What an import takes: without pictures of questions, figures by name and address
+    (null for those not uploaded yet)."""
+    figure = lambda f: F.struct(f["name"].alias("name"), (f["url"] if "url" in fields else F.lit(None).cast("string")).alias("url"))
+    fields = _figure_fields(nested)
+    drop = lambda q: q.dropFields("image", "source_text", "outside").withField("figures", F.transform(q["figures"], figure))
+    return nested.withColumn("questions", F.transform("questions", drop))
+
+
+def _figure_fields(nested: DataFrame) -> list[str]:
+    return nested.schema["questions"].dataType.elementType["figures"].dataType.elementType.names
+
+
+def upload_figures(nested: DataFrame, address: Column) -> DataFrame:
+    """nested with the address of each figure; address is a column over the figure's path."""
+    with_url = lambda q: q.withField("figures", F.transform(q["figures"], lambda f: f.withField("url", F.concat(address, figure_path(F.col("hash"), f["name"])))))
+    return nested.withColumn("questions", F.transform("questions", with_url))
 
 
 def review_page(questions: DataFrame) -> DataFrame:

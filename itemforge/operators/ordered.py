@@ -99,3 +99,28 @@ def weighted_rank_value(df: DataFrame, keys: list[str], value: str, weight: str,
     total = F.sum("_w").over(Window.partitionBy(*keys))
     per = per.withColumn("_c", cumulative).withColumn("_n", F.floor(total * share))
     return per.where("_c > _n").groupBy(*keys).agg(F.min(value).alias(out))
+
+
+def top_margin(scores: DataFrame, keys: list[str], value: str, score: str) -> DataFrame:
+    """(keys, value, score, margin): the value with the best score of each key and how far
+    the next value lies behind; of a value's own scores the best counts. No sort: the two
+    best are found by partial aggregates."""
+    best = scores.groupBy(*keys, value).agg(F.max(score).alias("_s"))
+    two = F.slice(F.sort_array(F.collect_list(F.struct("_s", F.col(value).alias("_v"))), asc=False), 1, 2)
+    out = best.groupBy(*keys).agg(two.alias("_t"))  # the values of a key are a few letters
+    top, next_ = F.get("_t", F.lit(0)), F.get("_t", F.lit(1))
+    return out.select(*keys, top["_v"].alias(value), top["_s"].alias(score), (top["_s"] - next_["_s"]).alias("margin"))
+
+
+def word_cuts(gaps: Column, words: Column, least: float = 2.0, ratio: float = 1.15) -> Column:
+    """The gaps (an array) that part `words` words, largest first; null where they are too
+    few, too small or hardly larger than the next."""
+    ranked = F.sort_array(gaps, asc=False)
+    cuts, rest = F.slice(ranked, F.lit(1), F.greatest(words - 1, F.lit(0))), F.coalesce(F.get(ranked, words - 1), F.lit(0.0))
+    clear = (words == 1) | ((F.array_min(cuts) >= least) & (F.array_min(cuts) >= ratio * rest))
+    return F.when((words >= 1) & (F.size(cuts) == words - 1) & clear, cuts)
+
+
+def first_valid(tries: DataFrame, keys: list[str], order: str, valid: Column, value: str) -> DataFrame:
+    """(keys, value): the first try of each key that is valid, null without one."""
+    return tries.groupBy(*keys).agg(F.min_by(value, F.when(valid, F.col(order))).alias(value))

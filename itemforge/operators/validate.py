@@ -6,7 +6,7 @@ the questions with themselves. E blocks, W asks for review.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -157,3 +157,17 @@ def partial_answers(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc, without_answer): numbers that the document's answer key lacks."""
     per = questions.groupBy("doc").agg(F.array_sort(F.collect_set(t.two_digits(F.col("number")))).alias("_n"))
     return per.join(documents.select("doc", "answers"), "doc").select("doc", F.array_except("_n", F.coalesce(F.map_keys("answers"), F.array())).alias("without_answer"))
+
+
+def stage_means(questions: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, stage, mean, falls): the mean difficulty of each stage, and whether it is less
+    than that of the stage before."""
+    order = F.create_map(*[F.lit(v) for k, s in enumerate(STAGE_BANDS) for v in (s, k)])
+    per = questions.where(F.col("stage").isin(*STAGE_BANDS)).groupBy(doc, "stage").agg(F.avg("difficulty").alias("mean"))
+    before = F.lag("mean").over(Window.partitionBy(doc).orderBy(F.try_element_at(order, "stage")))
+    return per.withColumn("falls", F.coalesce(F.col("mean") < before, F.lit(False)))
+
+
+def allowed(lists: DataFrame) -> DataFrame:
+    """Lists whose status and kind are of those that the bank knows."""
+    return lists.where(F.col("status").isin("rascunho", "publicada") & F.coalesce(F.col("kind").isin("lista", "simulado"), F.lit(True)))

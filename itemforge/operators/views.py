@@ -74,3 +74,27 @@ def ready_imports(documents: DataFrame, transcribed: DataFrame) -> DataFrame:
 def pending(questions: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What is still to do: resuming skips what is done."""
     return questions.join(done, keys, "left_anti")
+
+
+def hard_questions(questions: DataFrame, least: int = 4) -> DataFrame:
+    """Questions of at least this difficulty, for a list of its own."""
+    return questions.where(F.col("difficulty") >= least)
+
+
+def stage_summary(questions: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, stage, first, last): the numbers between which each stage's questions lie."""
+    return questions.where("stage is not null").groupBy(doc, "stage").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+
+
+def figure_count(questions: DataFrame, doc: str = "doc") -> DataFrame:
+    return questions.groupBy(doc).agg(F.sum(F.coalesce(F.size("figures"), F.lit(0))).alias("figures"))
+
+
+def outcomes(results: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
+    """How many results ended in each way."""
+    return results.groupBy(*keys, status).agg(F.count(F.lit(1)).alias("n"))
+
+
+def union_banks(banks: list[DataFrame]) -> DataFrame:
+    """The questions of several imports as one bank; columns that one lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), banks)
