@@ -13,7 +13,8 @@ from ..functions import text as t
 from . import spatial
 from .ordered import anchor_groups, bands, carry_down, majority
 
-# Names of stages, the top margin and the least side of a figure in points.
+# Names of stages, the top margin and the least side of a figure in points, how
+# bars and bank names read, and how bold fonts are named.
 STAGES = ("Fixação", "Treinamento", "Aprofundamento", "Desafios")
 TOP, FIGURE = 30.0, 30.0
 BAR = r"^\s*Quest[aã]o\s*(\d[\d ]*)"
@@ -188,13 +189,20 @@ def stacked_offsets(parts: DataFrame, keys: list[str], order: list, height: str
     return parts.withColumn("offset", F.coalesce(before, F.lit(0.0)))
 
 
-def missing_numbers(questions: DataFrame, key: str = "doc", number: str = "number") -> DataFrame:
-    """(key, missing): numbers from 1 to the largest that are not there."""
-    per = questions.groupBy(key).agg(F.max(number).alias("_max"), F.collect_set(number).alias("_have"))
+def missing_numbers(questions: DataFrame, key: str = "doc", number: str = "number", most: int = 100_000) -> DataFrame:
+    """(key, missing): numbers from 1 to the largest that are not there. A number over
+    `most` is misread and counts for nothing; see misread_numbers()."""
+    real = F.when(F.col(number) <= most, F.col(number))
+    per = questions.groupBy(key).agg(F.max(real).alias("_max"), F.collect_set(real).alias("_have"))
     every = F.when(F.col("_max") >= 1, F.sequence(F.lit(1), F.col("_max").cast("int"))).otherwise(F.array())
     return per.select(key, F.array_except(every, F.col("_have").cast("array<int>")).alias("missing"))
 
 
+def misread_numbers(questions: DataFrame, key: str = "doc", number: str = "number", most: int = 100_000) -> DataFrame:
+    """(key, number): numbers larger than any list has."""
+    return questions.where(F.col(number) > most).select(key, number).distinct()
+
+
 def repeated_numbers(questions: DataFrame, key: str = "doc", number: str = "number") -> DataFrame:
     return questions.groupBy(key, number).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
@@ -245,3 +253,96 @@ def merge_tiles(images: DataFrame, gap: float = 1.5, off: float = 2.0) -> DataFr
         return out.assign(doc=rows["doc"].iloc[0], page=rows["page"].iloc[0], ord=range(len(out)))[["doc", "page", "ord", "x0", "y0", "x1", "y1"]]
 
     return images.select("doc", "page", "ord", "x0", "y0", "x1", "y1").groupBy("doc", "page").applyInPandas(page, "doc string, page int, ord int, x0 double, y0 double, x1 double, y1 double")
+
+
+def stage_pages(lines: DataFrame) -> DataFrame:
+    """(doc, stage, rank, start): the page on which each stage begins, from the first page
+    of contents that names one: the number on the stage's own baseline."""
+    contents = lines.where(F.col("text").contains("Sumário")).select(*ON).distinct()
+    there = lines.join(contents, ON).select(*ON, "base", "ord", t.strip(F.col("text")).alias("text"))
+    names = there.where(F.col("text").isin(*STAGES)).groupBy(*ON, F.col("text").alias("stage")).agg(F.min_by("base", "ord").alias("base"))
+    numbers = there.where(F.col("text").rlike(r"^\d{1,3}$")).select(*ON, F.col("base").alias("_b"), F.col("ord").alias("_o"), F.col("text").cast("int").alias("start"))
+    met = names.join(numbers, ON).where(F.abs(F.col("base") - F.col("_b")) < 6).groupBy(*ON, "stage").agg(F.min_by("start", "_o").alias("start"))
+    first = met.groupBy("doc").agg(F.min("page").alias("page"))
+    rank = F.create_map(*[F.lit(v) for k, s in enumerate(STAGES) for v in (s, k)])
+    return met.join(first, ON, "left_semi").select("doc", "stage", F.try_element_at(rank, "stage").alias("rank"), "start")
+
+
+def bar_text_votes(bars_: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc, page, number, y0, one_column): what a bar's own text says. Its last spans, up
+    to a gap or the number, name a bank: at the page's right end it spans the page, before
+    the middle a column; anything else is no vote."""
+    bar = bars_.select(*ON, "number", "y0", ((F.col("y0") + F.col("y1")) / 2).alias("_c"))
+    s = spans.where(t.strip(F.col("text")) != "").select(*ON, F.struct("x0", "x1", t.strip(F.col("text")).alias("text")).alias("s"), ((F.col("y0") + F.col("y1")) / 2).alias("_sc"))
+    own = bar.join(s, ON).where(F.abs(F.col("_sc") - F.col("_c")) < 3).groupBy(*ON, "number", "y0").agg(F.array_sort(F.collect_list("s")).alias("s")).join(pages, ON)
+    n = F.size("s")
+    parts = lambda k: (F.get("s", k)["x0"] - F.get("s", k - 1)["x1"] >= 12) | F.get("s", k - 1)["text"].rlike(BAR)
+    cut = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), parts))
+    own = own.withColumn("_k", F.when(n >= 2, cut)).where("_k is not null")
+    text = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), " ")
+    bank, before = F.slice("s", F.col("_k") + 1, n), F.slice("s", F.lit(1), F.col("_k"))
+    middle = F.col("width") / 2
+    whole = (F.get("s", F.col("_k"))["x0"] > middle + 30) & (F.array_max(F.transform(before, lambda x: x["x1"])) < middle - 30)
+    column = F.get("s", n - 1)["x1"] < middle + 4
+    vote = F.when(whole, True).when(column, False)
+    return own.where(text(bank).rlike(BANK) & text(before).rlike(BAR)).select(*ON, "number", "y0", vote.alias("one_column")).where("one_column is not null")
+
+
+def side_by_side(bars_: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc, page): pages with two bars at one height, one left and one right of the middle."""
+    placed = bars_.join(pages, ON).select(*ON, "y1", (F.col("x0") >= F.col("width") / 2).alias("right"))
+    left, right = placed.where("not right").select(*ON, F.col("y1").alias("_l")), placed.where("right").select(*ON, F.col("y1").alias("_r"))
+    return left.join(right, ON).where(F.abs(F.col("_l") - F.col("_r")) < 4).select(*ON).distinct()
+
+
+def better_model(model: DataFrame, outside_one: DataFrame, outside_two: DataFrame) -> DataFrame:
+    """model (doc, page, one_column) turned over where the page has content outside all
+    segments and the other model leaves less of it outside."""
+    count = lambda rows, name: rows.groupBy(*ON).agg(F.count(F.lit(1)).alias(name))
+    both = model.join(count(outside_one, "_one"), ON, "left").join(count(outside_two, "_two"), ON, "left").na.fill(0, ["_one", "_two"])
+    own, other = [F.when(F.col("one_column"), a).otherwise(b) for a, b in ((F.col("_one"), F.col("_two")), (F.col("_two"), F.col("_one")))]
+    return both.select(*ON, (F.col("one_column") != ((own > 0) & (other < own))).alias("one_column"))
+
+
+def trim_figures(figures_: DataFrame, lines: DataFrame) -> DataFrame:
+    """figures_ (doc, page, ord, x0, y0, x1, y1) without the text they reach into. Lines
+    that cross the upper or lower edge cut it, one after the other; of running text inside
+    the longest stretch without any stays. Labels inside stay."""
+    words = F.size(F.array_remove(F.split(t.strip(F.col("text")), r"(?U)\s+"), ""))
+    short = F.forall(F.split(t.strip(F.col("text")), r"(?U)\s+"), lambda w: F.length(w) <= 2)
+    item = F.struct("ord", "x0", "y0", "x1", "y1", words.alias("words"), short.alias("short"), F.col("text").rlike(BAR).alias("bar"))
+    near = lines.select(*ON, item.alias("l")).groupBy(*ON).agg(F.array_sort(F.collect_list("l")).alias("_lines"))  # the lines of a page
+    rows = figures_.join(near, ON, "left").withColumn("_lines", F.coalesce("_lines", F.array().cast(near.schema["_lines"].dataType)))
+    start = F.struct(F.col("y0").alias("y0"), F.col("y1").alias("y1"))
+
+    def cut(r: Column, l: Column) -> Column:
+        beside = (l["x1"] < F.col("x0")) | (l["x0"] > F.col("x1")) | l["short"]
+        low, high = (l["y0"] < r["y1"]) & (r["y1"] < l["y1"]), (l["y0"] < r["y0"]) & (r["y0"] < l["y1"])
+        return F.struct(F.when(~beside & ~low & high, l["y1"] + 1).otherwise(r["y0"]).alias("y0"), F.when(~beside & low, l["y0"] - 1).otherwise(r["y1"]).alias("y1"))
+
+    rows = rows.withColumn("_r", F.aggregate("_lines", start, cut))
+    wide = F.col("x1") - F.col("x0")
+    running = lambda l: (
+        (l["x0"] < F.col("x1")) & (l["x1"] > F.col("x0")) & (l["y0"] >= F.col("_r.y0") - 1) & (l["y1"] <= F.col("_r.y1") + 1)
+        & (((l["words"] >= 5) & (l["x1"] - l["x0"] >= 0.5 * wide)) | l["bar"]) & (wide >= 0.4 * (l["x1"] - l["x0"]))
+    )
+    rows = rows.withColumn("_in", F.array_sort(F.transform(F.filter("_lines", running), lambda l: F.struct(l["y0"].alias("y0"), l["y1"].alias("y1")))))
+    starts, ends = F.concat(F.array("_r.y0"), F.transform("_in", lambda l: l["y1"] + 1)), F.concat(F.transform("_in", lambda l: l["y0"] - 1), F.array("_r.y1"))
+    free = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct((b - a).alias("size"), (-a).alias("up"), a.alias("y0"), b.alias("y1"))), lambda x: x["size"] > 0)
+    best = F.coalesce(F.array_max(free), F.struct(F.lit(0.0).alias("size"), F.lit(0.0).alias("up"), F.col("_r.y0").alias("y0"), F.col("_r.y1").alias("y1")))
+    rows = rows.withColumn("_best", best)
+    return rows.select(*[F.col("_best.y0").alias("y0") if c == "y0" else F.col("_best.y1").alias("y1") if c == "y1" else F.col(c) for c in figures_.columns])
+
+
+def equation_systems(braces: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(doc, page, ord, latex): tall thin glyphs with equations right of them, on two lines
+    or more. pieces: the pieces of text lines (doc, page, line, ord, text, x0, y0, y1)."""
+    tall = (F.col("y1") - F.col("y0") >= 16) & (F.col("x1") - F.col("x0") <= 18) & (F.col("x1") - F.col("x0") <= 0.5 * (F.col("y1") - F.col("y0")))
+    b = braces.where(tall).select(*ON, "ord", F.col("y0").alias("_t"), F.col("y1").alias("_b"), F.col("x1").alias("_x"))
+    p = pieces.select(*ON, "line", F.col("ord").alias("_o"), "text", "x0", ((F.col("y0") + F.col("y1")) / 2).alias("_c"))
+    right = b.join(p, ON).where((F.col("_c") > F.col("_t") - 2) & (F.col("_c") < F.col("_b") + 2) & (F.col("x0") >= F.col("_x") - 3))
+    rows = right.groupBy(*ON, "ord", "line").agg(F.min(F.col("x0") - F.col("_x")).alias("_near"), F.min("_c").alias("_c"), F.array_sort(F.collect_list(F.struct("_o", "text"))).alias("_p"))
+    rows = rows.where("_near < 25").withColumn("eq", t.latex_of_line(t.strip(F.array_join(F.transform("_p", lambda x: x["text"]), ""))))
+    per = rows.groupBy(*ON, "ord").agg(F.array_sort(F.collect_list(F.struct("_c", "line", "eq"))).alias("_e"))
+    equations = F.transform("_e", lambda x: x["eq"])
+    return per.where((F.size("_e") >= 2) & ~F.array_contains(equations, "")).select(*ON, "ord", t.cases_of(equations).alias("latex"))

@@ -1,21 +1,37 @@
 """Joins by place: last before, inside, nearest, most overlap.
 
-Each has equality keys (document and page, user, order) that bound what meets; the
-condition on places is part of the join, so Spark sees an equi-join with a filter.
+Each has equality keys (document and page, user, order) that bound what meets. What is
+asked of the rows before a place is a running maximum over one sort; other conditions on
+places are part of the join, so Spark sees an equi-join with a filter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def last_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, value: str, rank: str, row: list[str], out: str) -> DataFrame:
-    """The value with the greatest rank among right rows that start at or before `at`;
-    null without one. row names what tells the left rows apart."""
-    hits = left.select(*dict.fromkeys([*keys, *row, at])).join(right.select(*dict.fromkeys([*keys, start, value, rank])), keys)
-    hits = hits.where(F.col(start) <= F.col(at)).groupBy(*row).agg(F.max_by(value, rank).alias(out))
-    return left.join(hits, row, "left")
+def _so_far(left: DataFrame, right: DataFrame, keys: list[str], at: str, place: str, found: Column, out: str) -> DataFrame:
+    """left with the greatest `found` of the right rows at or before its place. Both sides
+    are sorted once within keys, so a hot key costs a sort and no pairs."""
+    rows = left.withColumn("_p", F.col(at)).withColumn("_mine", F.lit(True))
+    rows = rows.unionByName(right.select(*keys, F.col(place).alias("_p"), found.alias("_x")), allowMissingColumns=True)
+    best = F.max("_x").over(Window.partitionBy(*keys).orderBy("_p"))  # with all rows at the same place
+    return rows.withColumn(out, best).where("_mine").select(*left.columns, out)
+
+
+def last_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, value: str, rank: str, out: str) -> DataFrame:
+    """left with the value of the greatest rank among right rows that start at or before
+    `at`; null without one."""
+    found = _so_far(left, right, keys, at, start, F.struct(F.col(rank).alias("r"), F.col(value).alias("v")), out)
+    return found.withColumn(out, F.col(out)["v"])
+
+
+def nearest_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, place: str, reach: float, value: str, out: str) -> DataFrame:
+    """left with the value (a number; of equally near ones the smallest) of the right row
+    nearest at or before `at` and at most `reach` away; null without one."""
+    found = _so_far(left, right, keys, at, place, F.struct(F.col(place).alias("p"), (-F.col(value)).alias("v")), out)
+    return found.withColumn(out, F.when(F.col(at) - F.col(out)["p"] <= reach, -F.col(out)["v"]))
 
 
 def inside(points: DataFrame, boxes: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:

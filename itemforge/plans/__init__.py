@@ -1 +1,3 @@
 """Queries made of the operators."""
+
+from . import pages, queries  # noqa: F401  each registers its queries

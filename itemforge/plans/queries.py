@@ -253,7 +253,7 @@ def event_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("start"), F.col("event_id").alias("rank"), "value")
-    return spatial.last_before(left, right, ["user_id"], "ts", "start", "value", "rank", ["event_id"], "last_value").select("event_id", "last_value")
+    return spatial.last_before(left, right, ["user_id"], "ts", "start", "value", "rank", "last_value").select("event_id", "last_value")
 
 
 @query("""
@@ -278,7 +278,10 @@ def gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.gap_groups(rows, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"], 21_600_000_000).drop("ts")
 
 
-@query()
+@query("""
+WITH RECURSIVE a(user_id, anchor, n) AS (SELECT user_id, min(value), 1 FROM events GROUP BY user_id
+  UNION ALL SELECT a.user_id, min(e.value), any_value(a.n) + 1 FROM a JOIN events e ON e.user_id = a.user_id AND e.value - a.anchor >= 2.5 GROUP BY a.user_id)
+SELECT e.user_id, e.value, e.event_id, max(a.n) AS line_no FROM events e JOIN a ON a.user_id = e.user_id AND a.anchor <= e.value GROUP BY ALL""")
 def anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "value", "event_id")
     return ordered.anchor_groups(rows, ["user_id"], "value", ["value", "event_id"], 2.5)
@@ -328,8 +331,7 @@ def nearest_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "value")
     right = e.where("event_type = 'click'").select(F.col("event_id").alias("other"), "user_id", F.col("value").alias("other_value"))
-    gap = F.col("value") - F.col("other_value")
-    return spatial.nearest(left, right, ["user_id"], gap, gap.between(0, 40), ["event_id"], "other", "other", "nearest_left")
+    return spatial.nearest_before(left, right, ["user_id"], "value", "other_value", 40, "other", "nearest_left").select("event_id", "nearest_left")
 
 
 @query(f"""
@@ -461,7 +463,9 @@ WITH p AS (SELECT doc_id, list_transform(string_split(text, chr(10))[2:], lambda
 SELECT doc_id, CAST(len(list_filter(list_distinct(k), lambda x: length(x) >= 12 AND (length(o) - length(replace(o, x, ''))) // length(x) > (length(array_to_string(k, '')) - length(replace(array_to_string(k, ''), x, ''))) // length(x))) AS INTEGER) AS repeated FROM p""")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(F.col("text").contains("\n"))
-    return d.select("doc_id", F.size(t.lines_repeated(F.col("text"), F.concat_ws("\n", "text", "text"))).alias("repeated"))
+    # Half of the sources have all their lines marked as centred, which the comparison ignores.
+    source = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit(f"\n{t.CENTRED_MARK}"))).otherwise(F.col("text"))
+    return d.select("doc_id", F.size(t.lines_repeated(source, F.concat_ws("\n", "text", "text"))).alias("repeated"))
 
 
 @query("""

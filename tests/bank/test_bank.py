@@ -1,5 +1,6 @@
 import pytest
 from itemforge import schema
+from itemforge.functions import text as t
 from itemforge.operators import assemble, bank, export, validate, views
 from itemforge.sources import files
 from pyspark.sql import functions as F
@@ -175,3 +176,44 @@ def test_assembly_takes_the_official_answer(spark):
     good, bad = assemble.split_assembled(whole)
     assert (good.count(), bad.count()) == (1, 2)
     assert assemble.list_documents(good, documents).first().tags == ["s"]
+
+
+def test_guards_hold_whatever_is_read(spark, store):
+    members = spark.createDataFrame([], "list_id string, hash string, number int, position int")
+    ask = spark.createDataFrame([("L", "x", 9, 1)], "list_id string, hash string, number int, ord int")
+    questions = spark.createDataFrame([("x", 1)], "hash string, number int")
+    wrong = spark.createDataFrame([("x", 1, "E")], "hash string, number int, severity string")
+    placed = spark.createDataFrame([("L", "x", 1, 1)], "list_id string, hash string, number int, position int")
+    blank = spark.createDataFrame([("L", None)], "list_id string, name string")
+    for df in (bank.save_list(members, ask, questions), bank.guarded(questions.where("number > 5").unionByName(spark.createDataFrame([("x", 2)], "hash string, number int")), questions), bank.named(blank), bank.push_order(placed, wrong)):
+        with pytest.raises(Exception, match="USER_RAISED|not in the bank|would drop|needs a name|with errors"):
+            df.count()
+        with pytest.raises(Exception, match="USER_RAISED|not in the bank|would drop|needs a name|with errors"):
+            df.select(F.lit(1)).collect()
+
+
+def test_two_writers_cant_follow_one_version(spark, store):
+    rows = spark.createDataFrame([("a",)], "hash string")
+    assert store.commit({"imports": rows}) == 1
+    store.claim(1)
+    with pytest.raises(RuntimeError, match="another writer follows version 1"):
+        store.commit({"imports": rows})
+    store.release(1)
+    assert store.commit({"lists": rows}, base=1) == 2
+    with pytest.raises(RuntimeError, match="another writer follows version 1"):
+        store.commit({"imports": rows}, base=1)
+    assert store.read("imports", "hash string").count() == 1 and store.version() == 2  # a table that wasn't given stays
+    with pytest.raises(ZeroDivisionError):
+        store.commit({"imports": Broken()})
+    assert store.commit({"imports": rows}) == 3
+
+
+class Broken:
+    @property
+    def write(self):
+        raise ZeroDivisionError
+
+
+def test_text_that_looks_like_a_group_reference(spark):
+    row = spark.range(1).select(t.replace_figures(F.lit("![](figura:Q1) figura:Q11"), F.array(F.struct(F.lit("Q1").alias("name"), F.lit("https://a/$1\\b").alias("url")))).alias("x")).first()
+    assert row.x == "![](https://a/$1\\b) figura:Q11"

@@ -82,3 +82,38 @@ def test_tiles_become_one_picture(spark):
     tiles = [("d", 1, 0, 0.0, 0.0, 50.0, 20.0), ("d", 1, 1, 0.0, 40.0, 50.0, 60.0), ("d", 1, 2, 0.0, 21.0, 50.0, 40.0), ("d", 1, 3, 90.0, 0.0, 120.0, 20.0)]
     got = segment.merge_tiles(spark.createDataFrame(tiles, schema.IMAGE)).collect()
     assert sorted((r.x0, r.y0, r.x1, r.y1) for r in got) == [(0, 0, 50, 60), (90, 0, 120, 20)]
+
+
+def test_figures_are_trimmed_where_text_cuts_them(spark):
+    from itemforge.operators import segment
+
+    box = "doc string, page int, ord int, x0 double, y0 double, x1 double, y1 double"
+    figures = spark.createDataFrame([("d", 1, k, 100.0, 100.0, 200.0, 200.0) for k in range(2)] + [("d", 2, 0, 100.0, 100.0, 200.0, 200.0), ("d", 3, 0, 100.0, 100.0, 200.0, 200.0)], box)
+    lines = [
+        ("d", 1, 0, 90.0, 195.0, 210.0, 205.0, "crosses the lower edge"),
+        ("d", 1, 1, 90.0, 95.0, 210.0, 105.0, "and the upper edge"),
+        ("d", 1, 2, 120.0, 150.0, 180.0, 155.0, "ponto P"),  # a label stays
+        ("d", 1, 3, 90.0, 190.0, 210.0, 199.0, "A B"),  # letters of options don't cut
+        ("d", 1, 4, 300.0, 95.0, 400.0, 105.0, "beside the figure there"),
+        ("d", 2, 0, 110.0, 130.0, 190.0, 140.0, "running text of five words"),
+    ]
+    got = segment.trim_figures(figures, spark.createDataFrame(lines, box + ", text string")).collect()
+    assert {(r.page, r.y0, r.y1) for r in got} == {(1, 106.0, 194.0), (2, 141.0, 200.0), (3, 100.0, 200.0)}
+
+
+def test_systems_of_equations(spark):
+    from itemforge.operators import segment
+
+    box = "doc string, page int, ord int, x0 double, y0 double, x1 double, y1 double"
+    braces = spark.createDataFrame([("d", 1, 0, 10.0, 100.0, 14.0, 140.0), ("d", 1, 1, 10.0, 200.0, 14.0, 240.0), ("d", 1, 2, 10.0, 100.0, 60.0, 140.0)], box)
+    pieces = [("d", 1, 5, 0, "x + y ", 20.0, 100.0, 110.0), ("d", 1, 5, 1, "= 2", 60.0, 100.0, 110.0), ("d", 1, 6, 2, "x ≤ 1", 20.0, 120.0, 130.0), ("d", 1, 7, 3, "x = 1", 20.0, 210.0, 220.0)]
+    pieces = spark.createDataFrame(pieces, "doc string, page int, line int, ord int, text string, x0 double, y0 double, y1 double")
+    assert [(r.ord, r.latex) for r in segment.equation_systems(braces, pieces).collect()] == [(0, "\\begin{cases} x + y = 2 \\\\ x \\le 1 \\end{cases}")]
+
+
+def test_a_misread_number_makes_no_gap(spark):
+    from itemforge.operators import segment
+
+    rows = spark.createDataFrame([("d", n) for n in (1, 3, 987654321)] + [("e", None)], "doc string, number int")
+    assert {r.doc: r.missing for r in segment.missing_numbers(rows).collect()} == {"d": [2], "e": []}
+    assert [r.number for r in segment.misread_numbers(rows).collect()] == [987654321]
