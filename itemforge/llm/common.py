@@ -44,6 +44,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one, that no column of df has (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def worker_store(name: str) -> dict:
     """A dict that lives as long as the Python worker process, for tables which
     are costly to build and memos which later tasks can use again. Shipped

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, filter_size, hash_filter, materialize
+from .common import connected_components, filter_size, free_name, hash_filter, materialize
 
 #: Tokens that a run chooses from a set, on average, at each level of a path.
 CHOSEN = 3
@@ -429,9 +429,13 @@ def _count_links(rows: DataFrame, links: DataFrame, alone: DataFrame, sizes: Dat
 
 
 def drop_similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their class, unchanged. Rows that share an
-    id, or have none, are told apart by a key that is written with them."""
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col("_row").alias("row"))
-    gone = _classes(rows, n, similarity, 0.9999).where("not kept").select(F.col("row").alias("_gone"))
-    return keyed.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that are the first of their class, unchanged, whatever columns there
+    are. Rows that share an id, or have none, are told apart by a key that is written with
+    them; of a class the row with the least id stays (null only if there is no other), of
+    equal ids the first. Texts without words, null and empty ones, stay. An empty table
+    gives no rows."""
+    key = free_name(docs, "_row")
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(key).alias("row"))
+    gone = _classes(rows, n, similarity, 0.9999).where("not kept").select(F.col("row").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_size, hash_filter, materialize
+from .common import filter_size, free_name, hash_filter, materialize
 
 #: Shorter lines are never touched.
 MIN_WORDS = 3
@@ -175,11 +175,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with text_col cut to the lines that stay, and two columns named by counts,
     the lines of the text and those cut (longs; they replace columns of these names). All rows stay; a null
     text stays null with 0 lines. An empty table gives no rows."""
-    gone = find_duplicate_lines(docs, id_col, text_col, min_words, fuzzy_words).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_dropped"))
+    gid, ghash, dropped_col = [free_name(docs, c) for c in ("_gone", "_hash", "_dropped")]
+    gone = find_duplicate_lines(docs, id_col, text_col, min_words, fuzzy_words).select(F.col("doc_id").alias(gid), F.col("text_hash").alias(ghash), F.col("dropped").alias(dropped_col))
     columns = [c for c in docs.columns if c not in counts]
     kinds = dict(docs.dtypes)
     # What is dropped grows with the documents, so it is never broadcast.
-    rows = docs.select(*[F.col(c) for c in columns]).join(gone.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("_gone")) & (_text_hash(docs[text_col]) == F.col("_hash")), "left").drop("_gone", "_hash")
+    rows = docs.select(*[F.col(c) for c in columns]).join(gone.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col(gid)) & (_text_hash(docs[text_col]) == F.col(ghash)), "left").drop(gid, ghash)
     k = columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +210,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and have no word left go, and size_col, if there is one, follows the text. Null and
     empty texts lose nothing and stay; rows that share an id, or have none, are told apart
     by their text; an empty table gives no rows."""
-    counts = [c + "_" * sum(d.startswith(c) for d in docs.columns) for c in ("_lines", "_cut")]  # of no column of docs
+    counts = (free_name(docs, "_lines"), free_name(docs, "_cut"))
     out = dedup_lines(docs, id_col, text_col, counts=counts)
     cut = F.col(counts[1])
     out = out.where((cut == 0) | F.col(text_col).rlike(r"(?U)\w"))

@@ -41,6 +41,9 @@ NO_PERSON = r"^0*(?:0|127|255|22[4-9]|23[0-9])[^0-9]"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[4-9]|6)"
 CODES = r"^(?:\+|00\s?)(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 BYTES = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+#: Words that say whose the data is.
+OWN = r"(?iu)\b(?:my|our|your|his|her|mein|meine|ihre|mi|su|mon|ma|votre)\b"
+FEATURES = 5
 #: Characters of context on either side.
 CONTEXT = 32
 LABELERS = 4
@@ -168,8 +171,14 @@ def fit_classifier(rows: list[tuple[list[float], float, int]], steps: int = 400,
 
 
 def _feature_columns() -> list[Column]:
-    """Discrete features of a candidate, beside its votes."""
-    return [F.col("after").rlike(r"^[\s,.;:!?)]|^$").cast("int"), F.col("before").rlike(r"[\s(:<\"]$|^$").cast("int")]
+    """Features of a candidate's span and context that no labeler looks at."""
+    return [
+        F.col("after").rlike(r"^[\s,.;:!?)]|^$").cast("int"),
+        F.col("before").rlike(r"[\s(:<\"]$|^$").cast("int"),
+        F.col("before").rlike(r":\s?$").cast("int"),
+        F.col("before").rlike(OWN).cast("int"),
+        (F.char_length("m") >= 18).cast("int"),
+    ]
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.7) -> DataFrame:
@@ -179,7 +188,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ac
     The counts and base_sha256 (of kind:start:end, by start, then kind, comma-joined)
     are of the base spans; spans lists these and the added ones in the same way.
     Offsets count code points, ends are exclusive. A candidate is added if the
-    classifier gives it at least `accept` and it overlaps no base span.
+    classifier gives it at least `accept` and it overlaps no base span and no accepted
+    candidate before it (by start, kind and end). Texts of any length are read whole.
 
     Null texts count as empty: no spans. Null and repeated ids are carried through, row
     by row. An empty table gives no rows. Other columns are ignored. The driver gets
@@ -192,7 +202,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ac
     for kind, v, _, c in counts:
         merged[kind, v] = merged.get((kind, v), 0) + c
     truth = estimate_reliability([(kind, v, c) for (kind, v), c in sorted(merged.items())])
-    width = 2 * LABELERS + 2 + len(KINDS)
+    width = 2 * LABELERS + FEATURES + len(KINDS)
 
     def features(kind: int, v: tuple, f: tuple) -> list[float]:
         return [float(x > 0) for x in v] + [float(x < 0) for x in v] + [float(x) for x in f] + [float(kind == k) for k in range(len(KINDS))]
@@ -204,7 +214,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ac
         z = z + F.when(v > 0, w[j]).when(v < 0, w[LABELERS + j]).otherwise(0.0)
     for j, f in enumerate(_feature_columns()):
         z = z + f * w[2 * LABELERS + j]
-    z = z + _by_kind([F.lit(w[2 * LABELERS + 2 + k]) for k in range(len(KINDS))])
+    z = z + _by_kind([F.lit(w[2 * LABELERS + FEATURES + k]) for k in range(len(KINDS))])
     likely = 1 / (1 + F.exp(-z))
     run = Window.partitionBy("rid", "kind", "tier").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     length = F.char_length("m")
@@ -216,7 +226,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ac
     onward = by_start.rangeBetween(0, Window.unboundedFollowing)
     spans = spans.withColumn("_reach", F.max(F.when(base, F.col("end"))).over(upto)).withColumn("_next", F.min(F.when(base, F.col("start"))).over(onward))
     free = F.coalesce(F.col("_reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("_next") >= F.col("end"), F.lit(True))
-    spans = spans.withColumn("base", F.coalesce(base, F.lit(False))).withColumn("added", F.coalesce(F.col("ok") & (F.col("tier") == 1) & free, F.lit(False)))
+    spans = spans.withColumn("base", F.coalesce(base, F.lit(False))).withColumn("_taken", F.coalesce(F.col("ok") & (F.col("tier") == 1) & free, F.lit(False)))
+    before = F.max(F.when(F.col("_taken"), F.col("end"))).over(Window.partitionBy("rid").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("added", F.col("_taken") & F.coalesce(before <= F.col("start"), F.lit(True)))
     span = F.struct("start", "kind", "end")
     out = spans.groupBy("rid", "doc_id").agg(
         *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{name}") for k, name in enumerate(KINDS)],

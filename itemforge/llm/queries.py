@@ -135,4 +135,16 @@ r AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r
 SELECT x.vec_id, coalesce(n.n, 0) AS n_links, least(x.vec_id, coalesce(r.least, x.vec_id)) AS component_id, x.vec_id = least(x.vec_id, coalesce(r.least, x.vec_id)) AS kept
 FROM embeddings x LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) n ON n.a = x.vec_id LEFT JOIN r ON r.a = x.vec_id"""
 
-ORACLE_SQL: dict[str, str] = {"op7_embedding_neardup": _OP7_SQL, "op1_decontamination": _op1_sql(), "op9_line_dedup": _OP9_SQL}
+#: Words are runs of letters, digits and underscores; links come from the shingles that two different sets share.
+_OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+n AS (SELECT md5(array_to_string(s, '|')) AS node, any_value(s) AS s, count(*) AS copies, min(doc_id) AS least FROM g WHERE len(s) > 0 GROUP BY 1),
+t AS (SELECT node, len(s) AS n, unnest(s) AS x FROM n),
+e AS (SELECT a.node AS a, b.node AS b FROM t a JOIN t b ON a.x = b.x AND a.node <> b.node AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT n.node, n.copies, least(n.least, coalesce((SELECT min(m.least) FROM r JOIN n m ON m.node = r.b WHERE r.a = n.node), n.least)) AS class_id, coalesce((SELECT sum(m.copies) FROM e JOIN n m ON m.node = e.b WHERE e.a = n.node), 0) AS links FROM n)
+SELECT g.doc_id, coalesce(c.class_id, g.doc_id) AS class_id, CAST(coalesce(c.links + c.copies - 1, 0) AS BIGINT) AS n_links, coalesce(c.copies - 1, 0) AS n_copies, g.doc_id = coalesce(c.class_id, g.doc_id) AS kept
+FROM g LEFT JOIN c ON len(g.s) > 0 AND c.node = md5(array_to_string(g.s, '|'))"""
+
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6_SQL, "op7_embedding_neardup": _OP7_SQL, "op1_decontamination": _op1_sql(), "op9_line_dedup": _OP9_SQL}

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pyarrow as pa
 import pytest
 from itemforge.llm.langid import codewords, identify_languages, keep_known_languages
 from itemforge.llm.shard import shard_stratified
-from itemforge.llm import toxicity
+from itemforge.llm import langid, toxicity
 from itemforge.llm.toxicity import ToxicModel, detect_toxicity, fit_toxicity, marginals, score_toxicity
 from pyspark.sql import functions as F
 
@@ -28,6 +29,28 @@ def test_languages_of_held_out_rows(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_decoding_equals_plain_loops(spark):
+    """Every prediction from the model's weights by loops over bits and languages."""
+    words = {"en": "the cat and the dog", "fr": "le chat et le chien", "de": "die katze und der hund"}
+    docs = [(i, f"{t} {i}", lang, "s", "x") for i, (lang, t) in enumerate(list(words.items()) * 15)]
+    df = spark.createDataFrame(docs, DOCS)
+    model = langid.fit_languages(df)
+    got = {r.doc_id: r for r in langid.predict_languages(df, model).collect()}
+    for i, t, *_ in docs:
+        x = langid.features(t)
+        loss = []
+        for k in range(len(model.languages)):
+            total = 0.0
+            for b in range(model.code.shape[1]):
+                margin = sum(float(v) * float(model.weights[j, b]) for j, v in enumerate(x) if v) + float(model.bias[b])
+                total += np.log1p(np.exp(-model.code[k, b] * margin))
+            loss.append(total)
+        order = np.argsort(loss)
+        p = np.exp(-model.scale * (np.array(loss) - min(loss)))
+        assert (got[i].lang_pred, got[i].lang_second) == tuple(model.languages[k] for k in order[:2])
+        assert abs(got[i].score - p[order[0]] / p.sum()) < 1e-3
+
+
 def test_languages_edge_cases(spark):
     rows = [(i, t, lang, "s", "x") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 20)]
     odd = [(100, None, "en", "s", "x"), (101, "", "en", "s", "x"), (102, "123 !!", "fr", "s", "x"), (None, "the dog", None, "s", "x"), (5, "the dog and the cat", "en", "s", "x"), (103, "the " * 400000, None, "s", "x")]
@@ -163,6 +186,24 @@ def test_toxicity_is_learned_from_long_lines(spark):
     assert score_toxicity(docs, None).where("score <> 0").count() == 0
 
 
+def test_shards_equal_a_plain_loop(spark):
+    docs = [(i, "t" * (i % 13), "en", None if i % 11 == 0 else f"s{i % 3 if i % 2 else 0}", "x") for i in range(777)]
+    of = {}
+    for i, _, _, source, _ in docs:
+        of.setdefault(source, []).append((hashlib.md5(f"0:{i}".encode()).hexdigest(), i))
+    line = []
+    for source, own in of.items():
+        for rank, (h, i) in enumerate(sorted(own)):
+            line.append(((rank + 0.5) / len(own), source is not None, source or "", h, i))
+    line.sort()
+    want = {}
+    for place, (*_, i) in enumerate(line):
+        shard = place * 24 // len(docs)
+        want[i] = (shard, place - next(p for p in range(len(docs)) if p * 24 // len(docs) == shard))
+    got = shard_stratified(spark.createDataFrame(docs, DOCS), 24).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+
+
 @pytest.mark.parametrize("rows", [0, 1, 23, 24, 500])
 def test_shards(spark, rows):
     docs = [(i, f"t{i}" if i % 7 else None, "en", None if i % 11 == 0 else f"s{i % 3 if i % 2 else 0}", "x") for i in range(rows)]

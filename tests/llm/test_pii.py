@@ -59,3 +59,19 @@ def test_reliability_follows_agreement():
     counts = [(0, (1, 1, 1, 1), 50), (0, (-1, -1, -1, -1), 50), (0, (1, 1, 0, 1), 10)]
     p = estimate_reliability(counts)
     assert p[0, (1, 1, 1, 1)] > 0.9 > 0.1 > p[0, (-1, -1, -1, -1)] and p[0, (1, 1, 0, 1)] > 0.8
+
+
+def test_added_spans_dont_overlap(spark):
+    texts = ["my card: 4111 1111 1111 1111, thanks", "call my phone 0049 4111 1111 1111 or 1111 2222 3333 4444", "write jane (at) mail (dot) com or (523) 555-1055-1234"] * 20
+    for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        spans = sorted(tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) or r.n_added == 0
+
+
+def test_disguised_data_is_found(spark):
+    """Of planted spans in forms that the base patterns miss, most are added; of look-alikes few."""
+    planted = [f"You can contact me: anna{i} (at) mail{i} (dot) org any time" for i in range(40)] + [f"my phone is ({200 + i}) 555-{1000 + 7 * i} at home" for i in range(40)]
+    clean = [f"see page {i} of release {i}.2 in chapter {i + 3}" for i in range(40)] + [f"order no. {1000 + i}/{2000 + i}" for i in range(40)]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(list(enumerate(planted + clean)), "doc_id long, text string")).collect()}
+    assert sum(got[i].n_added > 0 for i in range(80)) >= 72
+    assert sum(got[i].n_added > 0 for i in range(80, 160)) <= 8
