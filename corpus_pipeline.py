@@ -1,7 +1,9 @@
 """A corpus pipeline of the training-data operators.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
-returns a DataFrame; all but the last return the columns of docs.
+returns a DataFrame; all but the last return the columns of docs, whatever others there
+are. Rows that share an id, or have none, are rows of their own, but that decontamination
+drops all rows of an id it finds. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,22 +24,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand earlier go, and documents of which nothing is left."""
+    """Lines that stand earlier go, and documents of which nothing is left. Of equal lines
+    the one with the least id stays, a null id before all, then the first in its text."""
     return drop_repeated_lines(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays, the first."""
+    """One document of each group of similar ones stays, the one with the least id (null only
+    where there is no other, and the first row among equal ids). Texts without words stay."""
     return drop_similar(docs, n=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go. Texts without words overlap nothing."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with the digests of the round trip."""
+    """The token ids of each document, with the digests of the round trip; null texts are empty."""
     return bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True).drop("decoded")
 
 
