@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -17,7 +17,9 @@ from ..functions import text as t
 from ..operators import assemble, bank, export, ordered, segment, spatial, validate, views
 from .queries import _N, numbered_lines, query, table
 
-N = F.col("number")
+
+def _n() -> Column:
+    return F.col("number")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_N} SELECT l_orderkey AS doc, CAST(number % 2 AS INTEGER) AS page, CAST(number // 3 AS INTEGER) AS line, string_agg(l_suppkey::VARCHAR, '' ORDER BY number) AS text,
   min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice + 1) AS y1 FROM n GROUP BY ALL""")
 def page_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _lines(spark, sf_dir).select("doc", (N % 2).alias("page"), F.lit(0).alias("block"), F.floor(N / 3).cast("int").alias("line"), N.alias("ord"), F.col("l_suppkey").cast("string").alias("text"), F.col("l_quantity").alias("x0"), F.col("l_quantity").alias("x1"), F.col("l_extendedprice").alias("y0"), (F.col("l_extendedprice") + 1).alias("y1"))
+    spans = _lines(spark, sf_dir).select("doc", (_n() % 2).alias("page"), F.lit(0).alias("block"), F.floor(_n() / 3).cast("int").alias("line"), _n().alias("ord"), F.col("l_suppkey").cast("string").alias("text"), F.col("l_quantity").alias("x0"), F.col("l_quantity").alias("x1"), F.col("l_extendedprice").alias("y0"), (F.col("l_extendedprice") + 1).alias("y1"))
     return segment.text_lines(spans).drop("block")
 
 
@@ -110,7 +112,7 @@ def question_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     the question that each belongs to."""
     n = numbered_lines(spark, sf_dir).withColumn("page", F.col("l_orderkey")).join(_orders(spark, sf_dir), "page")
     pages = n.where("number = 1").select("doc", "page", "width", "height")
-    bars = n.select("doc", "page", "number", F.lit(20.0).alias("x0"), (N * 100.0).alias("y0"), F.lit(80.0).alias("x1"), (N * 100.0 + 10).alias("y1"), F.lit("Questão").alias("text"))
+    bars = n.select("doc", "page", "number", F.lit(20.0).alias("x0"), (_n() * 100.0).alias("y0"), F.lit(80.0).alias("x1"), (_n() * 100.0 + 10).alias("y1"), F.lit("Questão").alias("text"))
     lines = pages.where("page % 2 = 0").select("doc", "page", F.lit("goes on here").alias("text"), F.lit(20.0).alias("x0"), F.lit(50.0).alias("y0"), F.lit(90.0).alias("x1"), F.lit(60.0).alias("y1"))
     images = spark.createDataFrame([], "doc long, page long, ord int, x0 double, y0 double, x1 double, y1 double")
     model = pages.select("doc", "page", F.lit(True).alias("one_column"))
@@ -123,7 +125,7 @@ WITH {_N}, p AS (SELECT l_orderkey, number, CAST(l_quantity AS DOUBLE) AS y FROM
 SELECT s.l_orderkey AS doc, s.number, coalesce((SELECT arg_max(p.number, struct_pack(y := p.y, n := -p.number)) FROM p WHERE p.l_orderkey = s.l_orderkey AND s.l_quantity + 5 >= p.y - 2), 1) AS part FROM n s WHERE number % 2 = 0""")
 def stray_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _lines(spark, sf_dir).select("doc", "number", F.col("l_quantity").cast("double").alias("y0"), (F.col("l_quantity") + 10).cast("double").alias("y1"))
-    parts = n.where("number % 2 = 1").select("doc", N.alias("part"), "y0", N.alias("ord"))
+    parts = n.where("number % 2 = 1").select("doc", _n().alias("part"), "y0", _n().alias("ord"))
     return spatial.owner(n.where("number % 2 = 0"), parts, ["doc"], ["doc", "number"])
 
 
@@ -150,7 +152,7 @@ WITH {_N} SELECT l_orderkey AS doc, number, 'Q' || printf('%02d', number % 3) ||
   coalesce(sum(l_quantity + 6) OVER (PARTITION BY l_orderkey, number % 3 ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS "offset" FROM n""")
 def figure_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a question's figures, and where its parts begin when they are stacked."""
-    f = _lines(spark, sf_dir).select("doc", "number", (N % 3).alias("question"), F.col("l_quantity").cast("double").alias("part"), N.alias("band"), F.lit(0).alias("x0"), F.col("l_quantity").cast("double").alias("height"))
+    f = _lines(spark, sf_dir).select("doc", "number", (_n() % 3).alias("question"), F.col("l_quantity").cast("double").alias("part"), _n().alias("band"), F.lit(0).alias("x0"), F.col("l_quantity").cast("double").alias("height"))
     return segment.stacked_offsets(segment.number_figures(f), ["doc", "question"], ["number"]).select("doc", "number", "name", "offset")
 
 
@@ -212,7 +214,7 @@ def rich_text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_N} SELECT l_orderkey, string_agg(printf('%02d', number) || '=' || chr((65 + l_partkey % 5)::INT), ' ' ORDER BY printf('%02d', number)) AS answers FROM n GROUP BY l_orderkey""")
 def answers_in_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = numbered_lines(spark, sf_dir)
-    row = F.concat(N.cast("string"), F.lit("  "), F.chr(65 + F.col("l_partkey") % 5), F.when(N % 3 == 0, "\nno 4 E here\n").otherwise("  "))
+    row = F.concat(_n().cast("string"), F.lit("  "), F.chr(65 + F.col("l_partkey") % 5), F.when(_n() % 3 == 0, "\nno 4 E here\n").otherwise("  "))
     pages = n.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", row.alias("r")))), lambda x: x["r"]), "").alias("page"))
     pairs = F.array_sort(F.map_entries(t.inline_answers(F.col("page"))))
     return pages.select("l_orderkey", F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])), " ").alias("answers"))
@@ -340,12 +342,12 @@ def bank_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = bank.BankStore(spark, f"{shared.rstrip('/')}/bank-{spark.range(1).select(F.uuid()).first()[0]}")
     n = numbered_lines(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
     kinds = {f.split()[0]: f.split(" ", 1)[1] for f in _fields(schema.QUESTION)}
-    have = {"hash": F.col("l_orderkey").cast("string"), "number": N, "statement": F.col("p_type"), "year": F.year("l_shipdate"), "subjects": F.array("p_type")}
+    have = {"hash": F.col("l_orderkey").cast("string"), "number": _n(), "statement": F.col("p_type"), "year": F.year("l_shipdate"), "subjects": F.array("p_type")}
     payload = n.select(*[have.get(c, F.lit(None).cast(k)).alias(c) for c, k in kinds.items() if c != "published"])
     documents = payload.select("hash").distinct().select("hash", F.lit("f.pdf").alias("file"), F.lit(None).cast("string").alias("kind"), F.concat(F.lit("T"), "hash").alias("title"), F.lit("d").alias("discipline"), F.lit("t").alias("topic"))
     first = bank.import_documents(store, documents, payload.withColumn("year", F.lit(1)))
     stored = store.read("questions", schema.QUESTION)
-    store.commit({"questions": stored.withColumn("published", (N % 2 == 0) & (F.col("hash").cast("long") % 3 == 0))}, first)
+    store.commit({"questions": stored.withColumn("published", (_n() % 2 == 0) & (F.col("hash").cast("long") % 3 == 0))}, first)
     bank.import_documents(store, documents, payload)
     questions, lists, members, imports = [store.read(k, s) for k, s in (("questions", schema.QUESTION), ("lists", schema.LIST), ("members", schema.MEMBER), ("imports", schema.IMPORT))]
     return questions.join(members, ["hash", "number"]).join(lists.select("list_id", F.col("description")), "list_id").join(imports.select("hash", "total"), "hash").select("hash", "number", "statement", "year", "published", "description", "position", "total")
@@ -375,7 +377,7 @@ WITH {_N} SELECT CAST(l_orderkey AS VARCHAR) AS doc, 'Lista de T' || l_orderkey
 def import_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested documents with uploaded figures, as an import takes them."""
     n = numbered_lines(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
-    figure = F.struct(F.concat(F.lit("Q"), N.cast("string")).alias("name"), F.lit("f").alias("file"), F.lit(False).alias("centred"), F.lit(False).alias("table"))
+    figure = F.struct(F.concat(F.lit("Q"), _n().cast("string")).alias("name"), F.lit("f").alias("file"), F.lit(False).alias("centred"), F.lit(False).alias("table"))
     q = n.select(F.col("l_orderkey").cast("string").alias("doc"), "number", F.col("p_type").alias("statement"), F.array("p_type").alias("subjects"), F.array(figure).alias("figures"), F.lit("i").alias("image"), F.lit("s").alias("source_text"), F.array(F.lit("o")).alias("outside"))
     file = F.when(F.col("doc").cast("long") % 2 == 0, "1º Simulado.pdf").otherwise("x.pdf")
     documents = q.select("doc").distinct().select("doc", F.concat(F.lit("h"), "doc").alias("hash"), F.concat(F.lit("T"), "doc").alias("title"), assemble.document_kind(file, F.lit("")).alias("kind"), F.lit(None).cast("string").alias("answers"))
