@@ -17,10 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_store
+from .common import ENTRY_BYTES, MEMO_BYTES, worker_store
 
-#: Entries after which a worker's memo is emptied.
-MEMO_MAX = 600_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -151,6 +149,7 @@ class Codec:
         self.split = regex.compile(spaced).findall
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn_words(self, words: list[str]) -> None:
         keys = [w.encode() for w in words]
@@ -159,6 +158,7 @@ class Codec:
             i = self.table_ids[f]
             ids = [i] if self.tokens[i] == key else merge_bytes(key, self.ranks)
             self.words[w] = np.array(ids, "<u4").tobytes()
+            self.held += ENTRY_BYTES + len(w) + 4 * len(ids)
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         split = [self.split(p) for p in pieces]
@@ -167,14 +167,16 @@ class Codec:
             self._learn_words(new)
         for p, s in zip(pieces, split):
             self.pieces[p] = b"".join([self.words[w] for w in s])
+            self.held += ENTRY_BYTES + len(p) + len(self.pieces[p])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A text in which white space is single spaces and line ends, no line end
         before a space, splits at its spaces: no pre-token reaches across one, and
         a space belongs to what follows it. Other texts are one piece."""
-        if len(self.pieces) + len(self.words) > MEMO_MAX:
+        if self.held > MEMO_BYTES:
             self.pieces.clear()
             self.words.clear()
+            self.held = 0
         split, whole = [], set()
         for t in texts:
             if "  " in t or "\n " in t or any(c in t for c in (_ASCII_SPACES if t.isascii() else _ODD_SPACES)):
@@ -189,7 +191,7 @@ class Codec:
         self.pieces[""] = b""
         out = [b"".join([self.pieces[p] for p in s]) for s in split]
         for t in whole:  # texts are not worth keeping
-            self.pieces.pop(t, None)
+            self.held -= ENTRY_BYTES + len(t) + len(self.pieces.pop(t, b""))
         return out
 
     def decode(self, ids: bytes) -> bytes:

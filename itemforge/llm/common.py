@@ -53,11 +53,22 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def worker_store(name: str) -> dict:
-    """A dict that lives as long as the Python worker process, for tables which
+    """A dict that outlives the task in its Python worker process, for tables which
     are costly to build and memos which later tasks can use again. Shipped
-    functions have fresh globals in each task, so it hangs on sys.modules."""
+    functions have fresh globals in each task, so it hangs on sys.modules. A worker
+    holds one store: a task that asks for another, or for none (""), frees what
+    earlier operators left."""
     home = sys.modules.setdefault("_itemforge_worker", types.ModuleType("_itemforge_worker"))
-    return home.__dict__.setdefault(name, {})
+    stores = home.__dict__.setdefault("stores", {})
+    for other in [k for k in stores if k != name]:
+        del stores[other]
+    return stores.setdefault(name, {})
+
+
+#: Bytes that a worker's memo may hold, about.
+MEMO_BYTES = 64 << 20
+#: What an entry of a memo takes besides its letters and ids, about.
+ENTRY_BYTES = 200
 
 
 def text_crc32(col):

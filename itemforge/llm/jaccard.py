@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, filter_size, free_name, hash_filter, materialize
+from .common import connected_components, filter_size, free_name, hash_filter, materialize, worker_store
 
 #: Tokens that a run chooses from a set, on average, at each level of a path.
 CHOSEN = 3
@@ -123,6 +123,7 @@ def sketch_partition(n: int, runs: int) -> Callable[[Iterator[pa.RecordBatch]],
     lists = runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("")  # a worker that encoded tokens before needs its memos no more
         for batch in batches:
             for part in _pieces(batch, 1):
                 sets, offsets = shingle_sets(part.column(1).to_pylist(), n)

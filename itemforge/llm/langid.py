@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import worker_store
+
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 #: Bytes of a text that are hashed at a time.
@@ -148,6 +150,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x bits floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("")  # a worker that encoded tokens before needs its memos no more
         m = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -25,11 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, worker_store
+from .common import ENTRY_BYTES, MEMO_BYTES, new_path, worker_store
 
 BLOCK = 1 << 18
-#: Entries after which a worker's memo is emptied.
-MEMO_MAX = 1_000_000
 
 
 def bits_for(vocab: int) -> int:
@@ -76,7 +74,7 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
 
     store = worker_store("chunks:" + tokenizer_json[:64] + str(len(tokenizer_json)))
     if "tok" not in store:
-        store["tok"], store["memo"] = Tokenizer.from_str(tokenizer_json), {}
+        store["tok"], store["memo"], store["held"] = Tokenizer.from_str(tokenizer_json), {}, 0
     tok, memo = store["tok"], store["memo"]
 
     def as_bytes(ids) -> bytes:
@@ -94,11 +92,16 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
             cut = np.searchsorted(first, starts)
             cut = [*cut.tolist(), len(ids)]
             for k, c in enumerate(part):
-                memo[c] = ids[cut[k] : cut[k + 1]].tobytes()
+                keep(c, ids[cut[k] : cut[k + 1]].tobytes())
+
+    def keep(chunk: str, ids: bytes) -> None:
+        memo[chunk] = ids
+        store["held"] += ENTRY_BYTES + len(chunk) + len(ids)
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(memo) > MEMO_MAX:
+        if store["held"] > MEMO_BYTES:
             memo.clear()
+            store["held"] = 0
         split: list[list[str] | None] = []
         fresh: set[str] = set()
         for t in texts:
@@ -123,7 +126,7 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
             base.update(".,")
             learn([c for c in base if c not in memo])
             for c in ends:  # a letter run and the mark behind it are two pre-tokens
-                memo[c] = memo[c[:-1]] + memo[c[-1]]
+                keep(c, memo[c[:-1]] + memo[c[-1]])
         return [as_bytes(tok.encode(t, add_special_tokens=False).ids) if w is None else b"".join([memo[c] for c in w]) for t, w in zip(texts, split)]
 
     return encode
@@ -140,17 +143,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     Rows with the same id follow each other, ordered by their text. An empty table
     writes a file without blocks. Other columns are ignored.
     """
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a vocabulary, of fixed size
+    bits = bits_for(max(Tokenizer.from_str(shared.value).get_vocab_size(), end_id + 1))
 
     def encode_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer  # noqa: F401
 
         encode = chunk_encoder(shared.value)
-        store = worker_store("vocab")
-        bits = bits_for(max(store.setdefault(len(shared.value), Tokenizer.from_str(shared.value).get_vocab_size()), end_id + 1))
         shard, block = TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.uint32).tobytes()
         ids_in: list = []
