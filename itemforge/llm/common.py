@@ -75,27 +75,28 @@ def text_crc32(col):
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
 
 
-def _filter_bits(h: Column, bits: int) -> list[Column]:
-    """The two bits of a filter that stand for a 64-bit hash."""
-    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 31), F.lit(bits))]
+def _mark(h: Column) -> Column:
+    """Three bits of 64 (fewer where they meet) that stand for a hash in its word of a
+    filter; they come from other bits of the hash than the word does."""
+    one = F.lit(1).cast("long")
+    bits = [F.call_function("shiftleft", one, F.shiftright(h, k).bitwiseAND(F.lit(63)).cast("int")) for k in (40, 46, 52)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
 def hash_filter(hashes: DataFrame, bits: int) -> Callable[[Column], Column]:
     """A test whether a 64-bit hash may be among hashes (one long column): never wrong
     about those that are, and rarely about others. bits, a power of two, is its size,
-    which doesn't grow with the data; what passes still goes through an exact join."""
-    name = hashes.columns[0]
-    marks = hashes.select(F.explode(F.array(*_filter_bits(F.col(name), bits))).alias("b")).distinct()
-    words = marks.groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-    every = hashes.sparkSession.range(bits // 64).select(F.col("id").alias("w"))
-    every = every.join(words, "w", "left").select(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")).alias("x"))
-    dense = every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("words")).scalar()
-
-    def maybe(h: Column) -> Column:
-        a, b = [F.getbit(F.get(dense, (i / 64).cast("int")), (i % 64).cast("int")) == 1 for i in _filter_bits(h, bits)]
-        return a & b
-
-    return maybe
+    which doesn't grow with the data; what passes still goes through an exact join.
+    A hash has all its bits in one word, so words are sums that combine before the
+    shuffle, and a test names the array of words, which each task gets, once."""
+    words = bits // 64
+    h = F.col(hashes.columns[0])
+    word = lambda h: h.bitwiseAND(F.lit(words - 1).cast("long"))
+    marks = hashes.where(h.isNotNull()).select(word(h).alias("w"), _mark(h).alias("v"))
+    every = hashes.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
+    summed = marks.unionByName(every).groupBy("w").agg(F.bit_or("v").alias("v"))
+    dense = summed.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words")).scalar()
+    return lambda h: F.get(dense, word(h).cast("int")).bitwiseAND(_mark(h)) == _mark(h)
 
 
 def filter_size(n: int, least: int = 1 << 16, most: int = 1 << 25) -> int:
