@@ -77,6 +77,24 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_stratified(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixtrie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import rate_quality
+
+    return rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_file": op2_token_file,
@@ -88,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_embedding_neardup": op7_embedding_neardup,
     "op8_sharding": op8_sharding,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_quality": op12_quality,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 def _op1_sql() -> str:
@@ -147,4 +168,20 @@ c AS (SELECT n.node, n.copies, least(n.least, coalesce((SELECT min(m.least) FROM
 SELECT g.doc_id, coalesce(c.class_id, g.doc_id) AS class_id, CAST(coalesce(c.links + c.copies - 1, 0) AS BIGINT) AS n_links, coalesce(c.copies - 1, 0) AS n_copies, g.doc_id = coalesce(c.class_id, g.doc_id) AS kept
 FROM g LEFT JOIN c ON len(g.s) > 0 AND c.node = md5(array_to_string(g.s, '|'))"""
 
-ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6_SQL, "op7_embedding_neardup": _OP7_SQL, "op1_decontamination": _op1_sql(), "op9_line_dedup": _OP9_SQL}
+#: A CRC-32 goes through the bytes of the decimal id and eight steps after each.
+_OP11_SQL = r"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT) % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT conv_id, p, role, text FROM o JOIN c USING (conv_id) WHERE p >= h UNION ALL SELECT c.conv_id, p, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 WHERE p < h),
+s AS (SELECT c.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY p) FILTER (WHERE p IS NOT NULL), []) AS s FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, s, unnest(range(len(s) + 1)) AS depth FROM s),
+n AS (SELECT s[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE len(s) = depth), '') AS ends FROM m GROUP BY 1, 2),
+k AS (SELECT k[1:depth - 1] AS k, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(k.n, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.k[depth].text, '[^\x20\x09-\x0D]+')) END AS saved FROM n LEFT JOIN k ON n.k = k.k),
+u AS (SELECT k[1:d] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM w) GROUP BY 1)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves, u.saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN u ON u.k = w.k LEFT JOIN n p ON w.depth > 0 AND p.k = w.k[1:w.depth - 1]"""
+
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6_SQL, "op7_embedding_neardup": _OP7_SQL, "op1_decontamination": _op1_sql(), "op9_line_dedup": _OP9_SQL, "op11_conversation_trie": _OP11_SQL}
