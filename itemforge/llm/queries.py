@@ -184,4 +184,15 @@ u AS (SELECT k[1:d] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CA
 SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves, u.saved_tokens, sha256(w.ends) AS ends_sha256
 FROM w JOIN u ON u.k = w.k LEFT JOIN n p ON w.depth > 0 AND p.k = w.k[1:w.depth - 1]"""
 
-ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6_SQL, "op7_embedding_neardup": _OP7_SQL, "op1_decontamination": _op1_sql(), "op9_line_dedup": _OP9_SQL, "op11_conversation_trie": _OP11_SQL}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d),
+p AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+x AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6_SQL, "op7_embedding_neardup": _OP7_SQL, "op1_decontamination": _op1_sql(), "op9_line_dedup": _OP9_SQL, "op11_conversation_trie": _OP11_SQL, "op13_lexical_search": _OP13_SQL}
