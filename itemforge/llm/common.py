@@ -96,7 +96,7 @@ def hash_filter(hashes: DataFrame, bits: int) -> Callable[[Column], Column]:
     every = hashes.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
     summed = marks.unionByName(every).groupBy("w").agg(F.bit_or("v").alias("v"))
     dense = summed.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words")).scalar()
-    return lambda h: F.get(dense, word(h).cast("int")).bitwiseAND(_mark(h)) == _mark(h)
+    return lambda h: F.bitwise_not(F.get(dense, word(h).cast("int"))).bitwiseAND(_mark(h)) == 0
 
 
 def filter_size(n: int, least: int = 1 << 16, most: int = 1 << 25) -> int:

@@ -22,8 +22,11 @@ MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 8), (0, 1, 2, 6, 8))
 SPAN = 1 + max(m[-1] for m in MASKS)
 #: Places shown before and after the start of a hit, so that every window around it fits.
 BEFORE, AFTER = WINDOW - 6, WINDOW
-#: Shorter items are no evidence and are never looked for.
-MIN_ITEM = SPAN
+#: Shorter items are found as a whole only, each length by a mask of its own.
+SHORT_ITEM = SPAN
+#: Items from SHORT_ITEM to less than WINDOW tokens may differ in two: of three parts of so many
+#: tokens one is whole then.
+PART = SHORT_ITEM // 3
 #: Bits of the seed filter: a fixed size, whatever the benchmark.
 FILTER_BITS = 1 << 22
 
@@ -38,9 +41,18 @@ def _at(k: int) -> Column:
     return F.get("t", F.col("i") + k)
 
 
-def _seeds() -> list[Column]:
-    """One per mask; null where the mask leaves the tokens."""
-    return [F.when(F.col("i") + m[-1] < F.col("n"), F.xxhash64(F.lit(j), *[_at(k) for k in m])) for j, m in enumerate(MASKS)]
+def _seed(name: int, mask: tuple[int, ...]) -> Column:
+    """Null where the mask leaves the tokens."""
+    return F.when(F.col("i") + mask[-1] < F.col("n"), F.xxhash64(F.lit(name), *[_at(k) for k in mask]))
+
+
+def _masks(lengths: list[int]) -> list[tuple[int, tuple[int, ...], Column]]:
+    """(name, mask, items that need it), for items of these lengths."""
+    n = F.col("n")
+    out = [(j, m, n >= SHORT_ITEM) for j, m in enumerate(MASKS)] if any(k >= SHORT_ITEM for k in lengths) else []
+    if any(SHORT_ITEM <= k < WINDOW for k in lengths):
+        out.append((len(MASKS), tuple(range(PART)), (n >= SHORT_ITEM) & (n < WINDOW)))
+    return out + [(100 + k, tuple(range(k)), (n == k) & (F.col("i") == 0)) for k in lengths if 0 < k < SHORT_ITEM]
 
 
 def _around() -> Column:
@@ -48,10 +60,10 @@ def _around() -> Column:
     return F.array(*[F.when(_at(k).isNotNull(), F.hash(_at(k))) for k in range(-BEFORE, AFTER)])
 
 
-def _places(df: DataFrame) -> DataFrame:
-    """A row for each place of t at which a mask can start."""
-    df = df.withColumn("n", F.size("t")).where(F.col("n") >= MIN_ITEM)
-    return df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - min(m[-1] + 1 for m in MASKS))))
+def _places(df: DataFrame, span: int) -> DataFrame:
+    """A row for each place of t at which a mask of this span can start."""
+    df = df.withColumn("n", F.size("t")).where(F.col("n") >= span)
+    return df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - span)))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
@@ -59,11 +71,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     document and benchmark item that overlap, with the best aligned window.
 
     A window holds `window` tokens, or the whole item if it has fewer, and at most
-    `substitutions` of them differ (for shorter items in proportion). n_match of
-    window_tokens places agree; doc_token and item_token are where the seed stands.
+    `substitutions` of them differ (for shorter items in proportion, and none for items of
+    fewer than SHORT_ITEM tokens). n_match of window_tokens places agree; doc_token and
+    item_token are where the seed stands. Masks for short items are only looked up
+    where there are such items.
 
-    Null texts have no tokens and items of fewer than MIN_ITEM tokens are never
-    reported. Rows that share an id count as one document or item; a null id is an
+    Null texts have no tokens; an item without tokens overlaps nothing. A text of any length
+    is read whole. Rows that share an id count as one document or item; a null id is an
     id like any other. Ties between windows go to the earliest place. Empty tables
     give no rows. Other columns are ignored.
 
@@ -73,19 +87,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     if window > WINDOW or substitutions > SUBSTITUTIONS:
         raise ValueError(f"the masks hold for windows of {WINDOW} and {SUBSTITUTIONS} substitutions at most")
     items = benchmark.select(F.col(item_id_col).alias("item_id"), tokens(F.col(item_text_col)).alias("t"))
-    items = _places(items).withColumn("seed", F.explode(F.array(*_seeds()))).where("seed is not null")
+    # Lengths that ask for other masks: at most one more than WINDOW.
+    lengths = [r["k"] for r in items.select(F.least(F.size("t"), F.lit(WINDOW)).alias("k")).distinct().collect() if r["k"]]
+    masks = _masks(lengths or [WINDOW])
+    span = min(m[-1] + 1 for _, m, _ in masks)
+    seeds = lambda ours: F.explode(F.array(*[F.when(need, _seed(j, m)) if ours else _seed(j, m) for j, m, need in masks]))
+    items = _places(items, span).withColumn("seed", seeds(True)).where("seed is not null")
     items = items.select("seed", "item_id", F.col("i").alias("item_token"), F.least("n", F.lit(window)).alias("window_tokens"), _around().alias("theirs"))
     maybe = hash_filter(items.select("seed"), FILTER_BITS)
-    found = _places(docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("t")))
+    found = _places(docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("t")), span)
     # explode() evaluates each seed once; what stands behind the filter runs for hits only.
-    found = found.withColumn("seed", F.explode(F.array(*_seeds()))).where(maybe(F.col("seed")))
+    found = found.withColumn("seed", seeds(False)).where(maybe(F.col("seed")))
     found = found.select("doc_id", F.col("i").alias("doc_token"), _around().alias("ours"), "seed")
     pairs = found.join(items, "seed")
     same = F.zip_with("ours", "theirs", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     # All windows that hold the place of the hit and fit in what is shown.
     sums = F.transform(F.sequence(F.lit(1), F.lit(BEFORE + AFTER - window + 1)), lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda x, y: x + y))
     pairs = pairs.withColumn("same", same).withColumn("n_match", F.array_max(sums))
-    allowed = F.floor(F.lit(substitutions) * F.col("window_tokens") / window)
+    allowed = F.when(F.col("window_tokens") < SHORT_ITEM, 0).otherwise(F.floor(F.lit(substitutions) * F.col("window_tokens") / window))
     pairs = pairs.where(F.col("n_match") >= F.col("window_tokens") - allowed)
     best = F.min(F.struct((-F.col("n_match")).alias("m"), "doc_token", "item_token", "window_tokens")).alias("b")
     out = pairs.groupBy("doc_id", "item_id").agg(best)

@@ -33,9 +33,8 @@ BUCKET = 4096
 #: Sets and tokens of a block of the exact step, about: one task holds two blocks.
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 20
 SKETCH = 32
-#: Share of equal sketch places from which sets may be similar; for sets of similarity
-#: 0.8 a smaller share is five standard deviations away.
-SKETCH_CUT = 0.45
+#: What of the chance to miss a pair is left to sketches; the rest is for the runs.
+SKETCH_SHARE = 0.1
 _DEEPER = 0xA0761D6478BD642F
 _ODD = re.compile(r"(?:(?![\x00-\x7f])\W)+")
 _WORD_BYTE = np.zeros(256, bool)
@@ -52,6 +51,18 @@ def runs_for(recall: float, similarity: float, levels: int = LEVELS) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(missed)))
 
 
+def sketch_cut(recall: float, similarity: float) -> int:
+    """Equal places from which two sketches may be of sets so similar: the most that sets of this
+    similarity reach but for a chance of (1 - recall) * SKETCH_SHARE. All runs share the sketches."""
+    below, k = 0.0, 0
+    while k < SKETCH:
+        below += math.comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k)
+        if below > (1 - recall) * SKETCH_SHARE:
+            break
+        k += 1
+    return k
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -150,8 +161,8 @@ def sketch_partition(n: int, runs: int) -> Callable[[Iterator[pa.RecordBatch]],
                 node: list = [None] * part.num_rows
                 for i, x in zip(full.tolist(), name):
                     node[i] = x
-                columns = [part.column(0), pa.array(node, pa.binary()), pa.array(all_sizes), pa.array([x.tobytes() for x in sketch], pa.binary()), chosen, part.column(2)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "size", "sketch", "chosen", "row"])
+                columns = [part.column(0), pa.array(node, pa.binary()), pa.array(all_sizes), pa.array([x.tobytes() for x in sketch], pa.binary()), chosen, part.column(2), part.column(3)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "size", "sketch", "chosen", "row", "th"])
 
     return run
 
@@ -192,7 +203,7 @@ class _Union:
         return i != j
 
 
-def bucket_links(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def bucket_links(similarity: float, cut: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Brute force in each bucket (or two blocks of a large one) by sketches; yields
     the links of a spanning forest, fewer than the bucket has sets."""
 
@@ -207,7 +218,7 @@ def bucket_links(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iter
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(len(node), SKETCH)
             ties = _Union(len(node))
             for i in range(len(node) - 1):
-                alike = (sketch[i + 1 :] == sketch[i]).mean(1) >= SKETCH_CUT
+                alike = (sketch[i + 1 :] == sketch[i]).sum(1) >= cut
                 alike &= np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :]) - 1e-9
                 for j in (np.flatnonzero(alike) + i + 1).tolist():
                     if ties.tie(i, j):
@@ -347,11 +358,13 @@ def _set_partition(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame, n: int, more: str = "") -> DataFrame:
-    """(node, tokens and the columns more) of the nodes of wanted, from the texts of their
-    least documents. Texts of other sets stay where they are."""
+    """(node, tokens and the columns more) of the nodes of wanted (node, least, th, more), from the
+    texts with the id and hash of their least documents, so that rows which share an id, or
+    have none, meet their own sets only. Texts of other sets stay where they are."""
     kept = [c.split()[0] for c in more.split(",") if c]
-    ours = hash_filter(wanted.select(F.xxhash64("least").alias("h")), filter_size(wanted.count()))
-    texts = rows.where(ours(F.xxhash64("doc_id"))).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("least")))
+    ours = hash_filter(wanted.select(F.xxhash64("least", "th").alias("h")), filter_size(wanted.count()))
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("_th"))
+    texts = keyed.where(ours(F.xxhash64("doc_id", "_th"))).join(wanted.hint("merge"), (F.col("_th") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("least")))
     schema = "node binary, tokens binary" + (f", {more}" if more else "")
     return texts.select("node", "text", *kept).mapInArrow(_set_partition(n), schema).where("tokens is not null")
 
@@ -370,21 +383,22 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
     never a class_id unless its class has no other. Rows that repeat an id
     are documents of their own. An empty table gives no rows; other columns are ignored.
     """
-    # The keys are written with the sketches, once, and not computed again.
+    # The keys are written with the sketches, once, and not computed again: texts are found by id and hash.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     return _classes(rows, n, similarity, recall).drop("row")
 
 
 def _classes(rows: DataFrame, n: int, similarity: float, recall: float) -> DataFrame:
     """similar_documents() of rows (doc_id, text, row), with the row's key."""
-    runs = runs_for(recall, similarity)
-    sketched = rows.mapInArrow(sketch_partition(n, runs), "doc_id long, node binary, size long, sketch binary, chosen array<array<long>>, row long")
+    runs = runs_for(1 - (1 - recall) * (1 - SKETCH_SHARE), similarity)
+    hashed = rows.select("doc_id", "text", "row", F.xxhash64("text").alias("th"))
+    sketched = hashed.mapInArrow(sketch_partition(n, runs), "doc_id long, node binary, size long, sketch binary, chosen array<array<long>>, row long, th long")
     sketched = materialize(sketched, "sketches")
-    members = sketched.select("doc_id", "node", "row")
+    members = sketched.select("doc_id", "node", "row", "th")
     # The first row has the least id, null only if there is no other, and the least key.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row", "th")).alias("first")
     alone = members.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), first)
-    alone = alone.select("node", "copies", F.col("first.doc_id").alias("least"), "first")
+    alone = alone.select("node", "copies", F.col("first.doc_id").alias("least"), F.col("first.th").alias("th"), "first")
     alone = materialize(alone, "set-counts")
     # Equal sets have equal sketches and tokens, so one row of them stands for all. Only
     # what may have copies goes through the join that finds it.
@@ -393,11 +407,11 @@ def _classes(rows: DataFrame, n: int, similarity: float, recall: float) -> DataF
     known = sketched.where("node is not null")
     maybe = known.where(may_be_copied(F.xxhash64("node"))).join(alone.select(F.col("node").alias("_n"), F.col("first.row").alias("_row")).hint("merge"), F.col("node") == F.col("_n"))
     maybe = maybe.where("row = _row").drop("_n", "_row")
-    sets = known.where(~may_be_copied(F.xxhash64("node"))).unionByName(maybe).drop("doc_id", "row")
+    sets = known.where(~may_be_copied(F.xxhash64("node"))).unionByName(maybe).drop("doc_id", "row", "th")
     sets = materialize(sets, "sets")
-    dealt = _bucket_rows(sets, LEVELS, lambda nodes: _whole_sets(rows, nodes.join(alone, "node").select("node", "least"), n).dropDuplicates(["node"]))
+    dealt = _bucket_rows(sets, LEVELS, lambda nodes: _whole_sets(rows, nodes.join(alone, "node").select("node", "least", "th"), n).dropDuplicates(["node"]))
     dealt = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2", "node")
-    links = materialize(dealt.mapInArrow(bucket_links(similarity), "a binary, b binary").distinct(), "bucket-links")
+    links = materialize(dealt.mapInArrow(bucket_links(similarity, sketch_cut(recall, similarity)), "a binary, b binary").distinct(), "bucket-links")
     counted = _count_links(rows, links, alone, sets.select("node", "size"), n, similarity)
     forest = counted.where("b is not null").select("a", "b")
     groups = connected_components(forest)
@@ -422,7 +436,7 @@ def _count_links(rows: DataFrame, links: DataFrame, alone: DataFrame, sizes: Dat
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_TOKENS)).cast("int")
     per = materialize(comp.groupBy("comp").agg(blocks.alias("blocks")), "components")
     comp = comp.join(per, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    comp = materialize(comp.select("node", "comp", "least", "copies", "block", "blocks"), "candidate-blocks")
+    comp = materialize(comp.select("node", "comp", "least", "th", "copies", "block", "blocks"), "candidate-blocks")
     sets = _whole_sets(rows, comp, n, "comp binary, copies long, block int, blocks int")
     dealt = _in_blocks(sets, "comp", "block", "blocks").select("comp", "b1", "b2", "block", "node", "copies", "tokens")
     dealt = dealt.repartition("comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "node")

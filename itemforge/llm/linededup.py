@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import filter_size, free_name, hash_filter, materialize
 
-#: Shorter lines are never touched.
-MIN_WORDS = 3
+#: Shorter lines are never touched: blank ones.
+MIN_WORDS = 1
+#: Letters that are words of their own, as their scripts put no spaces: Thai, Lao, Burmese,
+#: Khmer, kana and Han.
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
 #: From so many words on a line has an edit bound of one word.
 FUZZY_WORDS = 8
 #: Variants that one task makes, about.
@@ -34,13 +37,21 @@ HOLE, WHOLE, SHORT = 0, 1, 2
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"(?U)\s+"), "")
+    """Runs without white space; each letter of an unspaced script by itself."""
+    apart = F.when(line.rlike(UNSPACED), F.regexp_replace(line, f"({UNSPACED})", " $1 ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(apart), r"(?U)\s+"), "")
 
 
-def _place(doc_id: Column, line_no: Column) -> Column:
-    """One number that orders lines: by document, then line; a null id comes first."""
+def _start(doc_id: Column, text: Column) -> Column:
+    """One number that orders documents, with room for their lines: by id, a null one first,
+    then by a hash of the text, which parts rows that share an id."""
     doc = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
-    return (doc * F.lit(10**10).cast("decimal(11,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
+    h = F.pmod(F.xxhash64(text), F.lit(10**8)).cast("decimal(8,0)") * F.lit(10**10).cast("decimal(11,0)")
+    return (doc * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") + h.cast("decimal(38,0)")
+
+
+def _place(start: Column, line_no: Column) -> Column:
+    return (start + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
 def _text_hash(text: Column) -> Column:
@@ -111,8 +122,8 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, fuzzy_words: int) -> DataF
     ours = materialize(ours, "lines-near")
     # The words of these lines are read from the documents again; the filter keeps other lines out of the join.
     is_ours = hash_filter(ours.select(F.xxhash64("place").alias("h")), filter_size(ours.count()))
-    lines = docs.select("_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("p", _place(F.col("_id"), F.col("line_no"))).where(is_ours(F.xxhash64("p")))
+    lines = docs.select("_start", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("p", _place(F.col("_start"), F.col("line_no"))).where(is_ours(F.xxhash64("p")))
     lines = lines.select("p", words_of(F.col("line")).alias("w")).select("p", F.xxhash64("w").alias("k"), F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
     lines = lines.join(ours, (F.col("p") == F.col("place")) & (F.col("k") == F.col("k1"))).select("place", "w", "k1").distinct()
     lines = materialize(lines.where(F.size("w") >= fuzzy_words), "lines-words")
@@ -148,15 +159,16 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     line one word apart. Lines of fewer than min_words words are never dropped, those
     of fewer than fuzzy_words only for equal ones. Case and white space don't count.
 
-    Null texts have no lines. A null id counts as the earliest. Lines at the same
-    place of rows that share an id are equally early and don't drop each other.
+    Null texts have no lines. A null id counts as the earliest. Of rows that share an id the one
+    with the smaller hash of its text is earlier; rows with one id and text are equally early.
     A line of any length is compared whole; its work is linear in its words.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    rows = rows.withColumn("text_hash", _text_hash(F.col("_text")))  # below the explode: once a text, not once a line
-    lines = rows.select("_id", "text_hash", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    lines = lines.select("_id", "text_hash", "line_no", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
-    place = _place(F.col("_id"), F.col("line_no"))
+    # Below the explode: once a text, not once a line.
+    rows = rows.withColumns({"text_hash": _text_hash(F.col("_text")), "_start": _start(F.col("_id"), F.col("_text"))})
+    lines = rows.select("_id", "_start", "text_hash", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
+    lines = lines.select("_id", "_start", "text_hash", "line_no", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
+    place = _place(F.col("_start"), F.col("line_no"))
     halves = F.when(F.col("n") >= fuzzy_words, F.array(*_halves()))
     lines = lines.select(F.col("_id").alias("doc_id"), "text_hash", "line_no", place.alias("place"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"), "n", halves.alias("halves"))
     lines = materialize(lines, "lines")

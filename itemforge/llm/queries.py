@@ -112,30 +112,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _op1_sql() -> str:
-    from .decontaminate import AFTER, BEFORE, MASKS, MIN_ITEM, SUBSTITUTIONS, WINDOW
-
-    seeds = " UNION ALL ".join(f"SELECT key, i, n, t, concat_ws(' ', '{j}', {', '.join(f't[i + {k + 1}]' for k in m)}) AS seed FROM {{0}} WHERE i + {m[-1]} < n" for j, m in enumerate(MASKS))
+    from .decontaminate import AFTER, BEFORE, MASKS, PART, SHORT_ITEM, SUBSTITUTIONS, WINDOW
+
+    masks = [*enumerate(MASKS), ("p", tuple(range(PART))), *[(f"w{n}", tuple(range(n))) for n in range(1, SHORT_ITEM)]]
+    seed = lambda j, m, also: f"SELECT key, i, n, t, concat_ws(' ', '{j}', {', '.join(f't[i + {k + 1}]' for k in m)}) AS seed FROM {{0}} WHERE i + {m[-1]} < n{also}"
+    # An item takes the masks that its length asks for; a document is looked up by all.
+    own = lambda j, m: f" AND n = {len(m)} AND i = 0" if str(j)[0] == "w" else f" AND n >= {SHORT_ITEM}" + (f" AND n < {WINDOW}" if j == "p" else "")
+    of_docs = " UNION ALL ".join(seed(j, m, "") for j, m in masks)
+    of_items = " UNION ALL ".join(seed(j, m, own(j, m)) for j, m in masks)
     return rf"""
 WITH d AS (SELECT doc_id AS key, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS t FROM documents),
 b AS (SELECT item_id AS key, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS t FROM benchmark),
-dp AS (SELECT key, t, len(t) AS n, unnest(range(len(t))) AS i FROM d WHERE len(t) >= {MIN_ITEM}),
-bp AS (SELECT key, t, len(t) AS n, unnest(range(len(t))) AS i FROM b WHERE len(t) >= {MIN_ITEM}),
-ds AS ({seeds.format("dp")}),
-bs AS ({seeds.format("bp")}),
+dp AS (SELECT key, t, len(t) AS n, unnest(range(len(t))) AS i FROM d),
+bp AS (SELECT key, t, len(t) AS n, unnest(range(len(t))) AS i FROM b),
+ds AS ({of_docs.format("dp")}),
+bs AS ({of_items.format("bp")}),
 h AS (SELECT ds.key AS doc_id, bs.key AS item_id, ds.i AS doc_token, bs.i AS item_token, least(bs.n, {WINDOW}) AS window_tokens,
   list_max(list_transform(range({BEFORE + AFTER - WINDOW + 1}), lambda s: list_sum(list_transform(range({WINDOW}), lambda k:
     CASE WHEN ds.i - {BEFORE} + s + k >= 0 AND bs.i - {BEFORE} + s + k >= 0 AND ds.t[ds.i - {BEFORE} + s + k + 1] = bs.t[bs.i - {BEFORE} + s + k + 1] THEN 1 ELSE 0 END)))) AS n_match
   FROM ds JOIN bs USING (seed)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_match DESC, doc_token, item_token, window_tokens) AS rn
-  FROM h WHERE n_match >= window_tokens - ({SUBSTITUTIONS} * window_tokens) // {WINDOW})
+  FROM h WHERE n_match >= window_tokens - CASE WHEN window_tokens < {SHORT_ITEM} THEN 0 ELSE ({SUBSTITUTIONS} * window_tokens) // {WINDOW} END)
 SELECT doc_id, item_id, CAST(n_match AS INTEGER) AS n_match, CAST(window_tokens AS INTEGER) AS window_tokens, CAST(doc_token AS INTEGER) AS doc_token, CAST(item_token AS INTEGER) AS item_token FROM r WHERE rn = 1"""
 
 
+#: The letters are those of linededup.UNSPACED.
 _OP9_SQL = r"""
 WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM x),
-w AS (SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(lower(line), '\s+'), lambda s: s <> '') AS w FROM l),
-f AS (SELECT w, len(w) AS n, min({'d': doc_id, 'l': line_no}) AS first FROM w WHERE len(w) >= 3 GROUP BY w),
+w AS (SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(lower(regexp_replace(line, '([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}])', ' \1 ', 'g')), '\s+'), lambda s: s <> '') AS w FROM l),
+f AS (SELECT w, len(w) AS n, min({'d': doc_id, 'l': line_no}) AS first FROM w WHERE len(w) >= 1 GROUP BY w),
 h AS (SELECT w, n, first, unnest([{'s': 0, 'c': n, 'h': w[1:n // 2]}, {'s': 1, 'c': n, 'h': w[n // 2 + 1:]},
   {'s': 0, 'c': n - 1, 'h': w[1:(n - 1) // 2]}, {'s': 1, 'c': n - 1, 'h': w[(n - 1) // 2 + 2:]}]) AS half FROM f WHERE n >= 8),
 near AS (SELECT DISTINCT a.w FROM h a JOIN h b ON a.half = b.half AND b.first < a.first WHERE

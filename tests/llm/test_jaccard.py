@@ -107,3 +107,36 @@ def test_rows_that_share_an_id_are_apart(spark):
     assert [g for g in got if g[0] != "7"] == sorted([("1", first), ("3", "other words that are not the same"), ("None", "none of these has an id"), ("None", "nor has this one, which differs"), ("None", ""), ("None", "")])
     assert sum(g[0] == "7" for g in got) == 1
     assert similar_documents(rows).where("kept and class_id = 7").count() == 1
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.7, 0.8])
+def test_sketches_lose_no_pair_at_any_similarity(spark, similarity):
+    """Pairs just above the similarity: as many as there are, all are found."""
+    rng = random.Random(int(similarity * 100))
+    docs, words = [], 300
+    for pair in range(150):
+        base = [f"p{pair}w{k}" for k in range(words)]
+        other = list(base)
+        # Each run of changed words changes 4 grams more than it has words.
+        keep = int((words - 4) * 2 * (similarity + 0.012) / (1 + similarity + 0.012)) + 5
+        other[keep:] = [f"o{pair}w{k}" for k in range(words - keep)]
+        docs += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(other))]
+    rng.shuffle(docs)
+    want = brute(docs, similarity)
+    assert sum(n for _, n in want.values()) == 300
+    got = similar_documents(spark.createDataFrame([(i, t, "", "") for i, t in docs], DOCS), similarity=similarity).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == want
+
+
+def test_cuts_follow_the_similarity():
+    assert J.sketch_cut(0.9999, 0.8) == 15 and J.runs_for(1 - 0.9e-4, 0.8) == 5
+    cuts = [J.sketch_cut(0.9999, s) for s in (0.1, 0.3, 0.5, 0.7, 0.9, 1.0)]
+    assert cuts == sorted(cuts) and cuts[0] == 0 and cuts[-1] == J.SKETCH
+
+
+def test_rows_without_ids_cost_what_others_do(spark):
+    """Texts of sets are found by id and hash: n rows without an id don't meet n sets each."""
+    docs = [t for _, t in near_copies(7, 40, 20, words=60)]
+    got = similar_documents(spark.createDataFrame([(None, t, "", "") for t in docs], DOCS)).collect()
+    want = brute(list(enumerate(docs)))
+    assert sorted(r.n_links for r in got) == sorted(n for _, n in want.values())
