@@ -13,10 +13,11 @@ from ..functions import text as t
 from . import spatial
 from .ordered import anchor_groups, bands, carry_down, majority
 
-# Names of stages, the top margin and the least side of a figure in points, how
-# bars and bank names read, and how bold fonts are named.
+# Names of stages, the top margin and the least side of a figure in points, the
+# least sides of a wide and low one (a table of one row), how bars and bank names read, and how bold fonts are named.
 STAGES = ("Fixação", "Treinamento", "Aprofundamento", "Desafios")
 TOP, FIGURE = 30.0, 30.0
+WIDE, LOW = 80.0, 12.0
 BAR = r"^\s*Quest[aã]o\s*(\d[\d ]*)"
 BANK = r"^[A-ZÀ-Ú0-9][A-Za-zÀ-ú0-9ª.\-/() ]*\s(19|20)\d{2}(/\d+)?$"
 BOLD_FONT = r"(?i)bold|black|heavy|semibold|demibold|extrabold|,b$"
@@ -34,7 +35,8 @@ def text_lines(spans: DataFrame) -> DataFrame:
 
 
 def figures(images: DataFrame) -> DataFrame:
-    return images.where((F.col("x1") - F.col("x0") >= FIGURE) & (F.col("y1") - F.col("y0") >= FIGURE) & (F.col("y0") > TOP))
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return images.where((((wide >= FIGURE) & (high >= FIGURE)) | ((wide >= WIDE) & (high >= LOW))) & (F.col("y0") > TOP))
 
 
 def column_split(pages: DataFrame, images: DataFrame) -> DataFrame:

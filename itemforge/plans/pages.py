@@ -43,11 +43,11 @@ def page_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT user_id AS doc, event_id % 3 AS page, event_id AS ord, value AS x0, value + event_id % 60 AS x1, CAST(event_id % 50 AS DOUBLE) AS y0, event_id % 50 + value AS y1 FROM events)
-SELECT doc, page, ord FROM i WHERE x1 - x0 >= 30 AND y1 - y0 >= 30 AND y0 > 30""")
+WITH i AS (SELECT user_id AS doc, event_id % 3 AS page, event_id AS ord, value AS x0, value + event_id % 120 AS x1, CAST(event_id % 50 AS DOUBLE) AS y0, event_id % 50 + value AS y1 FROM events)
+SELECT doc, page, ord FROM i WHERE ((x1 - x0 >= 30 AND y1 - y0 >= 30) OR (x1 - x0 >= 80 AND y1 - y0 >= 12)) AND y0 > 30""")
 def page_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), (i % 3).alias("page"), i.alias("ord"), F.col("value").alias("x0"), (F.col("value") + i % 60).alias("x1"), (i % 50).cast("double").alias("y0"), (i % 50 + F.col("value")).alias("y1"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), (i % 3).alias("page"), i.alias("ord"), F.col("value").alias("x0"), (F.col("value") + i % 120).alias("x1"), (i % 50).cast("double").alias("y0"), (i % 50 + F.col("value")).alias("y1"))
     return segment.figures(e).select("doc", "page", "ord")
 
 
