@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -144,6 +145,48 @@ def tight_formula(latex: Column) -> Column:
     return F.regexp_replace(single, r"(?<=[^A-Za-z\\\s])\s(?=\S)|(?<=[A-Za-z])\s(?=[^A-Za-z\s])", "")
 
 
+# What braces behind it are arguments of.
+ARGUMENT = r"[\^_}]$|\\(?:frac|dfrac|tfrac|sqrt|text|mathrm|mathbf|mathit|mathcal|boldsymbol|vec|hat|bar|dot|ddot|tilde|overline|underline|overrightarrow|operatorname|binom)\s*$"
+_LONGEST = 64  # of a command and the blanks behind it that ARGUMENT is asked about
+
+
+def _lean(s: str) -> str:
+    """One formula without redundant braces, in two scans: partners and runs of groups from the
+    right, then what stays from the left."""
+    partner, stack = {}, []
+    for i, c in enumerate(s):
+        if c == "{":
+            stack.append(i)
+        elif c == "}" and stack:
+            partner[stack.pop()] = i
+    after = list(range(len(s) + 1))  # behind the groups that begin here
+    for i in sorted(partner, reverse=True):
+        after[i] = after[partner[i] + 1]
+    out: list[str] = []
+    gone = set()
+    for i, c in enumerate(s):
+        if i in gone:
+            continue
+        if c == "{" and s[i + 1 : i + 2] == "\\" and not re.search(ARGUMENT, "".join(out[-_LONGEST:])):
+            if i not in partner:  # what follows can't be told
+                return "".join(out) + "".join(x for j, x in enumerate(s[i:], i) if j not in gone)
+            k = i + 2
+            while s[k].isascii() and s[k].isalpha():
+                k += 1
+            if k > i + 2 and after[k] == partner[i]:
+                gone.add(partner[i])
+                continue
+        out.append(c)
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def lean_braces(latex: pd.Series) -> pd.Series:
+    """Formulas without the braces around a whole command and its arguments, where they aren't
+    arguments themselves; from a brace without a partner on all stay. Null stays null."""
+    return latex.map(_lean, na_action="ignore")
+
+
 def reading_key(latex: Column) -> Column:
     """What two readings of a formula must share to agree."""
     return F.regexp_replace(latex, NO_MATTER, "")
