@@ -57,18 +57,21 @@ def _unless(df: DataFrame, bad: Column, stop: Column) -> DataFrame:
     return df.where(F.when(F.coalesce(bad, F.lit(False)), stop.cast("boolean")).otherwise(F.lit(True)))
 
 
-def import_questions(questions: DataFrame, payload: DataFrame) -> DataFrame:
-    """Upsert by (hash, number): new ones are unpublished, known ones keep that flag."""
-    return upsert(questions, guarded(payload, questions), QUESTION_KEY, keep=("published",), defaults={"published": F.lit(False)})
+def import_questions(questions: DataFrame, payload: DataFrame, now: Column | None = None) -> DataFrame:
+    """Upsert by (hash, number): new ones are unpublished and created now, known ones keep both."""
+    now = F.current_timestamp() if now is None else now
+    return upsert(questions, guarded(payload.drop("created"), questions), QUESTION_KEY, keep=("published", "created"), defaults={"published": F.lit(False), "created": now})
 
 
-def default_lists(lists: DataFrame, documents: DataFrame, payload: DataFrame) -> DataFrame:
-    """Each imported document has a list of its own. A new one gets name and
-    description; a known one only discipline, topic and tags."""
+def default_lists(lists: DataFrame, documents: DataFrame, payload: DataFrame, now: Column | None = None) -> DataFrame:
+    """Each imported document has a list of its own: its earliest, or a new one. A new one gets name,
+    description and time of creation; a known one only discipline, topic, tags and time of change."""
+    now = F.current_timestamp() if now is None else now
     tags = payload.groupBy("hash").agg(ordered_distinct("number", "subjects").alias("tags"))
     list_id = F.substring(F.sha2(F.concat(F.lit("default:"), F.col("hash")), 256), 1, 32)
-    new = documents.join(tags, "hash").select(list_id.alias("list_id"), F.concat(F.lit("Lista de "), F.col("title")).alias("name"), F.concat(F.lit("Lista completa de "), F.col("title")).alias("description"), "discipline", "topic", "tags", F.lit("rascunho").alias("status"), "hash")
-    return upsert(lists, new, ["list_id"], keep=("name", "description", "status", "hash"))
+    known = first_list_of(lists).withColumnRenamed("list_id", "_known")
+    new = documents.join(tags, "hash").join(known, "hash", "left").select(F.coalesce("_known", list_id).alias("list_id"), F.concat(F.lit("Lista de "), F.col("title")).alias("name"), F.concat(F.lit("Lista completa de "), F.col("title")).alias("description"), "discipline", "topic", "tags", F.lit("rascunho").alias("status"), "hash", now.alias("created"), now.alias("updated"))
+    return upsert(lists, new, ["list_id"], keep=("name", "description", "status", "hash", "created"))
 
 
 def add_members(members: DataFrame, new: DataFrame) -> DataFrame:
@@ -145,7 +148,8 @@ def create_lists(names: DataFrame, now: Column) -> DataFrame:
 
 
 def first_list_of(lists: DataFrame) -> DataFrame:
-    """(hash, list_id): the list of each import, the earliest if there are several."""
+    """(hash, list_id): the list of each import, the earliest if there are several, one without a
+    time before all."""
     return lists.where("hash is not null").groupBy("hash").agg(F.min_by("list_id", F.struct("created", "list_id")).alias("list_id"))
 
 
@@ -255,22 +259,25 @@ class BankStore:
         return n
 
 
-def import_documents(store: BankStore, documents: DataFrame, payload: DataFrame) -> int:
+def import_documents(store: BankStore, documents: DataFrame, payload: DataFrame, now: Column | None = None) -> int:
     """Imports documents (hash, file, kind, title, discipline, topic) with their questions
-    as one new version: all or nothing, and the same again changes nothing."""
+    as one new version: all or nothing, and the same again changes nothing but the time of change. All
+    that is written has one time: now, or the current time."""
     from .. import schema as s
 
+    now = F.current_timestamp() if now is None else now
+    now = F.lit(store.spark.range(1).select(now.cast("timestamp")).first()[0])
     base = store.version()
     imports, questions = store.read("imports", s.IMPORT), store.read("questions", s.QUESTION)
     lists, members = store.read("lists", s.LIST), store.read("members", s.MEMBER)
     totals = payload.groupBy("hash").agg(F.count(F.lit(1)).cast("int").alias("total"))
-    new_imports = documents.join(totals, "hash").select("hash", "file", F.coalesce("kind", F.lit("lista")).alias("kind"), "title", "total")
-    own = default_lists(lists, documents, payload)
-    list_of = own.where("hash is not null").select("hash", "list_id")
+    new_imports = documents.join(totals, "hash").select("hash", "file", F.coalesce("kind", F.lit("lista")).alias("kind"), "title", "total", now.alias("created"), now.alias("updated"))
+    own = default_lists(lists, documents, payload, now)
+    list_of = first_list_of(own)
     positions = payload.join(list_of, "hash").select("list_id", "hash", "number", F.col("number").alias("position"))
     return store.commit({
-        "imports": upsert(imports, new_imports, ["hash"]).drop("op"),
-        "questions": import_questions(questions, payload).drop("op"),
+        "imports": upsert(imports, new_imports, ["hash"], keep=("created",)).drop("op"),
+        "questions": import_questions(questions, payload, now).drop("op"),
         "lists": own.drop("op"),
         "members": add_members(members, positions).drop("op"),
     }, base)

@@ -338,8 +338,7 @@ WITH {_N} SELECT CAST(l_orderkey AS VARCHAR) AS hash, number, p_type AS statemen
   (SELECT count(*) FROM n x WHERE x.l_orderkey = n.l_orderkey)::INTEGER AS total FROM n JOIN part ON l_partkey = p_partkey""")
 def bank_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bank after the same documents came in twice; some questions were published between."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    store = bank.BankStore(spark, f"{shared.rstrip('/')}/bank-{spark.range(1).select(F.uuid()).first()[0]}")
+    store = bank.BankStore(spark, f"{_shared(spark)}/bank-{spark.range(1).select(F.uuid()).first()[0]}")
     n = numbered_lines(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
     kinds = {f.split()[0]: f.split(" ", 1)[1] for f in _fields(schema.QUESTION)}
     have = {"hash": F.col("l_orderkey").cast("string"), "number": _n(), "statement": F.col("p_type"), "year": F.year("l_shipdate"), "subjects": F.array("p_type")}
@@ -353,6 +352,43 @@ def bank_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.join(members, ["hash", "number"]).join(lists.select("list_id", F.col("description")), "list_id").join(imports.select("hash", "total"), "hash").select("hash", "number", "statement", "year", "published", "description", "position", "total")
 
 
+@query(f"""
+WITH {_N}, h AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS hash, l_orderkey % 2 = 0 AS saved FROM n)
+SELECT hash, CASE WHEN saved THEN 'mine' ELSE 'Lista de T' || hash END AS name, CASE WHEN saved THEN 2 ELSE 1 END AS created, 3 AS updated, 1 AS import_created, 3 AS import_updated, saved AS moved FROM h""")
+def bank_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come in on day 1; on day 2 half of their lists are deleted and saved anew under other ids, with the
+    same origin; on day 3 the documents come in again. Times are days; moved: the list is the one saved."""
+    store = bank.BankStore(spark, f"{_shared(spark)}/bank-{spark.range(1).select(F.uuid()).first()[0]}")
+    n = numbered_lines(spark, sf_dir)
+    day = lambda k: F.lit(f"2026-01-0{k} 00:00:00").cast("timestamp")
+    kinds = {f.split()[0]: f.split(" ", 1)[1] for f in _fields(schema.QUESTION)}
+    have = {"hash": F.col("l_orderkey").cast("string"), "number": _n()}
+    payload = n.select(*[have.get(c, F.lit(None).cast(k)).alias(c) for c, k in kinds.items() if c != "published"])
+    documents = payload.select("hash").distinct().select("hash", F.lit("f.pdf").alias("file"), F.lit(None).cast("string").alias("kind"), F.concat(F.lit("T"), "hash").alias("title"), F.lit("d").alias("discipline"), F.lit("t").alias("topic"))
+    first = bank.import_documents(store, documents, payload, day(1))
+    lists, members, questions = store.read("lists", schema.LIST), store.read("members", schema.MEMBER), store.read("questions", schema.QUESTION)
+    ours = lists.where(F.col("hash").cast("long") % 2 == 0)
+    asked = questions.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("hash", "number"))).alias("questions"))
+    saved = ours.join(asked, "hash").select(F.concat(F.lit("own-"), "list_id").alias("list_id"), F.lit("mine").alias("name"), "description", "discipline", "topic", "tags", "status", "hash", "questions")
+    left, rest = bank.delete_lists(lists, members, ours.select("list_id"))
+    left, rest = bank.save_lists(left, rest, saved, questions, day(2))
+    store.commit({"lists": left, "members": rest}, first)
+    bank.import_documents(store, documents, payload, day(3))
+    lists, imports = store.read("lists", schema.LIST), store.read("imports", schema.IMPORT)
+    held = store.read("members", schema.MEMBER).select("list_id").distinct()  # no list of a document is left without its questions
+    own = bank.first_list_of(lists).join(lists.drop("hash"), "list_id").join(held, "list_id", "left_semi")
+    when = imports.select("hash", F.day("created").alias("import_created"), F.day("updated").alias("import_updated"))
+    return own.join(when, "hash").select("hash", "name", F.day("created").alias("created"), F.day("updated").alias("updated"), "import_created", "import_updated", F.col("list_id").startswith("own-").alias("moved"))
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; local mode may make one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.mkdtemp(prefix='spark-')}").rstrip("/")
+
+
 def _fields(ddl: str) -> list[str]:
     """The top-level fields of a DDL schema."""
     from pyspark.sql.types import StructType

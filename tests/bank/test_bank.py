@@ -11,7 +11,7 @@ OPTIONS = [("A", "x"), ("B", "y")]
 
 def payload(spark, rows):
     full = [(h, n, f"t{n}", None, y, "d", "t", s, "Fixação", 1, "text", OPTIONS, "A", 1, False, None) for h, n, y, s in rows]
-    return spark.createDataFrame(full, schema.QUESTION.replace(", published BOOLEAN", ""))
+    return spark.createDataFrame(full, schema.QUESTION.replace(", published BOOLEAN, created TIMESTAMP", ""))
 
 
 @pytest.fixture
@@ -26,9 +26,10 @@ def tables(store):
 def test_the_same_import_twice_changes_nothing(spark, store):
     docs = spark.createDataFrame([("h1", "a.pdf", None, "T", "d", "t")], DOCS)
     p = payload(spark, [("h1", 1, 2000, ["b", "a"]), ("h1", 2, None, ["a", "c"])])
-    assert bank.import_documents(store, docs, p) == 1
+    day = F.lit("2026-01-01").cast("timestamp")
+    assert bank.import_documents(store, docs, p, day) == 1
     first = tables(store)
-    assert bank.import_documents(store, docs, p) == 2
+    assert bank.import_documents(store, docs, p, day) == 2
     assert tables(store) == first
     assert store.read("lists", schema.LIST).first().tags == ["b", "a", "c"]
     assert store.read("imports", schema.IMPORT).first().kind == "lista"
@@ -66,7 +67,7 @@ def test_saving_a_list(spark):
 
 
 def test_lists_change_by_what_is_given(spark):
-    lists = spark.createDataFrame([("L", "n", "x", "d", "t", ["a"], "rascunho", "h"), ("M", "m", None, None, None, [], "rascunho", None)], schema.LIST)
+    lists = spark.createDataFrame([("L", "n", "x", "d", "t", ["a"], "rascunho", "h", None, None), ("M", "m", None, None, None, [], "rascunho", None, None, None)], schema.LIST)
     change = spark.createDataFrame([("L", {"name": "new", "topic": None})], "list_id string, given map<string,string>")
     got = {r.list_id: r for r in bank.patch(lists, change).collect()}
     assert (got["L"].name, got["L"].topic, got["L"].description, got["M"].name) == ("new", None, "x", "m")
@@ -77,7 +78,7 @@ def test_lists_change_by_what_is_given(spark):
     assert [r.list_id for r in left.collect()] == ["M"] == [r.list_id for r in rest.collect()]
     with pytest.raises(Exception, match="a list needs a name"):
         bank.named(lists.withColumn("name", F.lit(" "))).collect()
-    imports = spark.createDataFrame([("h", "f", "lista", "t", 1)], schema.IMPORT)
+    imports = spark.createDataFrame([("h", "f", "lista", "t", 1, None, None)], schema.IMPORT)
     none, orphans = bank.delete_imports(imports, lists, spark.createDataFrame([("h",)], "hash string"))
     assert none.count() == 0 and {r.hash for r in orphans.collect()} == {None}
 
