@@ -36,10 +36,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 HOLE, WHOLE, SHORT = 0, 1, 2
 
 
+def _lines_of(text: Column) -> Column:
+    """The lines of a text, with spaces around each letter of an unspaced script: once a text, not once a line."""
+    apart = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    return F.posexplode(F.split(apart, "\n")).alias("line_no", "line")
+
+
 def words_of(line: Column) -> Column:
-    """Runs without white space; each letter of an unspaced script by itself."""
-    apart = F.when(line.rlike(UNSPACED), F.regexp_replace(line, f"({UNSPACED})", " $1 ")).otherwise(line)
-    return F.array_remove(F.split(F.lower(apart), r"(?U)\s+"), "")
+    return F.array_remove(F.split(F.lower(line), r"(?U)\s+"), "")
 
 
 def _start(doc_id: Column, text: Column) -> Column:
@@ -122,7 +126,7 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, fuzzy_words: int) -> DataF
     ours = materialize(ours, "lines-near")
     # The words of these lines are read from the documents again; the filter keeps other lines out of the join.
     is_ours = hash_filter(ours.select(F.xxhash64("place").alias("h")), filter_size(ours.count()))
-    lines = docs.select("_start", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
+    lines = docs.select("_start", _lines_of(F.col("_text")))
     lines = lines.withColumn("p", _place(F.col("_start"), F.col("line_no"))).where(is_ours(F.xxhash64("p")))
     lines = lines.select("p", words_of(F.col("line")).alias("w")).select("p", F.xxhash64("w").alias("k"), F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
     lines = lines.join(ours, (F.col("p") == F.col("place")) & (F.col("k") == F.col("k1"))).select("place", "w", "k1").distinct()
@@ -166,7 +170,7 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
     # Below the explode: once a text, not once a line.
     rows = rows.withColumns({"text_hash": _text_hash(F.col("_text")), "_start": _start(F.col("_id"), F.col("_text"))})
-    lines = rows.select("_id", "_start", "text_hash", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
+    lines = rows.select("_id", "_start", "text_hash", _lines_of(F.col("_text")))
     lines = lines.select("_id", "_start", "text_hash", "line_no", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
     place = _place(F.col("_start"), F.col("line_no"))
     halves = F.when(F.col("n") >= fuzzy_words, F.array(*_halves()))
