@@ -38,7 +38,7 @@ HOLE, WHOLE, SHORT = 0, 1, 2
 
 def _lines_of(text: Column) -> Column:
     """The lines of a text, with spaces around each letter of an unspaced script: once a text, not once a line."""
-    apart = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    apart = F.when((F.octet_length(text) > F.char_length(text)) & text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
     return F.posexplode(F.split(apart, "\n")).alias("line_no", "line")
 
 
@@ -171,7 +171,8 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Below the explode: once a text, not once a line.
     rows = rows.withColumns({"text_hash": _text_hash(F.col("_text")), "_start": _start(F.col("_id"), F.col("_text"))})
     lines = rows.select("_id", "_start", "text_hash", _lines_of(F.col("_text")))
-    lines = lines.select("_id", "_start", "text_hash", "line_no", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
+    # explode() evaluates the words once; a filter on their number would be evaluated below, again.
+    lines = lines.select("_id", "_start", "text_hash", "line_no", F.explode(F.array(words_of(F.col("line")))).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
     place = _place(F.col("_start"), F.col("line_no"))
     halves = F.when(F.col("n") >= fuzzy_words, F.array(*_halves()))
     lines = lines.select(F.col("_id").alias("doc_id"), "text_hash", "line_no", place.alias("place"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"), "n", halves.alias("halves"))
