@@ -8,6 +8,8 @@ document is contaminated if some aligned window agrees in enough places.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def _at(k: int) -> Column:
 
 
 def _seed(name: int, mask: tuple[int, ...]) -> Column:
-    """Null where the mask leaves the tokens."""
-    return F.when(F.col("i") + mask[-1] < F.col("n"), F.xxhash64(F.lit(name), *[_at(k) for k in mask]))
+    """Null where the mask leaves the tokens. Of hashes of tokens, each made once a text."""
+    return F.when(F.col("i") + mask[-1] < F.col("n"), F.xxhash64(F.lit(name), *[F.get("h", F.col("i") + k) for k in mask]))
 
 
 def _masks(lengths: list[int]) -> list[tuple[int, tuple[int, ...], Column]]:
@@ -56,14 +58,16 @@ def _masks(lengths: list[int]) -> list[tuple[int, tuple[int, ...], Column]]:
 
 
 def _around() -> Column:
-    """Hashes of the tokens around place i; null outside."""
-    return F.array(*[F.when(_at(k).isNotNull(), F.hash(_at(k))) for k in range(-BEFORE, AFTER)])
+    """The tokens around place i; null outside."""
+    return F.array(*[_at(k) for k in range(-BEFORE, AFTER)])
 
 
 def _places(df: DataFrame, span: int) -> DataFrame:
-    """A row for each place of t at which a mask of this span can start."""
-    df = df.withColumn("n", F.size("t")).where(F.col("n") >= span)
-    return df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - span)))
+    """A row for each place of t at which a mask of this span can start; a row with a null place for
+    shorter texts. (A filter on their length, or the one that Spark infers from explode(), would part texts
+    into tokens a second time.)"""
+    df = df.withColumn("h", F.transform("t", lambda x: F.xxhash64(x))).withColumn("n", F.size("t"))
+    return df.withColumn("i", F.explode_outer(F.when(F.col("n") >= span, F.sequence(F.lit(0), F.col("n") - span))))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
@@ -100,10 +104,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     found = found.withColumn("seed", seeds(False)).where(maybe(F.col("seed")))
     found = found.select("doc_id", F.col("i").alias("doc_token"), _around().alias("ours"), "seed")
     pairs = found.join(items, "seed")
-    same = F.zip_with("ours", "theirs", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    # All windows that hold the place of the hit and fit in what is shown.
-    sums = F.transform(F.sequence(F.lit(1), F.lit(BEFORE + AFTER - window + 1)), lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda x, y: x + y))
-    pairs = pairs.withColumn("same", same).withColumn("n_match", F.array_max(sums))
+    # A bit for each place that agrees; explode() of the one value makes it once a pair. Then all windows that
+    # hold the place of the hit and fit in what is shown.
+    agree = [F.when(F.get("ours", F.lit(k)) == F.get("theirs", F.lit(k)), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(BEFORE + AFTER)]
+    pairs = pairs.withColumn("agree", F.explode(F.array(reduce(Column.bitwiseOR, agree))))
+    counts = [F.bit_count(F.col("agree").bitwiseAND(((1 << window) - 1) << k)) for k in range(BEFORE + AFTER - window + 1)]
+    pairs = pairs.withColumn("n_match", F.greatest(*counts))
     allowed = F.when(F.col("window_tokens") < SHORT_ITEM, 0).otherwise(F.floor(F.lit(substitutions) * F.col("window_tokens") / window))
     pairs = pairs.where(F.col("n_match") >= F.col("window_tokens") - allowed)
     best = F.min(F.struct((-F.col("n_match")).alias("m"), "doc_token", "item_token", "window_tokens")).alias("b")
