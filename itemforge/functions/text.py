@@ -405,9 +405,13 @@ def long_words(body: Column) -> Column:
 
 
 def word_coverage(body: Column, transcript: Column) -> Column:
-    """The share of the body's distinct long words that the transcript holds; null without any."""
-    held = lambda x: F.size(F.filter(x["words"], lambda w: F.instr(x["text"], w) > 0)) / F.nullif(F.size(x["words"]), F.lit(0))
-    return bound(held, words=long_words(body), text=fold(transcript))
+    """The share of the body's distinct long words that the transcript holds, as words or
+    within them; null without any. A long word can only stand in a run of letters that is a long word
+    itself, so what isn't among the transcript's distinct words is looked up in them, not in the text."""
+    shared = lambda x: F.array_except(x["words"], x["others"])
+    lost = lambda x: bound(lambda y: F.filter(y["open"], lambda w: F.instr(y["text"], w) == 0), open=shared(x), text=F.array_join(x["others"], " "))
+    held = lambda x: (F.size(x["words"]) - F.size(lost(x))) / F.nullif(F.size(x["words"]), F.lit(0))
+    return bound(held, words=long_words(body), others=F.coalesce(long_words(transcript), F.array().cast("array<string>")))
 
 
 def lines_repeated(source: Column, transcript: Column, least: int = 12) -> Column:

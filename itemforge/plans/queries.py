@@ -454,8 +454,8 @@ WITH p AS (SELECT doc_id, list_distinct(regexp_extract_all({_fold("b.text")}, '[
 SELECT doc_id, round(len(list_filter(w, lambda x: contains(d, x))) / len(w), 6) AS coverage FROM p WHERE len(w) > 0""")
 def word_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    pairs = d.join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("body")), "item_id")
-    return pairs.select("doc_id", F.round(t.word_coverage(F.col("body"), F.col("text")), 6).alias("coverage")).where("coverage is not null")
+    bodies = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("body")).where(F.size(t.long_words(F.col("body"))) > 0)
+    return d.join(bodies, "item_id").select("doc_id", F.round(t.word_coverage(F.col("body"), F.col("text")), 6).alias("coverage"))
 
 
 @query(rf"""
