@@ -1,11 +1,14 @@
 """The bank: imports with a guard, upserts, virtual lists and their members.
 
-Tables are DataFrames in and out; BankStore keeps them as complete Parquet snapshots
-with a pointer that moves last, so a reader never sees half an import.
+Tables are DataFrames in and out; BankStore keeps them as Parquet in buckets with a
+pointer that moves last, so a reader never sees half an import.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +66,18 @@ def import_questions(questions: DataFrame, payload: DataFrame, now: Column | Non
     return upsert(questions, guarded(payload.drop("created"), questions), QUESTION_KEY, keep=("published", "created"), defaults={"published": F.lit(False), "created": now})
 
 
+def default_list_id() -> Column:
+    """The id of a document's list, by its hash."""
+    return F.substring(F.sha2(F.concat(F.lit("default:"), F.col("hash")), 256), 1, 32)
+
+
 def default_lists(lists: DataFrame, documents: DataFrame, payload: DataFrame, now: Column | None = None) -> DataFrame:
     """Each imported document has a list of its own: its earliest, or a new one. A new one gets name,
     description and time of creation; a known one only discipline, topic, tags and time of change."""
     now = F.current_timestamp() if now is None else now
     tags = payload.groupBy("hash").agg(ordered_distinct("number", "subjects").alias("tags"))
-    list_id = F.substring(F.sha2(F.concat(F.lit("default:"), F.col("hash")), 256), 1, 32)
     known = first_list_of(lists).withColumnRenamed("list_id", "_known")
-    new = documents.join(tags, "hash").join(known, "hash", "left").select(F.coalesce("_known", list_id).alias("list_id"), F.concat(F.lit("Lista de "), F.col("title")).alias("name"), F.concat(F.lit("Lista completa de "), F.col("title")).alias("description"), "discipline", "topic", "tags", F.lit("rascunho").alias("status"), "hash", now.alias("created"), now.alias("updated"))
+    new = documents.join(tags, "hash").join(known, "hash", "left").select(F.coalesce("_known", default_list_id()).alias("list_id"), F.concat(F.lit("Lista de "), F.col("title")).alias("name"), F.concat(F.lit("Lista completa de "), F.col("title")).alias("description"), "discipline", "topic", "tags", F.lit("rascunho").alias("status"), "hash", now.alias("created"), now.alias("updated"))
     return upsert(lists, new, ["list_id"], keep=("name", "description", "status", "hash", "created"))
 
 
@@ -198,15 +205,20 @@ def staged_text(staging: DataFrame) -> DataFrame:
 
 
 class BankStore:
-    """Parquet snapshots of the bank's tables: root/<table>/v=<n>, and root/_current/v=<n>,
-    which names the version of each table. Files are written by Spark only; a version is
-    complete before the pointer to it exists, and one that is read is never overwritten.
+    """The bank's tables as Parquet in hash buckets: root/<table>/w=<writer>/_bucket=<b>, and root/_current/v=<n>, which
+    names the files of each bucket of each table. Files are written by Spark only; a version is
+    complete before the pointer to it exists, and what is read is never overwritten, as every
+    writer has a folder of its own. A bucket without rows has no files.
+
+    A row's bucket follows from its hash, or its list_id where it has none. The number of buckets is chosen
+    for a new bank (so that a bucket is some hundred MB when the bank is full) and kept.
 
     A version has one successor: a writer claims it by creating a file, which file systems
-    do atomically, so that of two writers who read the same version one fails."""
+    do atomically, so that of two writers who read the same version one fails, unless both say which
+    buckets they have read and written and these aren't the same."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self._new_buckets = spark, root.rstrip("/"), buckets
 
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
@@ -214,21 +226,37 @@ class BankStore:
     def _files(self, path):
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
-        path = self._path(f"{self.root}/_current")
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
         fs = self._files(path)
-        if not fs.exists(path):
-            return 0
-        return max((int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if fs.exists(self._path(f"{s.getPath()}/_SUCCESS"))), default=0)
-
-    def _tables(self, n: int) -> dict[str, int]:
-        return {r["name"]: r["version"] for r in self.spark.read.schema("name string, version int").parquet(f"{self.root}/_current/v={n}").collect()} if n else {}
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
-    def read(self, table: str, schema: str) -> DataFrame:
-        at = self._tables(self.version()).get(table)
-        if at is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v={at}")
+    def version(self) -> int:
+        fs = self._files(self._path(self.root))
+        there = lambda name: fs.exists(self._path(f"{self.root}/_current/{name}/_SUCCESS"))
+        return max((int(name[2:]) for name in self._names(f"{self.root}/_current") if there(name)), default=0)
+
+    def _entries(self, n: int) -> dict[tuple[str, int], str]:
+        """Where the buckets that have rows lie, as of version n: as many as tables times buckets at most."""
+        if not n:
+            return {}
+        rows = self.spark.read.schema("name string, bucket int, path string, buckets int").parquet(f"{self.root}/_current/v={n}").collect()
+        self._new_buckets = rows[0]["buckets"]
+        return {(r["name"], r["bucket"]): r["path"] for r in rows if r["path"]}
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key.cast("string")), F.lit(self._new_buckets)).cast("int")
+
+    def buckets_of(self, keys: DataFrame) -> list[int]:
+        """The buckets of all keys (one column): numbers below the number of buckets."""
+        self._entries(self.version())
+        return sorted(r["b"] for r in keys.select(self.bucket(F.col(keys.columns[0])).alias("b")).distinct().collect())
+
+    def read(self, table: str, schema: str, buckets: list[int] | None = None, at: int | None = None) -> DataFrame:
+        """A table, or these buckets of it, as of a version, the current one if not given."""
+        entries = self._entries(self.version() if at is None else at)
+        paths = [f"{self.root}/{p}" for (name, b), p in sorted(entries.items()) if name == table and (buckets is None or b in buckets)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def claim(self, base: int) -> None:
         path = self._path(f"{self.root}/_claims/after={base}")
@@ -239,37 +267,98 @@ class BankStore:
         path = self._path(f"{self.root}/_claims/after={base}")
         self._files(path).delete(path, False)
 
-    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
+    def _stage(self, name: str, df: DataFrame, writer: str, touched: list[int] | None) -> dict[tuple[str, int], str]:
+        """Writes df by buckets; large ones are parted among tasks. With touched, a row of another bucket is an error."""
+        keys = [F.col(c).cast("string") for c in ("hash", "list_id") if c in df.columns]
+        rows = df.withColumn("_bucket", self.bucket(F.coalesce(*keys)) if keys else F.lit(0))
+        if touched is not None:
+            rows = _unless(rows, ~F.col("_bucket").isin(touched), F.raise_error(F.lit(f"a row of {name} outside the buckets that were read")))
+        folder = f"{name}/w={writer}"
+        rows.hint("rebalance", F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        return {(name, int(d.removeprefix("_bucket="))): f"{folder}/{d}" for d in self._names(f"{self.root}/{folder}") if d.startswith("_bucket=")}
+
+    def _point(self, n: int, entries: dict[tuple[str, int], str]) -> int:
+        rows = [(name, b, path, self._new_buckets) for (name, b), path in entries.items()] or [("", 0, None, self._new_buckets)]
+        self.spark.createDataFrame(rows, "name string, bucket int, path string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_current/v={n}")
+        return n
+
+    def commit(self, tables: dict[str, DataFrame], base: int | None = None, touched: dict[str, list[int]] | None = None, patience: int = 60) -> int:
         """Writes tables as the version after base (the one they were made from; the
         current one if not given), then the pointer. Tables that aren't given stay as they
-        are. Any failure leaves the old version current."""
+        are. Any failure leaves the old version current.
+
+        With touched (per table the buckets that were read and are given anew) all other buckets stay, and versions that
+        others made since base count as read, if they changed none of these; else it is an error. The claim is
+        held only while the pointer is written, so a writer waits for another one's, up to `patience` seconds."""
         base = self.version() if base is None else base
-        self.claim(base)
-        n = base + 1
+        writer = uuid.uuid4().hex
+        if touched is None:
+            self.claim(base)
+            try:
+                if self.version() != base:
+                    raise RuntimeError(f"version {base} is no longer current")
+                old = {k: p for k, p in self._entries(base).items() if k[0] not in tables}
+                for name, df in tables.items():
+                    old |= self._stage(name, df, writer, None)
+                return self._point(base + 1, old)
+            except BaseException:
+                self.release(base)
+                raise
+        read = self._entries(base)
+        ours = {(name, b) for name, of in touched.items() for b in of}
+        new: dict[tuple[str, int], str] = {}
+        for name, df in tables.items():
+            new |= self._stage(name, df, writer, touched[name])
+        for left in range(patience, -1, -1):
+            now = self.version()
+            entries = self._entries(now)
+            if any(entries.get(k) != read.get(k) for k in ours):
+                raise RuntimeError(f"another writer has changed the same buckets since version {base}")
+            try:
+                self.claim(now)
+                break
+            except RuntimeError:
+                if not left:
+                    raise
+                time.sleep(1)
         try:
-            if self.version() != base:
-                raise RuntimeError(f"version {base} is no longer current")
-            for name, df in tables.items():
-                df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={n}")
-            pointer = self._tables(base) | {name: n for name in tables}
-            self.spark.createDataFrame([*pointer.items()], "name string, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_current/v={n}")
+            return self._point(now + 1, {k: p for k, p in entries.items() if k not in ours} | new)
         except BaseException:
-            self.release(base)
+            self.release(now)
             raise
-        return n
+
+    def vacuum(self, keep: int = 2, hours: float = 24) -> int:
+        """Deletes versions before the last `keep`, and files that no other names and that are older than `hours` (younger
+        ones may be a writer's that has no version yet). Returns how many buckets' files went."""
+        n = self.version()
+        live = {p for v in range(max(1, n - keep + 1), n + 1) for p in self._entries(v).values()}
+        fs, cut, gone = self._files(self._path(self.root)), 1000 * (time.time() - 3600 * hours), 0
+        for name in [x for x in self._names(f"{self.root}/_current") if int(x[2:]) <= n - keep]:
+            fs.delete(self._path(f"{self.root}/_current/{name}"), True)
+        for table in [x for x in self._names(self.root) if not x.startswith("_")]:
+            for part in [f"{table}/{w}/{b}" for w in self._names(f"{self.root}/{table}") for b in self._names(f"{self.root}/{table}/{w}") if b.startswith("_bucket=")]:
+                path = self._path(f"{self.root}/{part}")
+                if part not in live and fs.getFileStatus(path).getModificationTime() < cut:
+                    gone += bool(fs.delete(path, True))
+        return gone
 
 
 def import_documents(store: BankStore, documents: DataFrame, payload: DataFrame, now: Column | None = None) -> int:
     """Imports documents (hash, file, kind, title, discipline, topic) with their questions
     as one new version: all or nothing, and the same again changes nothing but the time of change. All
-    that is written has one time: now, or the current time."""
+    that is written has one time: now, or the current time. Only the buckets of these documents are read and
+    written, so imports of documents in other buckets may run at the same time."""
     from .. import schema as s
 
     now = F.current_timestamp() if now is None else now
     now = F.lit(store.spark.range(1).select(now.cast("timestamp")).first()[0])
     base = store.version()
-    imports, questions = store.read("imports", s.IMPORT), store.read("questions", s.QUESTION)
-    lists, members = store.read("lists", s.LIST), store.read("members", s.MEMBER)
+    mine = store.buckets_of(documents.select("hash").unionByName(payload.select("hash")))
+    # A list that has lost its origin lies by its id.
+    by_list = sorted({*mine, *store.buckets_of(documents.select(default_list_id()))})
+    touched = {"imports": mine, "questions": mine, "lists": by_list, "members": mine}
+    kinds = {"imports": s.IMPORT, "questions": s.QUESTION, "lists": s.LIST, "members": s.MEMBER}
+    imports, questions, lists, members = [store.read(name, kind, touched[name], base) for name, kind in kinds.items()]
     totals = payload.groupBy("hash").agg(F.count(F.lit(1)).cast("int").alias("total"))
     new_imports = documents.join(totals, "hash").select("hash", "file", F.coalesce("kind", F.lit("lista")).alias("kind"), "title", "total", now.alias("created"), now.alias("updated"))
     own = default_lists(lists, documents, payload, now)
@@ -280,7 +369,7 @@ def import_documents(store: BankStore, documents: DataFrame, payload: DataFrame,
         "questions": import_questions(questions, payload, now).drop("op"),
         "lists": own.drop("op"),
         "members": add_members(members, positions).drop("op"),
-    }, base)
+    }, base, touched)
 
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:

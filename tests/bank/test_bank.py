@@ -210,11 +210,58 @@ def test_two_writers_cant_follow_one_version(spark, store):
 
 
 class Broken:
-    @property
-    def write(self):
+    def __getattr__(self, name):
         raise ZeroDivisionError
 
 
+def test_an_import_touches_its_buckets_only(spark, store):
+    docs = spark.createDataFrame([(f"h{k}", "f.pdf", None, f"T{k}", "d", "t") for k in range(40)], DOCS)
+    many = payload(spark, [(f"h{k}", n, 2000, ["a"]) for k in range(40) for n in (1, 2)])
+    assert bank.import_documents(store, docs, many) == 1
+    before = store._entries(1)
+    assert bank.import_documents(store, docs.where("hash = 'h7'"), payload(spark, [("h7", n, 2001, ["a"]) for n in (1, 2, 3)])) == 2
+    changed = [k for k, p in store._entries(2).items() if before.get(k) != p]
+    assert all(sum(name == table for name, _ in changed) == 1 for table in ("imports", "questions", "members"))
+    assert sum(name == "lists" for name, _ in changed) <= 2
+    years = {(r.hash, r.number): r.year for r in store.read("questions", schema.QUESTION).collect()}
+    assert len(years) == 81 and years["h7", 3] == 2001 and years["h8", 1] == 2000
+    assert store.read("members", schema.MEMBER).count() == 81 and store.read("lists", schema.LIST).count() == 40
+    old = store.read("questions", schema.QUESTION, at=1)
+    assert old.count() == 80 and store.vacuum(keep=2, hours=0) == 0
+    assert store.vacuum(keep=1, hours=0) > 0 and len(tables(store)["questions"]) == 81
+
+
+def test_writers_of_other_buckets_merge(spark, store):
+    rows = spark.createDataFrame([(f"h{k}",) for k in range(40)], "hash string")
+    assert store.commit({"imports": rows}) == 1
+    bucket = {r.hash: r.b for r in rows.select("hash", store.bucket(F.col("hash")).alias("b")).collect()}
+    one = bucket["h0"]
+    other = next(b for b in bucket.values() if b != one)
+    anew = lambda b: store.read("imports", "hash string", [b], 1).where("hash <> 'h0'")
+    assert store.commit({"imports": anew(one)}, 1, {"imports": [one]}) == 2
+    assert store.commit({"imports": anew(other).limit(0)}, 1, {"imports": [other]}) == 3  # it read version 1, too
+    left = {r.hash for r in store.read("imports", "hash string").collect()}
+    assert left == {h for h, b in bucket.items() if h != "h0" and b != other}
+    with pytest.raises(RuntimeError, match="same buckets since version 1"):
+        store.commit({"imports": anew(one)}, 1, {"imports": [one]})
+    with pytest.raises(Exception, match="outside the buckets"):
+        store.commit({"imports": rows}, 3, {"imports": [one]})
+    store.claim(3)
+    with pytest.raises(RuntimeError, match="another writer follows version 3"):
+        store.commit({"imports": anew(one).limit(0)}, 3, {"imports": [one]}, patience=1)
+    assert store.version() == 3
+
+
+def test_a_list_without_origin_is_found_by_its_id(spark, store):
+    docs = spark.createDataFrame([("h1", "f.pdf", None, "T", "d", "t")], DOCS)
+    p = payload(spark, [("h1", 1, 2000, ["a"])])
+    bank.import_documents(store, docs, p)
+    imports, lists = bank.delete_imports(store.read("imports", schema.IMPORT), store.read("lists", schema.LIST), docs.select("hash"))
+    store.commit({"imports": imports, "lists": lists})
+    bank.import_documents(store, docs.withColumn("topic", F.lit("new")), p)
+    assert [(r.hash, r.topic) for r in store.read("lists", schema.LIST).collect()] == [(None, "new")]
+
+
 def test_text_that_looks_like_a_group_reference(spark):
     row = spark.range(1).select(t.replace_figures(F.lit("![](figura:Q1) figura:Q11"), F.array(F.struct(F.lit("Q1").alias("name"), F.lit("https://a/$1\\b").alias("url")))).alias("x")).first()
     assert row.x == "![](https://a/$1\\b) figura:Q11"
