@@ -37,7 +37,7 @@ def test_each_stage_equals_brute_force(spark, sf_dir):
 
 
 def test_queries_are_registered():
-    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
