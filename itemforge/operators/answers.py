@@ -78,35 +78,36 @@ def answer_keys(questions: DataFrame, turns: DataFrame, answers: DataFrame) -> t
     return found.where("complete").select("doc", "number", "letter"), summary
 
 
-def figure_letters(figures: DataFrame, pieces: DataFrame) -> DataFrame:
+def figure_letters(figures: DataFrame, pieces: DataFrame, keys: list[str] = ON) -> DataFrame:
     """figures (doc, page, ord, x0, y0, x1, y1) with letter, that of the nearest piece (doc, page, text, x0, x1, base,
     height) that is a letter, alone or before a bracket or stop, left of the figure's upper corner; null
-    without one. Distances are sums of those along either axis; ties go to the first letter."""
+    without one. Distances are sums of those along either axis; ties go to the first letter. keys (of a page, or of a
+    part of one) bound what meets."""
     mark = F.regexp_replace(t.strip(F.col("text")), r"[).]$", "")
     centre = F.col("base") - 0.4 * F.col("height")
-    letters = pieces.where(mark.rlike(LETTER)).select(*ON, mark.alias("letter"), F.col("x1").alias("_x"), centre.alias("_y"))
+    letters = pieces.where(mark.rlike(LETTER)).select(*keys, mark.alias("letter"), F.col("x1").alias("_x"), centre.alias("_y"))
     letters = letters.withColumns({"cx": _cell(F.col("_x"), CELL_X), "cy": _cell(F.col("_y"), CELL_Y)})
     low = F.col("y0") + BELOW * (F.col("y1") - F.col("y0"))
     f = figures.withColumn("cx", F.explode(F.sequence(_cell(F.col("x0") - LEFT[1], CELL_X), _cell(F.col("x0") - LEFT[0], CELL_X))))
     f = f.withColumn("cy", F.explode(F.sequence(_cell(F.col("y0") - ABOVE, CELL_Y), _cell(F.greatest(low, F.col("y0")), CELL_Y))))
     dx = F.col("x0") - F.col("_x")
-    near = f.join(letters, [*ON, "cx", "cy"]).where(dx.between(*LEFT) & (F.col("_y") >= F.col("y0") - ABOVE) & (F.col("_y") <= low))
-    found = near.groupBy(*ON, "ord").agg(F.min_by("letter", F.struct((F.abs(dx) + F.abs(F.col("_y") - F.col("y0"))).alias("d"), "letter")).alias("letter"))
-    return figures.join(found, [*ON, "ord"], "left")
+    near = f.join(letters, [*keys, "cx", "cy"]).where(dx.between(*LEFT) & (F.col("_y") >= F.col("y0") - ABOVE) & (F.col("_y") <= low))
+    found = near.groupBy(*keys, "ord").agg(F.min_by("letter", F.struct((F.abs(dx) + F.abs(F.col("_y") - F.col("y0"))).alias("d"), "letter")).alias("letter"))
+    return figures.join(found, [*keys, "ord"], "left")
 
 
-def host_lines(marks: DataFrame, lines: DataFrame, side: float = 20.0) -> DataFrame:
+def host_lines(marks: DataFrame, lines: DataFrame, side: float = 20.0, keys: list[str] = ON) -> DataFrame:
     """(doc, page, ord, line): the line of text in which a formula stands, null if it has one of its own. A line
     hosts what covers half its height, or its centre; of several that with the largest part of it, then
     the first. marks (doc, page, ord, y0, y1) and lines (doc, page, line, y0, y1) meet by cells of `side` points."""
     cells = lambda a, b: F.explode(F.sequence(_cell(F.col(a), side), _cell(F.greatest(F.col(a), F.col(b)), side)))
-    l = lines.select(*ON, "line", F.col("y0").alias("_y0"), F.col("y1").alias("_y1")).withColumn("cell", cells("_y0", "_y1"))
+    l = lines.select(*keys, "line", F.col("y0").alias("_y0"), F.col("y1").alias("_y1")).withColumn("cell", cells("_y0", "_y1"))
     m = marks.withColumn("cell", cells("y0", "y1"))
     shared = F.least("y1", "_y1") - F.greatest("y0", "_y0")
     centre = (F.col("_y0") + F.col("_y1")) / 2
     hosts = (shared >= 0.5 * (F.col("_y1") - F.col("_y0"))) | ((shared > 0) & (centre > F.col("y0")) & (centre < F.col("y1")))
-    met = m.join(l, [*ON, "cell"]).where(hosts).groupBy(*ON, "ord").agg(F.min_by("line", F.struct((-shared).alias("s"), "line")).alias("line"))
-    return marks.select(*ON, "ord").join(met, [*ON, "ord"], "left")
+    met = m.join(l, [*keys, "cell"]).where(hosts).groupBy(*keys, "ord").agg(F.min_by("line", F.struct((-shared).alias("s"), "line")).alias("line"))
+    return marks.select(*keys, "ord").join(met, [*keys, "ord"], "left")
 
 
 def placed_marks(lines: Column, marks: Column) -> Column:

@@ -338,7 +338,7 @@ WITH {_N} SELECT CAST(l_orderkey AS VARCHAR) AS hash, number, p_type AS statemen
   (SELECT count(*) FROM n x WHERE x.l_orderkey = n.l_orderkey)::INTEGER AS total FROM n JOIN part ON l_partkey = p_partkey""")
 def bank_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bank after the same documents came in twice; some questions were published between."""
-    store = bank.BankStore(spark, f"{_shared(spark)}/bank-{spark.range(1).select(F.uuid()).first()[0]}")
+    store = bank.BankStore(spark, f"{shared(spark)}/bank-{spark.range(1).select(F.uuid()).first()[0]}")
     n = numbered_lines(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
     kinds = {f.split()[0]: f.split(" ", 1)[1] for f in _fields(schema.QUESTION)}
     have = {"hash": F.col("l_orderkey").cast("string"), "number": _n(), "statement": F.col("p_type"), "year": F.year("l_shipdate"), "subjects": F.array("p_type")}
@@ -358,7 +358,7 @@ SELECT hash, CASE WHEN saved THEN 'mine' ELSE 'Lista de T' || hash END AS name,
 def bank_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents come in on day 1; on day 2 half of their lists are deleted and saved anew under other ids, with the
     same origin; on day 3 the documents come in again. Times are days; moved: the list is the one saved."""
-    store = bank.BankStore(spark, f"{_shared(spark)}/bank-{spark.range(1).select(F.uuid()).first()[0]}")
+    store = bank.BankStore(spark, f"{shared(spark)}/bank-{spark.range(1).select(F.uuid()).first()[0]}")
     n = numbered_lines(spark, sf_dir)
     day = lambda k: F.lit(f"2026-01-0{k} 00:00:00").cast("timestamp")
     kinds = {f.split()[0]: f.split(" ", 1)[1] for f in _fields(schema.QUESTION)}
@@ -381,7 +381,7 @@ def bank_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(when, "hash").select("hash", "name", F.day("created").alias("created"), F.day("updated").alias("updated"), "import_created", "import_updated", F.col("list_id").startswith("own-").alias("moved"))
 
 
-def _shared(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share; local mode may make one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local"):
