@@ -225,9 +225,10 @@ def bold_marked(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)^(\s*)(.*?)(\s*)$", r"$1**$2**$3")
 
 
-def search_text(text: Column, letters: int = 400) -> Column:
+def search_text(text: Column, letters: int | None = None) -> Column:
+    """text without pictures and markup, of a whole text or its first letters."""
     plain = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)|[$*_#>|\\]", " ")
-    return F.substring(squeeze(plain), 1, letters)
+    return squeeze(plain) if letters is None else F.substring(squeeze(plain), 1, letters)
 
 
 def first_words(text: Column, n: int = 40) -> Column:

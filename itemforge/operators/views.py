@@ -27,7 +27,7 @@ def question_rows(questions: DataFrame, issues: DataFrame, doc: str = "doc") ->
     """Light rows with a stable id and counts of issues."""
     per = issues.groupBy(doc, "number").agg(F.count_if(F.col("severity") == "E").alias("errors"), F.count_if(F.col("severity") == "W").alias("warnings"))
     q = questions.join(per, [doc, "number"], "left")
-    return q.select(F.concat_ws("/", doc, t.two_digits(F.col("number"))).alias("id"), doc, "number", "title", "institution", "year", "discipline", "topic", "subjects", "difficulty", "stage", t.search_text(F.col("statement")).alias("search"), F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"))
+    return q.select(F.concat_ws("/", doc, t.two_digits(F.col("number"))).alias("id"), doc, "number", "title", "institution", "year", "discipline", "topic", "subjects", "difficulty", "stage", t.search_text(F.col("statement"), 400).alias("search"), F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"))
 
 
 def review_rows(rows: DataFrame, show: str = "all") -> DataFrame:

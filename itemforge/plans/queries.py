@@ -116,7 +116,7 @@ def bank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "number", "institution", F.col("year").cast("long").alias("year"))
 
 
-_SEARCH = r"substr(trim(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)|[$*_#>|\\]', ' ', 'g'), '\s+', ' ', 'g')), 1, 400)"
+_SEARCH = r"trim(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)|[$*_#>|\\]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(rf"""
@@ -343,7 +343,7 @@ def max_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400
     x = numbered_lines(spark, sf_dir).select("l_orderkey", "number", day.alias("lo"), (day + F.col("l_quantity")).alias("hi"))
     right = x.where("number % 2 = 0").select("l_orderkey", F.col("number").alias("other"), F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
-    return spatial.most_overlap(x.where("number % 2 = 1"), right, ["l_orderkey"], ["l_orderkey", "number"], "other", "most")
+    return spatial.most_overlap(x.where("number % 2 = 1"), right, ["l_orderkey"], ["l_orderkey", "number"], "other", "most", side=30)
 
 
 @query("""
