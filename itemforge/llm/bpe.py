@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ENTRY_BYTES, MEMO_BYTES, worker_store
+from .common import Memo, worker_store
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -106,22 +107,28 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """BPE ids of word: merge the adjacent pair of lowest rank, the leftmost of
     equals, until no pair is in the vocabulary."""
     n = len(word)
-    stop = list(range(1, n + 1))  # where the run that begins at i ends; 0: i begins none
-    before = list(range(-1, n - 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
+    rank_of = ranks.get
+    stop = list(range(1, n + 1))  # where the run that begins at i ends
+    before = list(range(-1, n))  # where the run before the one that begins at i begins
+    pair = [rank_of(word[i : i + 2], -1) for i in range(n - 1)]  # rank of the run that begins at i with the next; -1: none
+    pair.append(-1)
+    heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+    heapify(heap)
     while heap:
-        _, i, end = heapq.heappop(heap)
-        j = stop[i]
-        if not j or j >= n or stop[j] != end:
+        r, i = divmod(heappop(heap), n)
+        if pair[i] != r:
             continue  # one side has been merged since
-        stop[i], stop[j] = end, 0
-        if end < n:
-            before[end] = i
-            if (r := ranks.get(word[i : stop[end]])) is not None:
-                heapq.heappush(heap, (r, i, stop[end]))
-        if (p := before[i]) >= 0 and (r := ranks.get(word[p:end])) is not None:
-            heapq.heappush(heap, (r, p, end))
+        j = stop[i]
+        end = stop[j]
+        stop[i], pair[j] = end, -1
+        before[end] = i
+        pair[i] = r = rank_of(word[i : stop[end]], -1) if end < n else -1
+        if r >= 0:
+            heappush(heap, r * n + i)
+        if (p := before[i]) >= 0:
+            pair[p] = r = rank_of(word[p:end], -1)
+            if r >= 0:
+                heappush(heap, r * n + p)
     out, i = [], 0
     while i < n:
         out.append(ranks[word[i : stop[i]]])
@@ -137,7 +144,7 @@ _ODD_SPACES = _ASCII_SPACES + tuple("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u300
 
 
 class Codec:
-    """Encodes texts to uint32 bytes and decodes them, with memos."""
+    """Encodes texts to uint32 bytes and decodes them, with a memo of pre-tokens and pieces."""
 
     def __init__(self, tokens: list[bytes], pattern: str, table: PerfectHash, table_ids: list[int]):
         import regex
@@ -147,52 +154,44 @@ class Codec:
         self.table, self.table_ids = table, table_ids
         spaced = pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
         self.split = regex.compile(spaced).findall
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.held = 0
+        self.memo = Memo()
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         keys = [w.encode() for w in words]
-        found = self.table.find(keys)
-        for w, key, f in zip(words, keys, found.tolist()):
+        for w, key, f in zip(words, keys, self.table.find(keys).tolist()):
             i = self.table_ids[f]
             ids = [i] if self.tokens[i] == key else merge_bytes(key, self.ranks)
-            self.words[w] = np.array(ids, "<u4").tobytes()
-            self.held += ENTRY_BYTES + len(w) + 4 * len(ids)
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        split = [self.split(p) for p in pieces]
-        new = [w for w in {w for s in split for w in s} if w not in self.words]  # a set difference would walk the whole memo
-        if new:
-            self._learn_words(new)
-        for p, s in zip(pieces, split):
-            self.pieces[p] = b"".join([self.words[w] for w in s])
-            self.held += ENTRY_BYTES + len(p) + len(self.pieces[p])
+            self.memo.keep(w, struct.pack(f"<{len(ids)}I", *ids))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A text in which white space is single spaces and line ends, no line end
         before a space, splits at its spaces: no pre-token reaches across one, and
-        a space belongs to what follows it. Other texts are one piece."""
-        if self.held > MEMO_BYTES:
-            self.pieces.clear()
-            self.words.clear()
-            self.held = 0
-        split, whole = [], set()
+        a space belongs to what follows it. Other texts are split as they are. A piece
+        that is one pre-token is in the memo once."""
+        memo = self.memo
+        memo.turn()
+        split, pieces, words = [], set(), set()
         for t in texts:
-            if "  " in t or "\n " in t or any(c in t for c in (_ASCII_SPACES if t.isascii() else _ODD_SPACES)):
-                parts = [t]
-                whole.add(t)
+            if "  " in t or "\n " in t or "\0" in t or any(c in t for c in (_ASCII_SPACES if t.isascii() else _ODD_SPACES)):
+                parts = self.split(t)
+                words.update(parts)
             else:
-                parts = t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t]
+                parts = t.replace(" ", "\0 ").split("\0")
+                pieces.update(parts)
             split.append(parts)
-        new = [p for p in {p for s in split for p in s} if p and p not in self.pieces]
-        if new:
-            self._learn_pieces(new)
-        self.pieces[""] = b""
-        out = [b"".join([self.pieces[p] for p in s]) for s in split]
-        for t in whole:  # texts are not worth keeping
-            self.held -= ENTRY_BYTES + len(t) + len(self.pieces.pop(t, b""))
-        return out
+        whole, parted = set(), []
+        for p in memo.unknown(pieces):
+            if len(s := self.split(p)) == 1:
+                whole.add(p)
+            else:
+                parted.append((p, s))
+                words.update(s)
+        whole.update(memo.unknown(words))
+        self._learn([*whole])
+        known = memo.young
+        for p, s in parted:
+            memo.keep(p, b"".join([known[w] for w in s]))
+        return [b"".join([known[p] for p in s]) for s in split]
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens

@@ -66,11 +66,42 @@ def worker_store(name: str) -> dict:
 
 
 #: Bytes that a worker's memo may hold, about.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 192 << 20
 #: What an entry of a memo takes besides its letters and ids, about.
 ENTRY_BYTES = 200
 
 
+class Memo:
+    """Results (bytes) by text, about MEMO_BYTES of them at most, in two generations of
+    half of it each. What is asked for is in the young one or moves there; when that is
+    full it becomes the old one, and the old one goes with what nobody asked for since."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def turn(self) -> None:
+        """To be called between two batches: all that a batch asked for or kept is in `young` until then."""
+        if self.held > MEMO_BYTES // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+
+    def keep(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+        self.held += ENTRY_BYTES + len(key) + len(value)
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """Those of keys that are to be learned."""
+        young, old, new = self.young, self.old, []
+        for k in keys:  # a set difference would walk the whole memo
+            if k not in young:
+                if (v := old.get(k)) is None:
+                    new.append(k)
+                else:
+                    self.keep(k, v)
+        return new
+
+
 def text_crc32(col):
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
 

@@ -104,3 +104,21 @@ def test_bpe_rows(spark):
     assert [r.n_tokens for r in rows] == [1, 0, 0, 1]
     assert rows[1].ids_sha256 == hashlib.sha256(b"").hexdigest() and bytes(rows[0].decoded) == b"hello"
     assert bpe_roundtrip(docs_of(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_memo_keeps_what_is_used(monkeypatch):
+    """A long tail of words seen once fills the memo many times: a frequent word is still merged once, and
+    not again after each filling."""
+    import itemforge.llm.bpe as B
+    import itemforge.llm.common as C
+
+    merged, merge = [], B.merge_bytes
+    monkeypatch.setattr(C, "MEMO_BYTES", 1 << 17)
+    monkeypatch.setattr(B, "merge_bytes", lambda word, ranks: merged.append(word) or merge(word, ranks))
+    tokens, encoding = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), tiktoken_encoding()
+    codec = Codec(tokens, public_tokenizers.PATTERN, PerfectHash(tokens), list(range(len(tokens))))
+    for k in range(40):
+        text = "qzvxqzvx " + " ".join(f"zq{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}vx" for i in range(200)) + " qzvxqzvx."
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == encoding.encode_ordinary(text)
+    assert merged.count(b" qzvxqzvx") == 1 and merged.count(b"qzvxqzvx") == 1
+    assert sum(C.ENTRY_BYTES + len(w) + len(i) for g in (codec.memo.young, codec.memo.old) for w, i in g.items()) < 2 * C.MEMO_BYTES
