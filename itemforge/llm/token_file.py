@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ENTRY_BYTES, MEMO_BYTES, new_path, worker_store
+from .common import Memo, new_path, worker_store
 
 BLOCK = 1 << 18
 
@@ -74,7 +74,7 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
 
     store = worker_store("chunks:" + tokenizer_json[:64] + str(len(tokenizer_json)))
     if "tok" not in store:
-        store["tok"], store["memo"], store["held"] = Tokenizer.from_str(tokenizer_json), {}, 0
+        store["tok"], store["memo"] = Tokenizer.from_str(tokenizer_json), Memo()
     tok, memo = store["tok"], store["memo"]
 
     def as_bytes(ids) -> bytes:
@@ -92,16 +92,10 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
             cut = np.searchsorted(first, starts)
             cut = [*cut.tolist(), len(ids)]
             for k, c in enumerate(part):
-                keep(c, ids[cut[k] : cut[k + 1]].tobytes())
-
-    def keep(chunk: str, ids: bytes) -> None:
-        memo[chunk] = ids
-        store["held"] += ENTRY_BYTES + len(chunk) + len(ids)
+                memo.keep(c, ids[cut[k] : cut[k + 1]].tobytes())
 
     def encode(texts: list[str]) -> list[bytes]:
-        if store["held"] > MEMO_BYTES:
-            memo.clear()
-            store["held"] = 0
+        memo.turn()
         split: list[list[str] | None] = []
         fresh: set[str] = set()
         for t in texts:
@@ -118,16 +112,16 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
                 words = t.split()
             split.append(words)
             fresh.update(words)
-        fresh = {c for c in fresh if c not in memo}  # a set difference would walk the whole memo
-        if fresh:
-            ends = [c for c in fresh if c[-1] in ".," and c[:-1].isalpha()]
-            base = {c for c in fresh if not (c[-1] in ".," and c[:-1].isalpha())}
+        new, known = memo.unknown(fresh), memo.young
+        ends = [c for c in new if c[-1] in ".," and c[:-1].isalpha()]
+        base = {c for c in new if not (c[-1] in ".," and c[:-1].isalpha())}
+        if ends:
             base.update(c[:-1] for c in ends)
             base.update(".,")
-            learn([c for c in base if c not in memo])
-            for c in ends:  # a letter run and the mark behind it are two pre-tokens
-                keep(c, memo[c[:-1]] + memo[c[-1]])
-        return [as_bytes(tok.encode(t, add_special_tokens=False).ids) if w is None else b"".join([memo[c] for c in w]) for t, w in zip(texts, split)]
+        learn(memo.unknown(base))
+        for c in ends:  # a letter run and the mark behind it are two pre-tokens
+            memo.keep(c, known[c[:-1]] + known[c[-1]])
+        return [as_bytes(tok.encode(t, add_special_tokens=False).ids) if w is None else b"".join([known[c] for c in w]) for t, w in zip(texts, split)]
 
     return encode
 

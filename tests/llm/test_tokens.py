@@ -122,3 +122,21 @@ def test_memo_keeps_what_is_used(monkeypatch):
         assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == encoding.encode_ordinary(text)
     assert merged.count(b" qzvxqzvx") == 1 and merged.count(b"qzvxqzvx") == 1
     assert sum(C.ENTRY_BYTES + len(w) + len(i) for g in (codec.memo.young, codec.memo.old) for w, i in g.items()) < 2 * C.MEMO_BYTES
+
+
+def test_chunks_in_use_are_learned_once(monkeypatch):
+    """However often a long tail fills the memo."""
+    import itemforge.llm.common as C
+    from tokenizers import Tokenizer
+
+    learned, unknown = [], C.Memo.unknown
+    monkeypatch.setattr(C, "MEMO_BYTES", 1 << 17)
+    monkeypatch.setattr(C.Memo, "unknown", lambda memo, keys: learned.extend(new := unknown(memo, keys)) or new)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    C.worker_store("")
+    tok, encode = Tokenizer.from_file(path), chunk_encoder(open(path).read())
+    for k in range(40):
+        text = "qzvxqzvx " + " ".join(f"zq{k}x{i}" for i in range(200)) + " other,"
+        assert np.frombuffer(encode([text])[0], np.uint32).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert learned.count("qzvxqzvx") == 1 and learned.count("other,") == 1 and learned.count("zq1x1") == 1
+    C.worker_store("")
