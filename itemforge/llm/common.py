@@ -140,20 +140,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     connected with. Alternates large-star and small-star steps, which need
     O(log n) rounds on chains and never gather a component in one task: each
     step is a min per node (combined before the shuffle) and a join on node,
-    where AQE splits hot nodes. Each round is written to the shared folder. If edges
-    still change after so many rounds, that is an error."""
-    spark = edges.sparkSession
+    where AQE splits hot nodes. Each round is written to the shared folder; the last is
+    the one that leaves nothing but stars around least nodes. If there is more than that
+    after so many rounds, that is an error."""
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     e = edges.where("a <> b").select(hi.alias("a"), lo.alias("b")).distinct()
     e = materialize(e, "cc")
-    before = None
     for _ in range(rounds):
-        # Large star: every larger neighbour of a node is tied to the node's least neighbour.
+        # Large star: every larger neighbour of a node is tied to the node's least neighbour; a row an edge.
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: the smaller neighbours of a node, and the node, are tied to the least of them.
-        large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(low, "a")
@@ -163,11 +161,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct()
         )
         e = materialize(small, "cc")
-        # Sums over all edges, which stop changing exactly when the edges do.
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        # Stars: no node has two smaller neighbours, or a smaller and a larger one.
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x"))
+        nodes = ends.select("x.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not nodes.agg(F.max((F.col("up") + F.col("down") > 1) & (F.col("up") > 0))).first()[0]:
             break
-        before = now
     else:
         raise RuntimeError(f"components still change after {rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()

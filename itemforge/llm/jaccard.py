@@ -202,10 +202,18 @@ class _Union:
         self.up[max(i, j)] = min(i, j)
         return i != j
 
+    def stars(self, names: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """What is tied, each name with the least one that it is tied with."""
+        roots = [self.find(i) for i in range(len(names))]
+        least: dict[int, bytes] = {}
+        for r, x in zip(roots, names):
+            least[r] = min(x, least.get(r, x))
+        return [(x, least[r]) for r, x in zip(roots, names) if x != least[r]]
+
 
 def bucket_links(similarity: float, cut: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Brute force in each bucket (or two blocks of a large one) by sketches; yields
-    the links of a spanning forest, fewer than the bucket has sets."""
+    stars of what links tie, fewer rows than the bucket has sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[bytes] = []
@@ -221,9 +229,10 @@ def bucket_links(similarity: float, cut: int) -> Callable[[Iterator[pa.RecordBat
                 alike = (sketch[i + 1 :] == sketch[i]).sum(1) >= cut
                 alike &= np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :]) - 1e-9
                 for j in (np.flatnonzero(alike) + i + 1).tolist():
-                    if ties.tie(i, j):
-                        a.append(node[i])
-                        b.append(node[j])
+                    ties.tie(i, j)
+            for x, y in ties.stars(node):
+                a.append(x)
+                b.append(y)
             if len(a) > 10000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
                 a, b = [], []
@@ -295,7 +304,7 @@ def _bucket_rows(sets: DataFrame, levels: int, whole: Callable[[DataFrame], Data
 def exact_links(n: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """All similarities of a pair of blocks, from whole sets. Yields per set how many
     documents it links to there (each link's weight is the other set's copies), and
-    the links of a spanning forest."""
+    stars of what the links tie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -315,7 +324,6 @@ def exact_links(n: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]
             mark = np.zeros(len(distinct), np.int32)
             links = np.zeros(len(node), np.int64)
             ties = _Union(len(node))
-            forest: list[tuple[int, int]] = []
             for i in range(len(node) - 1):
                 stop = int(np.searchsorted(size, size[i] / similarity + 1e-9, side="right"))
                 if stop <= i + 1:
@@ -333,11 +341,11 @@ def exact_links(n: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]
                 links[i] += copies[found].sum()
                 links[found] += copies[i]
                 for j in found.tolist():
-                    if ties.tie(i, j):
-                        forest.append((i, j))
+                    ties.tie(i, j)
+            forest = ties.stars(node)
             rows = np.flatnonzero(links).tolist()
-            a = [node[i] for i in rows] + [node[i] for i, _ in forest]
-            b = [None] * len(rows) + [node[j] for _, j in forest]
+            a = [node[i] for i in rows] + [x for x, _ in forest]
+            b = [None] * len(rows) + [y for _, y in forest]
             c = [int(links[i]) for i in rows] + [0] * len(forest)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], names=["a", "b", "links"])
@@ -411,7 +419,7 @@ def _classes(rows: DataFrame, n: int, similarity: float, recall: float) -> DataF
     sets = materialize(sets, "sets")
     dealt = _bucket_rows(sets, LEVELS, lambda nodes: _whole_sets(rows, nodes.join(alone, "node").select("node", "least", "th"), n).dropDuplicates(["node"]))
     dealt = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2", "node")
-    links = materialize(dealt.mapInArrow(bucket_links(similarity, sketch_cut(recall, similarity)), "a binary, b binary").distinct(), "bucket-links")
+    links = materialize(dealt.mapInArrow(bucket_links(similarity, sketch_cut(recall, similarity)), "a binary, b binary"), "bucket-links")
     counted = _count_links(rows, links, alone, sets.select("node", "size"), n, similarity)
     forest = counted.where("b is not null").select("a", "b")
     groups = connected_components(forest)

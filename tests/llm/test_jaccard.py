@@ -140,3 +140,23 @@ def test_rows_without_ids_cost_what_others_do(spark):
     got = similar_documents(spark.createDataFrame([(None, t, "", "") for t in docs], DOCS)).collect()
     want = brute(list(enumerate(docs)))
     assert sorted(r.n_links for r in got) == sorted(n for _, n in want.values())
+
+
+def test_components_end_with_the_round_that_makes_stars(spark, monkeypatch):
+    """A round more only to see that nothing changes is tasks for nothing, and so are links in chains."""
+    import itemforge.llm.common as C
+
+    written, write = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name: written.append(name) or write(df, name))
+    stars = [(10 * k + i, 10 * k) for k in range(5) for i in range(1, 9)]
+    got = {r.node: r.comp for r in C.connected_components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: i // 10 * 10 for i in range(50) if i % 10 < 9} and len(written) == 2
+    rng = random.Random(5)
+    order = rng.sample(range(300), 300)
+    chains = [e for k in range(0, 300, 60) for e in zip(order[k : k + 60], order[k + 1 : k + 60])]
+    got = {r.node: r.comp for r in C.connected_components(spark.createDataFrame(chains + chains[:9], "a long, b long")).collect()}
+    assert got == {i: min(order[k : k + 60]) for k in range(0, 300, 60) for i in order[k : k + 60]}
+    assert C.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    ties = J._Union(5)
+    ties.tie(1, 3), ties.tie(3, 4)
+    assert ties.stars([b"e", b"d", b"c", b"b", b"a"]) == [(b"d", b"a"), (b"b", b"a")]
