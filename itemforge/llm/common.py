@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +90,12 @@ class Memo:
         self.young[key] = value
         self.held += ENTRY_BYTES + len(key) + len(value)
 
-    def unknown(self, keys: set[str]) -> list[str]:
-        """Those of keys that are to be learned."""
+    def keep_all(self, keys: list[str], values: list[bytes]) -> None:
+        self.young.update(zip(keys, values))
+        self.held += ENTRY_BYTES * len(keys) + sum(map(len, keys)) + sum(map(len, values))
+
+    def unknown(self, keys: Iterable[str]) -> list[str]:
+        """Those of keys (each of them once) that are to be learned."""
         young, old, new = self.young, self.old, []
         for k in keys:  # a set difference would walk the whole memo
             if k not in young:

@@ -16,18 +16,22 @@ lost executors and repeated task attempts leave no partial block behind.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, new_path, worker_store
 
 BLOCK = 1 << 18
+#: Letters that are encoded at a time, and at least a document.
+LETTERS = 1 << 22
 
 
 def bits_for(vocab: int) -> int:
@@ -37,7 +41,10 @@ def bits_for(vocab: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """64 ids fill exactly `bits` words: each of the 64 places has a fixed word and
-    shift, so every step works on all groups of 64 at once."""
+    shift, so every step works on all groups of 64 at once. 8, 16 or 32 bits are whole
+    numbers of that width."""
+    if bits in (8, 16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes().ljust(-(-len(ids) * bits // 64) * 8, b"\0")
     n = -(-len(ids) // 64)
     grid = np.zeros((n, 64), np.uint64)
     grid.reshape(-1)[: len(ids)] = ids
@@ -52,6 +59,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids start..stop of a payload, as uint32; only their words are touched."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(payload, f"<u{bits // 8}")[start:stop].astype(np.uint32)
     words = np.frombuffer(payload, "<u8")
     at = np.arange(start, stop, dtype=np.uint64) * np.uint64(bits)
     w, s = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
@@ -67,61 +76,89 @@ def chunk_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
 
     The tokenizer's pre-tokens never cross white space and its normalizer works
     on each character, so a text is its white-space chunks one after the other.
-    Each chunk is encoded once and kept in the worker's memo. Texts for which
-    this does not hold surely are encoded whole.
+    Arrow parts texts into chunks and numbers the distinct ones, each of which is
+    encoded once and kept in the worker's memo; their ids are taken by number. Most
+    are a run of letters, perhaps with marks behind it: these are two pre-tokens, and
+    runs that are normalized already go to the library's model without normalizer
+    and pattern. Texts for which this does not hold surely are encoded whole.
     """
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     store = worker_store("chunks:" + tokenizer_json[:64] + str(len(tokenizer_json)))
     if "tok" not in store:
         store["tok"], store["memo"] = Tokenizer.from_str(tokenizer_json), Memo()
-    tok, memo = store["tok"], store["memo"]
+        store["runs"] = Tokenizer(store["tok"].model)
+        store["runs"].pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocab = getattr(store["tok"].model, "end_of_word_suffix", None), store["tok"].get_vocab()
+        store["last"] = np.zeros(max(vocab.values()) + 1, bool)  # the ids that end a pre-token
+        store["last"][[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+    tok, memo, runs, last = store["tok"], store["memo"], store["runs"], store["last"]
 
     def as_bytes(ids) -> bytes:
         return np.array(ids, np.uint32).tobytes()
 
+    def keep_cut(part: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        data, ends = ids.tobytes(), (ends * 4).tolist()
+        memo.keep_all(part, [data[a:b] for a, b in zip([0, *ends], ends)])
+
     def learn(new: list[str]) -> None:
         """Encodes all new chunks as one text and cuts the ids at chunk starts."""
         for at in range(0, len(new), 2000):
             part = new[at : at + 2000]
             e = tok.encode(" ".join(part), add_special_tokens=False)
-            lengths = np.array([len(c) for c in part]) + 1
-            starts = np.cumsum(lengths) - lengths
-            ids = np.array(e.ids, np.uint32)
-            first = np.array([o[0] for o in e.offsets], np.int64) if e.ids else np.zeros(0, np.int64)
-            cut = np.searchsorted(first, starts)
-            cut = [*cut.tolist(), len(ids)]
-            for k, c in enumerate(part):
-                memo.keep(c, ids[cut[k] : cut[k + 1]].tobytes())
+            starts = np.cumsum([len(c) + 1 for c in part])
+            first = np.array([o[0] for o in e.offsets], np.int64)
+            keep_cut(part, np.array(e.ids, np.uint32), np.searchsorted(first, starts))
+
+    def learn_runs(new: list[str]) -> None:
+        """The same for runs of letters, one pre-token each: ids are cut behind those that end one."""
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            ids = np.array(runs.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) == len(part):
+                keep_cut(part, ids, ends)
+            else:  # a vocabulary without such ends
+                learn(part)
 
     def encode(texts: list[str]) -> list[bytes]:
         memo.turn()
-        split: list[list[str] | None] = []
-        fresh: set[str] = set()
+        plain: list[str | None] = []
         for t in texts:
             if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f"):
-                split.append(None)
+                plain.append(None)
                 continue
             try:  # Latin-1 holds no combining mark and no letter whose case depends on its neighbours
                 t.encode("latin-1")
-                words = t.lower().split()
+                t = t.lower()
+                plain.append(" ".join(t.split()) if "\x85" in t or "\xa0" in t else t)
             except UnicodeEncodeError:
-                if not unicodedata.is_normalized("NFC", t):
-                    split.append(None)
-                    continue
-                words = t.split()
-            split.append(words)
-            fresh.update(words)
-        new, known = memo.unknown(fresh), memo.young
-        ends = [c for c in new if c[-1] in ".," and c[:-1].isalpha()]
-        base = {c for c in new if not (c[-1] in ".," and c[:-1].isalpha())}
-        if ends:
-            base.update(c[:-1] for c in ends)
-            base.update(".,")
-        learn(memo.unknown(base))
-        for c in ends:  # a letter run and the mark behind it are two pre-tokens
-            memo.keep(c, known[c[:-1]] + known[c[-1]])
-        return [as_bytes(tok.encode(t, add_special_tokens=False).ids) if w is None else b"".join([known[c] for c in w]) for t, w in zip(texts, split)]
+                plain.append(" ".join(t.split()) if unicodedata.is_normalized("NFC", t) else None)
+        parts = pc.ascii_split_whitespace(pa.array([t for t in plain if t is not None], pa.string()))
+        numbers = parts.flatten().dictionary_encode()
+        chunks = numbers.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes five times as long
+        other, letters, marked = [], [], []
+        for c in memo.unknown(chunks):
+            run = c.rstrip(string.punctuation)
+            if not (run.isalpha() and (run.isascii() or max(run) <= "\xff") and run == run.lower()):
+                other.append(c)
+            elif len(run) == len(c):
+                letters.append(c)
+            else:
+                marked.append((c, run, c[len(run) :]))
+        learn([c for c in other if c])
+        memo.keep("", b"")  # before leading white space and after trailing one
+        learn_runs(letters)
+        learn_runs(memo.unknown({run for _, run, _ in marked}))
+        learn(memo.unknown({marks for _, _, marks in marked}))
+        known = memo.young
+        memo.keep_all([c for c, _, _ in marked], [known[run] + known[marks] for _, run, marks in marked])
+        taken = pa.array([known[c] for c in chunks], pa.large_binary()).take(numbers.indices)
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, np.int64)[parts.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        found = iter([data[a:b].tobytes() for a, b in zip(ends, ends[1:])])
+        return [next(found) if p is not None else as_bytes(tok.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, plain)]
 
     return encode
 
@@ -166,9 +203,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return out
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for i, b in zip(ids[at : at + 256], encode([t or "" for t in texts[at : at + 256]])):
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            full = np.cumsum([len(t) for t in texts]) // LETTERS
+            cuts = [0, *(np.flatnonzero(full[1:] != full[:-1]) + 1).tolist(), len(texts)]
+            for at, to in zip(cuts, cuts[1:]):
+                for i, b in zip(ids[at:to], encode(texts[at:to])):
                     ids_in.append(i)
                     data.append(b + end)
                     size += len(b) // 4 + 1

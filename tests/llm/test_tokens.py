@@ -140,3 +140,38 @@ def test_chunks_in_use_are_learned_once(monkeypatch):
         assert np.frombuffer(encode([text])[0], np.uint32).tolist() == tok.encode(text, add_special_tokens=False).ids
     assert learned.count("qzvxqzvx") == learned.count("zq1x1") and learned.count("other,") == 1  # as often as a chunk that is there once
     C.worker_store("")
+
+
+def test_marks_behind_letters_are_not_encoded_with_them(monkeypatch):
+    """However many marks are seen behind a word, its letters go to the library once."""
+    import itemforge.llm.common as C
+
+    learned, unknown = [], C.Memo.unknown
+    monkeypatch.setattr(C.Memo, "unknown", lambda memo, keys: learned.extend(new := unknown(memo, keys)) or new)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    C.worker_store("")
+    encode = chunk_encoder(open(path).read())
+    encode(["qzvxqzvx*** qzvxqzvx.### Qzvxqzvx, (qzvxqzvx)", "qzvxqzvx### qzvxqzvx"])
+    assert learned.count("qzvxqzvx") == 1 and learned.count("***") == 1 and learned.count("###") == 1
+    C.worker_store("")
+
+
+def test_chunks_of_any_sign_encode_as_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encode = Tokenizer.from_file(path), chunk_encoder(open(path).read())
+    signs = [*map(chr, range(256)), *"Ως…’€İǅſ́​ 　­ͅ漢😀"]
+    texts = [f"ab{c}de {c}Xy XY{c} zz{c}*** {c}.{c} qu{c},### {c}" for c in signs] + [f"Ω ab{c}De {c}Xy XY{c} zz{c}*** {c}s Don't{c}" for c in signs]
+    texts += ["".join(signs), " ".join(signs), "", " ", "l'amour. l'*** it's'' 'tis x'", "a1*** 1*** ***a a***b ***"]
+    for together in (texts, texts[::-1]):
+        for t, got in zip(together, encode(together)):
+            assert np.frombuffer(got, np.uint32).tolist() == tok.encode(t, add_special_tokens=False).ids, t[:80]
+    assert encode([]) == [] and encode([""]) == [b""]
+
+
+@pytest.mark.parametrize("bits", [7, 8, 16, 17, 32])
+def test_packed_bits_are_where_the_format_says(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 131).astype(np.uint32)
+    whole = sum(int(x) << (k * bits) for k, x in enumerate(ids))
+    assert pack(ids, bits) == whole.to_bytes(-(-131 * bits // 64) * 8, "little")
