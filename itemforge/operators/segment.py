@@ -34,9 +34,14 @@ def text_lines(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc", "page", "block", "line").agg(whole.alias("text"), *_box())
 
 
+def is_figure(box: Column) -> Column:
+    """Whether a box (a struct of x0, y0, x1, y1) is large enough for a figure, and below the top."""
+    wide, high = box["x1"] - box["x0"], box["y1"] - box["y0"]
+    return (((wide >= FIGURE) & (high >= FIGURE)) | ((wide >= WIDE) & (high >= LOW))) & (box["y0"] > TOP)
+
+
 def figures(images: DataFrame) -> DataFrame:
-    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    return images.where((((wide >= FIGURE) & (high >= FIGURE)) | ((wide >= WIDE) & (high >= LOW))) & (F.col("y0") > TOP))
+    return images.where(is_figure(F.struct("x0", "y0", "x1", "y1")))
 
 
 def column_split(pages: DataFrame, images: DataFrame) -> DataFrame:
@@ -68,13 +73,18 @@ def crossing_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return wide.groupBy(*ON).agg(F.count(F.lit(1)).alias("crossing"))
 
 
+def box_behind(bar: Column, box: Column) -> Column:
+    """Whether a coloured box (x0, y0, x1, y1, fill) lies behind a bar."""
+    y = (bar["y0"] + bar["y1"]) / 2
+    behind = y.between(box["y0"] - 1, box["y1"] + 1) & (bar["x0"] + 2).between(box["x0"] - 1, box["x1"]) & (box["y1"] - box["y0"] < 40)
+    return behind & F.coalesce(F.array_max(box["fill"]) - F.array_min(box["fill"]) > 0.1, F.lit(False))
+
+
 def bar_ends(bars_: DataFrame, drawings: DataFrame) -> DataFrame:
     """(doc, page, number, y0, bar_end): the right end of the coloured box behind a bar."""
-    d = drawings.select(*ON, *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")], "fill")
-    y = (F.col("y0") + F.col("y1")) / 2
-    behind = y.between(F.col("_y0") - 1, F.col("_y1") + 1) & (F.col("x0") + 2).between(F.col("_x0") - 1, F.col("_x1")) & (F.col("_y1") - F.col("_y0") < 40)
-    coloured = F.coalesce(F.array_max("fill") - F.array_min("fill") > 0.1, F.lit(False))
-    return bars_.join(d, ON).where(behind & coloured).groupBy(*ON, "number", "y0").agg(F.max("_x1").alias("bar_end"))
+    d = drawings.select(*ON, F.struct("x0", "y0", "x1", "y1", "fill").alias("_d"))
+    behind = box_behind(F.struct("x0", "y0", "y1"), F.col("_d"))
+    return bars_.join(d, ON).where(behind).groupBy(*ON, "number", "y0").agg(F.max("_d.x1").alias("bar_end"))
 
 
 def page_model(pages: DataFrame, lines: DataFrame, bars_: DataFrame, drawings: DataFrame) -> DataFrame:
@@ -277,17 +287,25 @@ def bar_text_votes(bars_: DataFrame, spans: DataFrame, pages: DataFrame) -> Data
     bar = bars_.select(*ON, "number", "y0", ((F.col("y0") + F.col("y1")) / 2).alias("_c"))
     s = spans.where(t.strip(F.col("text")) != "").select(*ON, F.struct("x0", "x1", t.strip(F.col("text")).alias("text")).alias("s"), ((F.col("y0") + F.col("y1")) / 2).alias("_sc"))
     own = bar.join(s, ON).where(F.abs(F.col("_sc") - F.col("_c")) < 3).groupBy(*ON, "number", "y0").agg(F.array_sort(F.collect_list("s")).alias("s")).join(pages, ON)
-    n = F.size("s")
-    parts = lambda k: (F.get("s", k)["x0"] - F.get("s", k - 1)["x1"] >= 12) | F.get("s", k - 1)["text"].rlike(BAR)
-    cut = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), parts))
-    own = own.withColumn("_k", F.when(n >= 2, cut)).where("_k is not null")
-    text = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), " ")
-    bank, before = F.slice("s", F.col("_k") + 1, n), F.slice("s", F.lit(1), F.col("_k"))
-    middle = F.col("width") / 2
-    whole = (F.get("s", F.col("_k"))["x0"] > middle + 30) & (F.array_max(F.transform(before, lambda x: x["x1"])) < middle - 30)
-    column = F.get("s", n - 1)["x1"] < middle + 4
-    vote = F.when(whole, True).when(column, False)
-    return own.where(text(bank).rlike(BANK) & text(before).rlike(BAR)).select(*ON, "number", "y0", vote.alias("one_column")).where("one_column is not null")
+    return own.select(*ON, "number", "y0", bank_vote(F.col("s"), F.col("width") / 2).alias("one_column")).where("one_column is not null")
+
+
+def bank_vote(spans: Column, middle: Column) -> Column:
+    """What the spans (x0, x1, text) of a bar, from left to right, say about columns; null if nothing."""
+
+    def cut(s: Column) -> Column:
+        parts = lambda k: (F.get(s, k)["x0"] - F.get(s, k - 1)["x1"] >= 12) | F.get(s, k - 1)["text"].rlike(BAR)
+        return F.when(F.size(s) >= 2, F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), parts)))
+
+    def vote(v: Column) -> Column:
+        s, k, n = v["s"], v["k"], F.size(v["s"])
+        text = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), " ")
+        bank, before = F.slice(s, k + 1, n), F.slice(s, F.lit(1), k)
+        whole = (F.get(s, k)["x0"] > middle + 30) & (F.array_max(F.transform(before, lambda x: x["x1"])) < middle - 30)
+        column = F.get(s, n - 1)["x1"] < middle + 4
+        return F.when(k.isNotNull() & text(bank).rlike(BANK) & text(before).rlike(BAR), F.when(whole, True).when(column, False))
+
+    return t.once(spans, lambda s: t.bound(vote, s=s, k=cut(s)))
 
 
 def side_by_side(bars_: DataFrame, pages: DataFrame) -> DataFrame:
