@@ -15,3 +15,8 @@ def scans(plan, table):
 
 def test_segments_of_a_layout_take_one_pass(spark, sf_dir):
     assert scans(plan_of(spark, sf_dir, "layout_segments"), "lineitem") == 1
+
+
+def test_layouts_deal_line_items_out_once(spark, sf_dir):
+    plan = plan_of(spark, sf_dir, "page_layouts")
+    assert scans(plan, "lineitem") == 1 and len(re.findall(r"\bExchange ", plan)) <= 3  # line items, orders, pages of a document
