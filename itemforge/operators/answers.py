@@ -96,6 +96,25 @@ def figure_letters(figures: DataFrame, pieces: DataFrame, keys: list[str] = ON)
     return figures.join(found, [*keys, "ord"], "left")
 
 
+def letter_beside(figure: Column, piece: Column) -> Column:
+    """(d, letter): how far a piece (text, x1, base, height) that is a letter lies from a figure's upper corner; null where it
+    isn't one, or too far. See figure_letters()."""
+    mark = F.regexp_replace(t.strip(piece["text"]), r"[).]$", "")
+    dx, y = figure["x0"] - piece["x1"], piece["base"] - 0.4 * piece["height"]
+    near = dx.between(*LEFT) & (y >= figure["y0"] - ABOVE) & (y <= figure["y0"] + BELOW * (figure["y1"] - figure["y0"]))
+    return F.when(near, t.once(mark, lambda m: F.when(m.rlike(LETTER), F.struct((F.abs(dx) + F.abs(y - figure["y0"])).alias("d"), m.alias("letter")))))
+
+
+def shared_height(mark: Column, line: Column) -> Column:
+    return F.least(mark["y1"], line["y1"]) - F.greatest(mark["y0"], line["y0"])
+
+
+def hosts(mark: Column, line: Column) -> Column:
+    """Whether a line may host a mark; see host_lines()."""
+    shared, centre = shared_height(mark, line), (line["y0"] + line["y1"]) / 2
+    return (shared >= 0.5 * (line["y1"] - line["y0"])) | ((shared > 0) & (centre > mark["y0"]) & (centre < mark["y1"]))
+
+
 def host_lines(marks: DataFrame, lines: DataFrame, side: float = 20.0, keys: list[str] = ON) -> DataFrame:
     """(doc, page, ord, line): the line of text in which a formula stands, null if it has one of its own. A line
     hosts what covers half its height, or its centre; of several that with the largest part of it, then
@@ -103,10 +122,9 @@ def host_lines(marks: DataFrame, lines: DataFrame, side: float = 20.0, keys: lis
     cells = lambda a, b: F.explode(F.sequence(_cell(F.col(a), side), _cell(F.greatest(F.col(a), F.col(b)), side)))
     l = lines.select(*keys, "line", F.col("y0").alias("_y0"), F.col("y1").alias("_y1")).withColumn("cell", cells("_y0", "_y1"))
     m = marks.withColumn("cell", cells("y0", "y1"))
-    shared = F.least("y1", "_y1") - F.greatest("y0", "_y0")
-    centre = (F.col("_y0") + F.col("_y1")) / 2
-    hosts = (shared >= 0.5 * (F.col("_y1") - F.col("_y0"))) | ((shared > 0) & (centre > F.col("y0")) & (centre < F.col("y1")))
-    met = m.join(l, [*keys, "cell"]).where(hosts).groupBy(*keys, "ord").agg(F.min_by("line", F.struct((-shared).alias("s"), "line")).alias("line"))
+    mark, line = F.struct("y0", "y1"), F.struct(F.col("_y0").alias("y0"), F.col("_y1").alias("y1"))
+    shared = shared_height(mark, line)
+    met = m.join(l, [*keys, "cell"]).where(hosts(mark, line)).groupBy(*keys, "ord").agg(F.min_by("line", F.struct((-shared).alias("s"), "line")).alias("line"))
     return marks.select(*keys, "ord").join(met, [*keys, "ord"], "left")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from . import segment
-from .ordered import carry_down
+from .ordered import anchored, carry_down
 from .segment import BAR, ON, STAGES, TOP
 
 # How far from the middle the gutter's edges lie, the words that running text has on either
@@ -41,30 +41,28 @@ def _count(rows: Column, test) -> Column:
     return F.size(F.filter(rows, test))
 
 
-def _lines(spans: Column, col: int) -> Column:
-    """The lines (col, pieces, text, x0, y0, x1, y1, named, content) of a column's spans: named as bars are, content if
-    more than a stage's name. Equal places go by the rest of a span."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), _none(SPANS).alias("own"), _none(f"array<{SPANS}>").alias("done"))
+def told(text: Column) -> list[Column]:
+    """named: a text is a bar's; content: it is more than a stage's name."""
+    return [text.rlike(BAR).alias("named"), ((F.length(text) >= 2) & ~text.isin(*STAGES)).alias("content")]
 
-    def step(a: Column, s: Column) -> Column:
-        same = F.coalesce(F.abs(s["base"] - a["anchor"]) < SAME_LINE, F.lit(False))
-        done = F.when(same | (F.size(a["own"]) == 0), a["done"]).otherwise(F.concat(a["done"], F.array(a["own"])))
-        return F.struct(F.when(same, a["anchor"]).otherwise(s["base"]).alias("anchor"), F.when(same, F.concat(a["own"], F.array(s))).otherwise(F.array(s)).alias("own"), done.alias("done"))
 
-    groups = F.aggregate(F.sort_array(spans), start, step, lambda a: F.when(F.size(a["own"]) > 0, F.concat(a["done"], F.array(a["own"]))).otherwise(a["done"]))
+def _lines(spans: Column, col: int) -> Column:
+    """The lines (col, pieces, text, x0, y0, x1, y1, named, content) of a column's spans. Equal places go by the rest of a span."""
+    groups = anchored(F.sort_array(spans), "base", SAME_LINE)
 
     def line(g: Column) -> Column:
         pieces = F.sort_array(F.transform(g, lambda s: F.struct(s["x0"].alias("x0"), s["x1"].alias("x1"), s["text"].alias("text"))))
         of = lambda c: F.transform(g, lambda s: s[c])
         box = {"x0": F.array_min(of("x0")), "y0": F.array_min(of("y0")), "x1": F.array_max(of("x1")), "y1": F.array_max(of("y1"))}
         said = lambda p: F.struct(p.alias("pieces"), F.array_join(F.transform(p, lambda x: x["text"]), " ").alias("text"))
-        full = lambda v: F.struct(F.lit(col).alias("col"), v["pieces"].alias("pieces"), v["text"].alias("text"), *[c.alias(k) for k, c in box.items()], v["text"].rlike(BAR).alias("named"), ((F.length(v["text"]) >= 2) & ~v["text"].isin(*STAGES)).alias("content"))
+        full = lambda v: F.struct(F.lit(col).alias("col"), v["pieces"].alias("pieces"), v["text"].alias("text"), *[c.alias(k) for k, c in box.items()], *told(v["text"]))
         return t.once(t.once(pieces, said), full)
 
     return F.transform(groups, line)
 
 
-def _bars(lines: Column) -> Column:
+def bars(lines: Column) -> Column:
+    """segment.bars() of a page's lines."""
     number = lambda x: F.replace(F.regexp_extract(x["text"], BAR, 1), F.lit(" "), F.lit("")).cast("int")
     return F.transform(F.filter(lines, lambda x: x["named"] & (x["y0"] > TOP)), lambda x: F.struct(number(x).alias("number"), *[x[c].alias(c) for c in ("x0", "y0", "x1", "y1")]))
 
@@ -83,13 +81,13 @@ def _column_segments(v: Column, lines: Column, bars: Column, col: int, c0: Colum
     return t.once(t.once(own, ended), of)
 
 
-def _segments(v: Column, lines: Column, bars: Column, one: bool) -> Column:
-    """segment.segments() of one page and candidate; none without a bottom."""
+def page_segments(v: Column, lines: Column, bars_: Column, one: bool) -> Column:
+    """segment.segments() of one page (width, middle, bottom, shown: its figures) in one column or two; none without a bottom."""
     if one:
-        parts = [_column_segments(v, lines, bars, 0, F.lit(0.0), v["width"])]
+        parts = [_column_segments(v, lines, bars_, 0, F.lit(0.0), v["width"])]
     else:
         left = lambda b: F.coalesce(b["x0"] < v["middle"], F.lit(False))
-        parts = [_column_segments(v, lines, F.filter(bars, left), 0, F.lit(0.0), v["middle"]), _column_segments(v, lines, F.filter(bars, lambda b: ~left(b)), 1, v["middle"], v["width"])]
+        parts = [_column_segments(v, lines, F.filter(bars_, left), 0, F.lit(0.0), v["middle"]), _column_segments(v, lines, F.filter(bars_, lambda b: ~left(b)), 1, v["middle"], v["width"])]
     return F.when(v["bottom"].isNotNull(), F.concat(*parts).cast(SEGMENTS)).otherwise(_none(SEGMENTS))
 
 
@@ -134,16 +132,23 @@ def _gutter(lines: Column, width: Column) -> Column:
     return _count(lines, lambda x: (F.size(x["pieces"]) > 1) & (x["y0"] > TOP) & ~x["named"] & hit(x["pieces"]))
 
 
+def middle(images: Column, width: Column, height: Column) -> Column:
+    """Where a page's columns part: the middle of the first thin tall rule, else of the page; see segment.column_split()."""
+    thin = F.filter(images, lambda i: (i["x1"] - i["x0"] < 3) & (i["y1"] - i["y0"] > height * 0.6) & i["ord"].isNotNull())
+    rule = F.array_min(F.transform(thin, lambda i: F.struct(i["ord"].alias("ord"), ((i["x0"] + i["x1"]) / 2).alias("at"))))["at"]
+    return F.coalesce(rule, width / 2)
+
+
 def _votes(v: Column, bars: Column) -> Column:
     """(said, vote) of each bar: how far its text reaches, or else the box behind it."""
-    middle = v["width"] / 2
+    half = v["width"] / 2
 
     def of(b: Column) -> Column:
         at = (b["y0"] + b["y1"]) / 2
         own = F.filter(v["spans"], lambda s: F.abs((s["y0"] + s["y1"]) / 2 - at) < 3)
-        said = segment.bank_vote(F.sort_array(F.transform(own, lambda s: F.struct(s["x0"].alias("x0"), s["x1"].alias("x1"), s["text"].alias("text")))), middle)
+        said = segment.bank_vote(F.sort_array(F.transform(own, lambda s: F.struct(s["x0"].alias("x0"), s["x1"].alias("x1"), s["text"].alias("text")))), half)
         end = F.array_max(F.transform(F.filter(v["drawings"], lambda d: segment.box_behind(b, d)), lambda d: d["x1"]))
-        box = lambda e: F.when(e.isNotNull(), (b["x0"] < middle - 30) & (e > middle + 30))
+        box = lambda e: F.when(e.isNotNull(), (b["x0"] < half - 30) & (e > half + 30))
         return t.once(said, lambda s: F.struct(s.alias("said"), F.coalesce(s, t.once(end, box)).alias("vote")))
 
     return F.transform(bars, of)
@@ -157,15 +162,13 @@ def _evidence(rows: DataFrame) -> DataFrame:
     double = lambda c: F.col(c).cast("double")
     images, spans = F.coalesce("images", _none(IMAGES)), F.coalesce("spans", _none(SPANS))
     plain = F.transform(spans, lambda s: s.withField("text", t.strip(s["text"])))
-    thin = F.filter(images, lambda i: (i["x1"] - i["x0"] < 3) & (i["y1"] - i["y0"] > F.col("height") * 0.6) & i["ord"].isNotNull())
-    rule = F.array_min(F.transform(thin, lambda i: F.struct(i["ord"].alias("ord"), ((i["x0"] + i["x1"]) / 2).alias("at"))))["at"]
     given = {
-        "width": double("width"), "bottom": double("bottom"), "middle": F.coalesce(rule, double("width") / 2), "drawings": F.coalesce("drawings", _none(DRAWINGS)),
+        "width": double("width"), "bottom": double("bottom"), "middle": middle(images, double("width"), F.col("height")), "drawings": F.coalesce("drawings", _none(DRAWINGS)),
         "spans": F.filter(plain, lambda s: s["text"] != ""), "shown": F.filter(images, segment.is_figure),
     }
 
-    def candidate(v: Column, lines: Column, bars: Column, one: bool) -> Column:
-        return t.once(_segments(v, lines, bars, one), lambda s: F.struct(s.alias("segments"), _outside(v, lines, s).alias("outside")))
+    def candidate(v: Column, lines: Column, bars_: Column, one: bool) -> Column:
+        return t.once(page_segments(v, lines, bars_, one), lambda s: F.struct(s.alias("segments"), _outside(v, lines, s).alias("outside")))
 
     def of(v: Column, u: Column, b: Column) -> Column:
         right = F.array_max(F.transform(F.concat(b["one"], b["two"]), lambda x: x["x0"] >= v["width"] / 2))
@@ -178,7 +181,7 @@ def _evidence(rows: DataFrame) -> DataFrame:
     def lined(v: Column) -> Column:
         left = lambda s: F.coalesce((s["x0"] + s["x1"]) / 2 < v["middle"], F.lit(False))
         two = F.concat(_lines(F.filter(v["spans"], left), 0), _lines(F.filter(v["spans"], lambda s: ~left(s)), 1))
-        barred = lambda u: t.bound(lambda b: of(v, u, b), one=_bars(u["one"]), two=_bars(u["two"]))
+        barred = lambda u: t.bound(lambda b: of(v, u, b), one=bars(u["one"]), two=bars(u["two"]))
         return t.bound(barred, one=_lines(v["spans"], 0), two=two)
 
     return rows.select(*ON, t.bound(lined, **given).alias("e")).select(*ON, "e.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 
 def _upto(keys: list[str], order: list) -> Window:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -56,6 +58,23 @@ def anchor_groups(df: DataFrame, keys: list[str], position: str, order: list[str
     return rows.select(*keys, "_x._rows.*", F.col("_x._n").alias(out))
 
 
+def anchored(rows: Column, position: str, reach: float) -> Column:
+    """The groups of anchor_groups() as arrays, of rows that are an array of structs in order already (by position first). The
+    fold carries only where groups begin: they are slices."""
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("at"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = F.coalesce(F.abs(x["p"] - a["anchor"]) < reach, F.lit(False))
+        return F.when(same, a).otherwise(F.struct(x["p"].alias("anchor"), F.concat(a["at"], F.array(x["i"])).alias("at")))
+
+    def groups(r: Column) -> Column:
+        places = F.transform(r, lambda x, i: F.struct(x[position].cast("double").alias("p"), (i + 1).alias("i")))
+        cut = lambda at: F.transform(at, lambda i, k: F.slice(r, i, F.coalesce(F.get(at, k + 1), F.size(r) + 1) - i))
+        return once(F.aggregate(places, start, step, lambda a: a["at"]), cut)
+
+    return once(rows, groups)
+
+
 def bands(df: DataFrame, keys: list[str], y0: str = "y0", y1: str = "y1", order: list[str] | None = None, out: str = "band") -> DataFrame:
     """Numbers bands of rectangles, top to bottom: one joins the last band if it
     overlaps it by half the smaller height or more. A fold per key, as anchor_groups()."""
@@ -75,6 +94,20 @@ def bands(df: DataFrame, keys: list[str], y0: str = "y0", y1: str = "y1", order:
     return rows.select(*keys, "_x._rows.*", F.col("_x._n").alias(out))
 
 
+def banded(rows: Column, kind: str, y0: str = "y0", y1: str = "y1", out: str = "band") -> Column:
+    """The rows of bands() that are a sorted array of structs (kind, a DDL type) already, each with its band."""
+    numbered = f"{kind[:-1]}, {out}: int>"
+    start = F.struct(F.lit(None).cast("double").alias("bottom"), F.lit(0.0).alias("height"), F.lit(0).alias("n"), F.array().cast(f"array<{numbered}>").alias("rows"))
+
+    def step(acc: Column, x: Column) -> Column:
+        tall = x[y1] - x[y0]
+        same = F.coalesce(x[y0] < acc["bottom"] - 0.5 * F.least(tall, acc["height"]), F.lit(False))
+        n = F.when(same, acc["n"]).otherwise(acc["n"] + 1)
+        return F.struct(F.when(same, F.greatest(acc["bottom"], x[y1])).otherwise(x[y1]).alias("bottom"), F.when(same, acc["height"]).otherwise(tall).alias("height"), n.alias("n"), F.concat(acc["rows"], F.array(x.withField(out, n))).alias("rows"))
+
+    return F.aggregate(rows, start, step, lambda acc: acc["rows"])
+
+
 def buckets(df: DataFrame, keys: list[str], order: list, size: int, out: str = "part") -> DataFrame:
     """Numbers parts of `size` rows within keys, from 0."""
     return df.withColumn(out, F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("int"))

@@ -175,9 +175,13 @@ def centred_figures(figures_: DataFrame, extents: DataFrame, keys: list[str]) ->
     banded = bands(figures_, keys)
     w = Window.partitionBy(*keys, "band")
     banded = banded.withColumn("_x0", F.min("x0").over(w)).withColumn("_x1", F.max("x1").over(w)).join(extents, keys)
-    width, mid = F.greatest(F.lit(1.0), F.col("right") - F.col("left")), (F.col("_x0") + F.col("_x1")) / 2
-    centred = (F.col("_x1") - F.col("_x0") >= 0.85 * width) | (F.abs(mid - (F.col("left") + F.col("right")) / 2) < 0.05 * width) | (F.abs(mid - F.col("region_mid")) < 0.05 * width)
-    return banded.withColumn("centred", centred).drop("_x0", "_x1", "left", "right", "region_mid")
+    return banded.withColumn("centred", is_centred(*[F.col(c) for c in ("_x0", "_x1", "left", "right", "region_mid")])).drop("_x0", "_x1", "left", "right", "region_mid")
+
+
+def is_centred(x0: Column, x1: Column, left: Column, right: Column, region_mid: Column) -> Column:
+    """Whether what reaches from x0 to x1 is centred in the text (left to right) or its region, or as wide as the text."""
+    width, mid = F.greatest(F.lit(1.0), right - left), (x0 + x1) / 2
+    return (x1 - x0 >= 0.85 * width) | (F.abs(mid - (left + right) / 2) < 0.05 * width) | (F.abs(mid - region_mid) < 0.05 * width)
 
 
 def number_figures(figures_: DataFrame, question: str = "question") -> DataFrame:
@@ -328,30 +332,47 @@ def trim_figures(figures_: DataFrame, lines: DataFrame) -> DataFrame:
     """figures_ (doc, page, ord, x0, y0, x1, y1) without the text they reach into. Lines
     that cross the upper or lower edge cut it, one after the other; of running text inside
     the longest stretch without any stays. Labels inside stay."""
-    words = F.size(F.array_remove(F.split(t.strip(F.col("text")), r"(?U)\s+"), ""))
-    short = F.forall(F.split(t.strip(F.col("text")), r"(?U)\s+"), lambda w: F.length(w) <= 2)
-    item = F.struct("ord", "x0", "y0", "x1", "y1", words.alias("words"), short.alias("short"), F.col("text").rlike(BAR).alias("bar"))
-    near = lines.select(*ON, item.alias("l")).groupBy(*ON).agg(F.array_sort(F.collect_list("l")).alias("_lines"))  # the lines of a page
+    item = F.struct("ord", "x0", "y0", "x1", "y1", "text")
+    near = lines.select(*ON, item.alias("l")).groupBy(*ON).agg(near_lines(F.collect_list("l")).alias("_lines"))  # the lines of a page
     rows = figures_.join(near, ON, "left").withColumn("_lines", F.coalesce("_lines", F.array().cast(near.schema["_lines"].dataType)))
-    start = F.struct(F.col("y0").alias("y0"), F.col("y1").alias("y1"))
+    rows = rows.withColumn("_best", t.once(F.col("_lines"), lambda n: trimmed(F.struct("x0", "y0", "x1", "y1"), n)))
+    return rows.select(*[F.col("_best.y0").alias("y0") if c == "y0" else F.col("_best.y1").alias("y1") if c == "y1" else F.col(c) for c in figures_.columns])
+
+
+def near_lines(lines: Column) -> Column:
+    """The lines (ord, x0 to y1, text) of a page, an array, in order with what trimmed() asks of their texts."""
+
+    def of(l: Column) -> Column:
+        told = lambda w: [F.size(F.array_remove(w, "")).alias("words"), F.forall(w, lambda x: F.length(x) <= 2).alias("short")]
+        return t.once(F.split(t.strip(l["text"]), r"(?U)\s+"), lambda w: F.struct(*[l[c].alias(c) for c in ("ord", "x0", "y0", "x1", "y1")], *told(w), l["text"].rlike(BAR).alias("bar")))
+
+    return F.sort_array(F.transform(lines, of))
+
+
+def trimmed(f: Column, lines: Column) -> Column:
+    """(size, up, y0, y1): how far a figure (x0 to y1) reaches when near_lines() have cut it; see trim_figures()."""
 
     def cut(r: Column, l: Column) -> Column:
-        beside = (l["x1"] < F.col("x0")) | (l["x0"] > F.col("x1")) | l["short"]
+        beside = (l["x1"] < f["x0"]) | (l["x0"] > f["x1"]) | l["short"]
         low, high = (l["y0"] < r["y1"]) & (r["y1"] < l["y1"]), (l["y0"] < r["y0"]) & (r["y0"] < l["y1"])
         return F.struct(F.when(~beside & ~low & high, l["y1"] + 1).otherwise(r["y0"]).alias("y0"), F.when(~beside & low, l["y0"] - 1).otherwise(r["y1"]).alias("y1"))
 
-    rows = rows.withColumn("_r", F.aggregate("_lines", start, cut))
-    wide = F.col("x1") - F.col("x0")
-    running = lambda l: (
-        (l["x0"] < F.col("x1")) & (l["x1"] > F.col("x0")) & (l["y0"] >= F.col("_r.y0") - 1) & (l["y1"] <= F.col("_r.y1") + 1)
-        & (((l["words"] >= 5) & (l["x1"] - l["x0"] >= 0.5 * wide)) | l["bar"]) & (wide >= 0.4 * (l["x1"] - l["x0"]))
-    )
-    rows = rows.withColumn("_in", F.array_sort(F.transform(F.filter("_lines", running), lambda l: F.struct(l["y0"].alias("y0"), l["y1"].alias("y1")))))
-    starts, ends = F.concat(F.array("_r.y0"), F.transform("_in", lambda l: l["y1"] + 1)), F.concat(F.transform("_in", lambda l: l["y0"] - 1), F.array("_r.y1"))
-    free = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct((b - a).alias("size"), (-a).alias("up"), a.alias("y0"), b.alias("y1"))), lambda x: x["size"] > 0)
-    best = F.coalesce(F.array_max(free), F.struct(F.lit(0.0).alias("size"), F.lit(0.0).alias("up"), F.col("_r.y0").alias("y0"), F.col("_r.y1").alias("y1")))
-    rows = rows.withColumn("_best", best)
-    return rows.select(*[F.col("_best.y0").alias("y0") if c == "y0" else F.col("_best.y1").alias("y1") if c == "y1" else F.col(c) for c in figures_.columns])
+    wide = f["x1"] - f["x0"]
+
+    def best(r: Column) -> Column:
+        running = lambda l: (
+            (l["x0"] < f["x1"]) & (l["x1"] > f["x0"]) & (l["y0"] >= r["y0"] - 1) & (l["y1"] <= r["y1"] + 1)
+            & (((l["words"] >= 5) & (l["x1"] - l["x0"] >= 0.5 * wide)) | l["bar"]) & (wide >= 0.4 * (l["x1"] - l["x0"]))
+        )
+        within = F.sort_array(F.transform(F.filter(lines, running), lambda l: F.struct(l["y0"].alias("y0"), l["y1"].alias("y1"))))
+        return t.once(within, lambda i: longest(r, i))
+
+    def longest(r: Column, within: Column) -> Column:
+        starts, ends = F.concat(F.array(r["y0"]), F.transform(within, lambda l: l["y1"] + 1)), F.concat(F.transform(within, lambda l: l["y0"] - 1), F.array(r["y1"]))
+        free = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct((b - a).alias("size"), (-a).alias("up"), a.alias("y0"), b.alias("y1"))), lambda x: x["size"] > 0)
+        return F.coalesce(F.array_max(free), F.struct(F.lit(0.0).alias("size"), F.lit(0.0).alias("up"), r["y0"].alias("y0"), r["y1"].alias("y1")))
+
+    return t.once(F.aggregate(lines, F.struct(f["y0"].alias("y0"), f["y1"].alias("y1")), cut), best)
 
 
 def equation_systems(braces: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.matrix import matrix
-from ..operators import pieces, segment, whole
-from .pages import shared
+from ..operators import segment, whole
 from .queries import _N, numbered_lines, query
 
 # An order is a document of one page, a line item a question on it: its bar, three lines, and by supplier a formula in the
@@ -16,10 +15,10 @@ _Q = f"""
 WITH {_N}, q AS (SELECT l_orderkey AS doc, number, 100.0 * number AS y, l_partkey % 10 AS p, l_partkey % 2 = 0 AS bold, l_partkey % 3 = 0 AS mid, l_suppkey % 4 AS v, l_suppkey % 3 = 0 AS bare, printf('Q%02d', number) AS name FROM n)"""
 
 
-def _contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of the stand-ins with what they hold (c); line items come together by order only once."""
     n = numbered_lines(spark, sf_dir).withColumn("y", 100.0 * F.col("number")).withColumn("v", F.col("l_suppkey") % 4)
     at, p, v, bare = F.col("y"), F.col("l_partkey"), F.col("v"), F.col("l_suppkey") % 3 == 0
-    ids = [F.col("l_orderkey").alias("doc"), F.lit(1).alias("page")]
 
     def item(j: int, text: Column, x: float, width: Column, y: Column, bold: Column | None = None) -> Column:
         of = {"ord": 10 * F.col("number") + j, "text": text, "matrix": matrix(1, 0, 0, 1, F.lit(x), y), "width": width.cast("double"), "height": F.lit(10.0), "font": F.lit("F"), "bold": F.lit(False) if bold is None else bold}
@@ -34,19 +33,14 @@ def _contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         item(4, F.lit("delta"), 40.0, F.when(v == 3, 100).otherwise(160), at + 70),
         item(5, F.when(v == 3, mark).otherwise(""), 190.0, F.lit(10), at + 70),
     ]
-    items = n.select(*ids, F.inline(F.array(*six)))
-    pages = n.groupBy("l_orderkey").agg(F.max("y").alias("_y")).select(*ids, matrix(1, 0, 0, 1, 0, 0).alias("view"), F.lit(600.0).alias("width"), (F.col("_y") + 140).alias("height"), F.lit(True).alias("one_column"), (F.col("_y") + 100).alias("bottom"))
-    box = lambda x0, y0, x1, y1: [c.alias(k) for c, k in zip((x0, at + y0, x1, at + y1), whole.BOX, strict=True)]
+    box = lambda x0, y0, x1, y1: [F.lit(c).cast("double").alias(k) for c, k in zip((x0, at + y0, x1, at + y1), whole.BOX, strict=True)]
     by = lambda *of: F.when(v == 0, float(of[0])).when(v == 1, float(of[1])).otherwise(float(of[2]))
-    inks = n.where("v < 3").select(*ids, *box(by(72, 110, 50), by(20, 34, 22), by(77, 130, 56), by(32, 39, 50)), F.lit(False).alias("image"))
+    ink = F.when(v < 3, F.struct(*box(by(72, 110, 50), by(20, 34, 22), by(77, 130, 56), by(32, 39, 50)), F.lit(False).alias("image")))
     left = F.when(bare, 275.0).otherwise(220.0)
-    images = n.where("v = 3").select(*ids, F.col("number").alias("ord"), *box(left, F.lit(62.0), left + 50, F.lit(96.0)))
-    folder = shared(spark)
-    lines = whole.written(pieces.piece_lines(pieces.text_pieces(items, pages)), folder, "piece_lines")
-    model, bottoms = pages.select("doc", "page", "one_column"), pages.select("doc", "page", "bottom")
-    parts = segment.segments(pages.select("doc", "page", "width", "height"), images, lines, segment.bars(lines), model, bottoms)
-    parts = segment.assign_questions(parts).withColumn("part", F.col("ord"))
-    return parts, whole.part_contents(parts, lines, inks, images, folder)
+    image = F.when(v == 3, F.struct(F.col("number").cast("long").alias("ord"), *box(left, F.lit(62.0), left + 50, F.lit(96.0))))
+    held = n.groupBy(F.col("l_orderkey").alias("doc")).agg(F.flatten(F.collect_list(F.array(*six))).alias("items"), F.collect_list(ink).alias("inks"), F.collect_list(image).alias("images"), F.max("y").alias("_y"))
+    page = {"page": F.lit(1), "view": matrix(1, 0, 0, 1, 0, 0), "width": F.lit(600.0), "height": F.col("_y") + 140, "one_column": F.lit(True), "bottom": F.col("_y") + 100}
+    return segment.assign_questions(whole.page_parts(held.withColumns(page)))
 
 
 @query(rf"""{_Q},
@@ -59,7 +53,8 @@ SELECT doc, number AS question, CASE v
   ELSE bar || alfa || ' y ≥ 2' || chr(10) || second || chr(10) || CASE WHEN bare THEN '⟦FIGURA ' || name || '_fig1⟧' || chr(10) || 'delta e' ELSE 'delta E)' || chr(10) || '⟦FIGURA ' || name || '_fig1⟧' END END AS text,
   CASE WHEN v < 3 THEN name || '_f1:' || CASE WHEN v = 2 THEN latex ELSE '' END ELSE '' END AS formulas, CASE WHEN v < 3 THEN '' WHEN bare THEN name || '_fig1:3::true' ELSE name || '_fig1:4:E:false' END AS figures FROM x""")
 def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = whole.question_contents(*_contents(spark, sf_dir))
+    parts = _parts(spark, sf_dir).where("question is not null")
+    q = whole.question_rows(parts.select("doc", "question", "ord", "c.lines", "c.formulas", "c.figures"))
     said = lambda *of: F.array_join(F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in of]), ":")
     formulas = F.transform("formulas", lambda f: said(f["name"], f["of"]["latex"]))
     figures = F.transform("figures", lambda f: said(f["name"], f["of"]["at"], f["of"]["letter"], f["of"]["centred"]))
@@ -69,5 +64,4 @@ def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_Q}
 SELECT doc, number AS part, CAST(CASE WHEN v = 1 THEN 5 ELSE 4 END AS BIGINT) AS n_lines, y - 2 AS y0, least(y + 98, CASE WHEN v = 3 THEN y + 104 ELSE y + 80.5 END) AS y1 FROM q""")
 def segment_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contents = _contents(spark, sf_dir)[1]
-    return contents.select("doc", "part", F.size("lines").cast("long").alias("n_lines"), "y0", "y1")
+    return _parts(spark, sf_dir).select("doc", F.col("ord").alias("part"), F.size("c.lines").cast("long").alias("n_lines"), F.col("c.top").alias("y0"), F.col("c.end").alias("y1"))

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from itemforge.plans.queries import QUERIES
 
 
@@ -20,3 +21,9 @@ def test_segments_of_a_layout_take_one_pass(spark, sf_dir):
 def test_layouts_deal_line_items_out_once(spark, sf_dir):
     plan = plan_of(spark, sf_dir, "page_layouts")
     assert scans(plan, "lineitem") == 1 and len(re.findall(r"\bExchange ", plan)) <= 3  # line items, orders, pages of a document
+
+
+@pytest.mark.parametrize("name", ["segment_extents", "question_texts"])
+def test_whole_segments_take_one_pass(spark, sf_dir, name):
+    plan = plan_of(spark, sf_dir, name)
+    assert scans(plan, "lineitem") == 1 and len(re.findall(r"FileScan|\bExchange ", plan)) == 2
