@@ -66,3 +66,11 @@ def test_matrices(spark):
     ).first()
     assert row.once == row.twice == (-61, 29)
     assert row.box == (-1, 7, 5, 9) and row.both == (2, 0, 4, 3) and row.other == (2, -1, 9, 3)
+
+
+def test_smoothing_of_a_row_equals_two_passes(spark):
+    rng = random.Random(5)
+    lines = {k: [(rng.choice(["e", "de", " ", "  ", "forte", "(a)"]), rng.random() < 0.6) for _ in range(rng.randrange(1, 12))] for k in range(300)}
+    rows = spark.createDataFrame(list(lines.items()), "line int, p array<struct<text: string, bold: boolean>>")
+    got = {r.line: [p.bold for p in r.p] for r in rows.select("line", pieces.smooth_row(F.col("p")).alias("p")).collect()}
+    assert got == {k: smoothed(x) for k, x in lines.items()}
