@@ -1,12 +1,13 @@
 """Answer keys: pairs of number and letter on a page, keys over several pages; what stands beside
 or in a line of text.
 
-Joins by place go by grid cells: a row meets only rows of its own and adjoining cells.
+What meets by place goes by grid cells: a row meets only rows of its own and adjoining cells. Groups are of a document's
+rows throughout, so rows that come dealt out by document aren't dealt out again for a key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -18,6 +19,10 @@ PAIR_LINE, PAIR, NUMBER, LETTER = r"^(\d{1,4}\s+[A-E]\s*)+$", r"(\d{1,4})\s+([A-
 SAME_LINE, LAP = 3.0, 2.0
 # From where to where a letter stands left of a figure, above its upper edge and how far below.
 LEFT, ABOVE, BELOW = (-4.0, 40.0), 14.0, 0.6
+#: A pair, and a number or letter by itself; what ranks them.
+PAIRED = "struct<number: string, letter: string, line: long, ord: long, k: int>"
+ALONE = "struct<text: string, line: long, ord: long, base: double, x0: double, x1: double>"
+PAIR_RANK, NEAR_RANK = "struct<line: long, ord: long, k: int>", "struct<line: long, ord: long, x0: double, letter: string>"
 #: Sides of grid cells, in points.
 CELL_X, CELL_Y = LEFT[1] - LEFT[0], 50.0
 
@@ -32,23 +37,34 @@ def page_answers(pieces: DataFrame) -> DataFrame:
     In a line of pairs each piece's pairs count, of repeats the last; other lines and the pieces of such lines may be a
     number or a letter alone: a number without a pair takes the nearest letter to its right on its baseline, of
     repeats the first. number is two digits at least. A page without pairs gives no rows."""
-    p = pieces.select(*ON, "line", "ord", t.strip(F.col("text")).alias("text"), "base", "x0", "x1")
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
-    lines = p.groupBy(*ON, "line").agg(t.strip(line).alias("_line"), F.min("base").alias("_base"), F.min("x0").alias("_x0"), F.max("x1").alias("_x1"))
-    paired = F.col("_line").rlike(PAIR_LINE)
-    ours = p.join(lines.where(paired).select(*ON, "line"), [*ON, "line"])
-    matches = F.transform(F.regexp_extract_all("text", F.lit(PAIR), F.lit(0)), lambda m, k: F.struct(F.regexp_extract(m, PAIR, 1).cast("int").alias("n"), F.regexp_extract(m, PAIR, 2).alias("letter"), k.alias("k")))
-    inline = ours.select(*ON, "line", "ord", F.explode(matches).alias("m")).groupBy(*ON, t.two_digits(F.col("m.n")).alias("number")).agg(F.max_by("m.letter", F.struct("line", "ord", "m.k")).alias("letter"))
-    alone = lines.where(~paired).select(*ON, "line", F.lit(0).alias("ord"), F.col("_line").alias("text"), F.col("_base").alias("base"), F.col("_x0").alias("x0"), F.col("_x1").alias("x1"))
-    alone = ours.select(alone.columns).unionByName(alone)
-    cell = _cell(F.col("base"), SAME_LINE)
-    letters = alone.where(F.col("text").rlike(LETTER)).select(*ON, cell.alias("cell"), F.col("text").alias("letter"), F.col("base").alias("_base"), F.col("x0").alias("_x0"))
-    numbers = alone.where(F.col("text").rlike(NUMBER)).select(*ON, "line", "ord", t.two_digits(F.col("text").cast("int")).alias("number"), "base", "x1")
-    numbers = numbers.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1)))
-    met = numbers.join(letters, [*ON, "cell"]).where((F.abs(F.col("_base") - F.col("base")) < SAME_LINE) & (F.col("_x0") > F.col("x1") - LAP))
-    met = met.groupBy(*ON, "number", "line", "ord").agg(F.min_by("letter", F.struct("_x0", "letter")).alias("letter"))
-    apart = met.groupBy(*ON, "number").agg(F.min_by("letter", F.struct("line", "ord")).alias("letter"))
-    return inline.unionByName(apart.join(inline, [*ON, "number"], "left_anti"))
+    p = pieces.select(*ON, "line", F.struct("ord", t.strip(F.col("text")).alias("text"), "base", "x0", "x1").alias("p"))
+    lines = p.groupBy(*ON, "line").agg(F.sort_array(F.collect_list("p")).alias("_p"), F.min("p.base").alias("base"), F.min("p.x0").alias("x0"), F.max("p.x1").alias("x1"))
+    lines = lines.withColumn("_line", t.strip(F.array_join(F.transform("_p", lambda x: x["text"]), " ")))
+    lines = lines.withColumn("_paired", F.col("_line").rlike(PAIR_LINE))
+    pair = lambda m, x, k: F.struct(t.two_digits(F.regexp_extract(m, PAIR, 1).cast("int")).alias("number"), F.regexp_extract(m, PAIR, 2).alias("letter"), F.col("line").alias("line"), x["ord"].alias("ord"), k.alias("k"))
+    inline = F.flatten(F.transform("_p", lambda x: F.transform(F.regexp_extract_all(x["text"], F.lit(PAIR), F.lit(0)), lambda m, k: pair(m, x, k))))
+    whole = F.array(F.struct(F.lit(0).alias("ord"), F.col("_line").alias("text"), "base", "x0", "x1").cast(p.schema["p"].dataType.simpleString()))
+    alone = F.filter(F.when(F.col("_paired"), F.col("_p")).otherwise(whole), lambda x: x["text"].rlike(f"{NUMBER}|{LETTER}"))
+    # Pairs, numbers and letters stand in one column each, in the grid cell where they meet: a number is in three.
+    none = {"pair": F.lit(None).cast(PAIRED), "number": F.lit(None).cast(ALONE), "letter": F.lit(None).cast(ALONE)}
+    entry = lambda cell, name, x: F.struct(cell.cast("long").alias("cell"), *[(x.cast(PAIRED if k == "pair" else ALONE) if k == name else none[k]).alias(k) for k in none])
+    own = lambda x: F.struct(x["text"].alias("text"), F.col("line").alias("line"), x["ord"].alias("ord"), x["base"].alias("base"), x["x0"].alias("x0"), x["x1"].alias("x1"))
+    cell = lambda x: _cell(x["base"], SAME_LINE)
+    pairs = F.when(F.col("_paired"), F.transform(inline, lambda x: entry(F.lit(None), "pair", x)))
+    letters = F.transform(F.filter(alone, lambda x: x["text"].rlike(LETTER)), lambda x: entry(cell(x), "letter", own(x)))
+    numbers = F.flatten(F.transform(F.filter(alone, lambda x: x["text"].rlike(NUMBER)), lambda x: F.transform(F.sequence(cell(x) - 1, cell(x) + 1), lambda c: entry(c, "number", own(x)))))
+    entries = lines.select(*ON, F.inline(F.concat(F.coalesce(pairs, F.array().cast(lines.select(letters.alias("e")).schema["e"].dataType.simpleString())), letters, numbers)))
+    met = entries.groupBy(*ON, "cell").agg(*[F.collect_list(c).alias(c) for c in none])
+
+    def nearest(n: Column) -> Column:
+        beside = F.filter("letter", lambda x: (F.abs(x["base"] - n["base"]) < SAME_LINE) & (x["x0"] > n["x1"] - LAP))
+        near = F.array_min(F.transform(beside, lambda x: F.struct(x["x0"].alias("x0"), x["text"].alias("letter"))))
+        return F.struct(t.two_digits(n["text"].cast("int")).alias("number"), near["letter"].alias("letter"), F.lit(None).cast(PAIR_RANK).alias("pair"), F.struct(n["line"].alias("line"), n["ord"].alias("ord"), near["x0"].alias("x0"), near["letter"].alias("letter")).alias("near"))
+
+    paired = F.transform("pair", lambda x: F.struct(x["number"].alias("number"), x["letter"].alias("letter"), F.struct(x["line"].alias("line"), x["ord"].alias("ord"), x["k"].alias("k")).alias("pair"), F.lit(None).cast(NEAR_RANK).alias("near")))
+    found = met.select(*ON, F.inline(F.concat(paired, F.filter(F.transform("number", nearest), lambda x: x["letter"].isNotNull()))))
+    best = F.coalesce(F.max_by("letter", F.col("pair")), F.min_by("letter", F.col("near")))
+    return found.groupBy(*ON, "number").agg(best.alias("letter"))
 
 
 def key_pages(pages: DataFrame, segments_: DataFrame) -> DataFrame:
@@ -67,15 +83,20 @@ def answer_keys(questions: DataFrame, turns: DataFrame, answers: DataFrame) -> t
     Pages are read in turn until every question is answered, and what a later page says replaces what an earlier
     one said. Where the reading stops follows from when each question is first answered, so it needs no
     walk: the latest of these turns. turns: key_pages(); answers: page_answers()."""
-    q = questions.select("doc", t.two_digits(F.col("number")).alias("number")).distinct()
-    read = answers.join(turns, ON).select("doc", "number", "letter", "turn")
-    firsts = q.join(read.groupBy("doc", "number").agg(F.min("turn").alias("first")), ["doc", "number"], "left")
-    state = firsts.groupBy("doc").agg(F.count(F.lit(1)).alias("n_questions"), (F.count("first") == F.count(F.lit(1))).alias("complete"), F.max("first").alias("_stop"))
-    found = read.join(state, "doc").where(~F.col("complete") | (F.col("turn") <= F.col("_stop")))
-    found = found.groupBy("doc", "number", "complete").agg(F.max_by("letter", "turn").alias("letter"))
-    counts = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_read"))
-    summary = state.join(counts, "doc", "left").select("doc", "n_questions", F.coalesce("n_read", F.lit(0)).alias("n_read"), "complete")
-    return found.where("complete").select("doc", "number", "letter"), summary
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    of_doc = turns.groupBy("doc").agg(F.collect_list(F.struct("page", "turn")).alias("_t"))
+    read = answers.join(of_doc, "doc").select("doc", "page", "number", "letter", F.explode(F.filter("_t", lambda x: x["page"] == F.col("page"))).alias("t"))
+    read = read.select("doc", "number", F.struct(F.col("t.turn").alias("turn"), "letter").alias("read"), F.lit(False).alias("asked"))
+    asked = questions.select("doc", t.two_digits(F.col("number")).alias("number"), none("read", read.schema["read"].dataType.simpleString()), F.lit(True).alias("asked"))
+    # Dealt out by document once: what follows groups a document's rows.
+    rows = read.unionByName(asked).repartition("doc").groupBy("doc", "number").agg(F.max("asked").alias("asked"), F.min("read.turn").alias("first"), F.collect_list("read").alias("_r"))
+    w, first = Window.partitionBy("doc"), F.when(F.col("asked"), F.col("first"))
+    rows = rows.withColumns({"n_questions": F.count_if("asked").over(w), "_n": F.count(first).over(w), "_stop": F.max(first).over(w)}).where("n_questions > 0")
+    rows = rows.withColumn("complete", F.col("_n") == F.col("n_questions"))
+    counted = F.filter("_r", lambda x: ~F.col("complete") | (x["turn"] <= F.col("_stop")))
+    rows = rows.select("doc", "number", "n_questions", "complete", F.array_max(counted)["letter"].alias("letter"))
+    summary = rows.groupBy("doc", "n_questions", "complete").agg(F.count("letter").alias("n_read")).select("doc", "n_questions", "n_read", "complete")
+    return rows.where("complete and letter is not null").select("doc", "number", "letter"), summary
 
 
 def figure_letters(figures: DataFrame, pieces: DataFrame, keys: list[str] = ON) -> DataFrame:

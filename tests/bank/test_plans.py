@@ -27,3 +27,9 @@ def test_layouts_deal_line_items_out_once(spark, sf_dir):
 def test_whole_segments_take_one_pass(spark, sf_dir, name):
     plan = plan_of(spark, sf_dir, name)
     assert scans(plan, "lineitem") == 1 and len(re.findall(r"FileScan|\bExchange ", plan)) == 2
+
+
+def test_answer_keys_are_dealt_out_by_document(spark, sf_dir):
+    plan = plan_of(spark, sf_dir, "answer_keys")
+    dealt = re.findall(r"Exchange (\w+\([^)]*\))", plan)
+    assert len(dealt) <= 6 and not any("page" in d or "number" in d for d in dealt), dealt
