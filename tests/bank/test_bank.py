@@ -265,3 +265,20 @@ def test_a_list_without_origin_is_found_by_its_id(spark, store):
 def test_text_that_looks_like_a_group_reference(spark):
     row = spark.range(1).select(t.replace_figures(F.lit("![](figura:Q1) figura:Q11"), F.array(F.struct(F.lit("Q1").alias("name"), F.lit("https://a/$1\\b").alias("url")))).alias("x")).first()
     assert row.x == "![](https://a/$1\\b) figura:Q11"
+
+
+def test_an_import_leaves_no_shuffle_files_and_reads_its_payload_once(spark, store):
+    docs = spark.createDataFrame([("h1", "a.pdf", "lista", "T", "d", "t")], DOCS)
+    rows = payload(spark, [("h1", n, 2000, ["a"]) for n in range(3)]).repartition(3)
+    taken = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            taken.add(b.num_rows)
+            yield b
+
+    before = spark.conf.get(bank.FREE, None)
+    bank.import_documents(store, docs, rows.mapInArrow(seen, rows.schema))
+    assert taken.value == 3 and spark.conf.get(bank.FREE, None) == before
+    assert store._names(f"{store.root}/_incoming") == []
+    assert store.read("questions", schema.QUESTION).count() == 3
