@@ -1,3 +1,6 @@
+import re
+import time
+
 import pytest
 from itemforge import schema
 from itemforge.functions import text as t
@@ -282,3 +285,15 @@ def test_an_import_leaves_no_shuffle_files_and_reads_its_payload_once(spark, sto
     assert taken.value == 3 and spark.conf.get(bank.FREE, None) == before
     assert store._names(f"{store.root}/_incoming") == []
     assert store.read("questions", schema.QUESTION).count() == 3
+
+
+def test_a_commit_frees_what_it_dealt_out(spark, store):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files_there = lambda: set(re.findall(r"shuffle_\d+", blocks.getAllBlocks().mkString(" ")))
+    before = files_there()
+    store.commit({"imports": spark.range(1000).groupBy((F.col("id") % 7).cast("string").alias("hash")).count()})
+    for _ in range(50):
+        if files_there() <= before:
+            break
+        time.sleep(0.1)
+    assert files_there() <= before
